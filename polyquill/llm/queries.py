@@ -11,6 +11,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_crf import report
+
+    return report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linecrf import train
+    from .quality_rules import COUNTS, judge
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return judge(docs, train(docs, _table(spark, sf_dir, "labels"))).select("doc_id", *COUNTS, "base_failed", "kept", "content_share")
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import report
 
@@ -24,7 +38,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_benchmark_decontamination": op8_benchmark_decontamination, "op10_minhash": op10_minhash}
+    return {"op2_quality_crf": op2_quality_crf, "op9_quality_rules": op9_quality_rules, "op8_benchmark_decontamination": op8_benchmark_decontamination, "op10_minhash": op10_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
