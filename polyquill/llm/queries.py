@@ -25,6 +25,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs, train(docs, _table(spark, sf_dir, "labels"))).select("doc_id", *COUNTS, "base_failed", "kept", "content_share")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import report
+
+    return report(_table(spark, sf_dir, "documents"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import report
 
@@ -38,7 +44,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality_crf": op2_quality_crf, "op9_quality_rules": op9_quality_rules, "op8_benchmark_decontamination": op8_benchmark_decontamination, "op10_minhash": op10_minhash}
+    return {"op2_quality_crf": op2_quality_crf, "op9_quality_rules": op9_quality_rules, "op6_pii": op6_pii, "op8_benchmark_decontamination": op8_benchmark_decontamination, "op10_minhash": op10_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
