@@ -43,8 +43,21 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import report
+
+    return report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality_crf": op2_quality_crf, "op9_quality_rules": op9_quality_rules, "op6_pii": op6_pii, "op8_benchmark_decontamination": op8_benchmark_decontamination, "op10_minhash": op10_minhash}
+    found = [op2_quality_crf, op4_best_fit_packing, op6_pii, op8_benchmark_decontamination, op9_quality_rules, op10_minhash, pipeline]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,22 +6,20 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, stored under spark.checkpoint.dir: lineage ends there, and any executor can read them.
-
-    Only where that setting is absent (a single machine, as in tests) a temporary folder takes its place.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share: spark.checkpoint.dir, and only where that is unset (tests) a temporary one."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="polyquill-"))
-    return df.checkpoint(eager=True)
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="polyquill-"))
+    return context.getCheckpointDir()
 
 
-def released(df: DataFrame) -> None:
-    df.unpersist()
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, stored in the shared folder: lineage ends there, and any executor can read them."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
