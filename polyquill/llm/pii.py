@@ -86,6 +86,19 @@ def _passes(kind: str, m: Column) -> Column:
     return n.between(10, 15) if kind == "phone" else F.when(n.between(14, 19), _luhn(d)).otherwise(False)
 
 
+# Lambdas of higher-order functions may take an index as a second argument, so kinds are bound here and not as defaults.
+def _passing(kind: str):
+    return lambda x: _passes(kind, x["m"])
+
+
+def _span(k: int):
+    return lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"))
+
+
+def _candidate(t: Column, k: int):
+    return lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"), F.array(*_features(t, x, k)).alias("f"))
+
+
 def _prepared(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), _MARK, _OTHER)
 
@@ -95,8 +108,8 @@ def base_spans(t: Column) -> Column:
     each = []
     for k, kind in enumerate(KINDS):
         pattern, cue = _BASE[kind]
-        good = F.filter(_matches(t, pattern), lambda x, kind=kind: _passes(kind, x["m"]))
-        each.append(F.transform(_when_any(t, cue, good), lambda x, k=k: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"))))
+        good = F.filter(_matches(t, pattern), _passing(kind))
+        each.append(F.transform(_when_any(t, cue, good), _span(k)))
     return F.array_sort(F.concat(*each))
 
 
@@ -115,7 +128,7 @@ def _features(t: Column, x: Column, k: int) -> list[Column]:
     return [
         F.lit(float(k)), F.length(m).cast("double"), F.length(d).cast("double"), F.array_size(F.array_distinct(F.split(d, ""))).cast("double"), F.length(F.regexp_replace(m, "[A-Za-z0-9]", "")).cast("double"),
         is_(F.length(d).between(12, 19) & _luhn(F.when(F.length(d).between(12, 19), d).otherwise("0"))), is_(_passes("ip", F.regexp_replace(m, ":.*", ""))) if k == 1 else F.lit(0.0),
-        is_(m.rlike(r"(?i)(?:\.|dot[)\]]?) ?(com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$")), is_(m.rlike(r"(?i)[(\[](?:at|dot)[)\]]|@")), is_(m.rlike(r"^\([0-9]{3}\)")),
+        is_(m.rlike(r"(?:\.|(?i:dot)[)\]]? ?)(com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$")), is_(m.rlike(r"(?i)[(\[](?:at|dot)[)\]]|@")), is_(m.rlike(r"^\([0-9]{3}\)")),
         is_(left.rlike("[A-Za-z0-9/_#=.-]")), is_(right.rlike("[A-Za-z0-9/_=-]")), *(is_(before.rlike(c)) for c in _CUES.values()),
     ]
 
@@ -126,7 +139,7 @@ def candidates(t: Column, spans: Column) -> Column:
     for k, kind in enumerate(KINDS):
         pattern, cue = _MORE[kind]
         new = F.filter(_matches(t, pattern), lambda x: ~F.exists(spans, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-        each.append(F.transform(_when_any(t, cue, new), lambda x, k=k: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"), F.array(*_features(t, x, k)).alias("f"))))
+        each.append(F.transform(_when_any(t, cue, new), _candidate(t, k)))
     return F.concat(*each)
 
 
