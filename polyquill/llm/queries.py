@@ -49,6 +49,18 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import report
+
+    return report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chunks import report
+
+    return report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -56,7 +68,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_quality_crf, op4_best_fit_packing, op6_pii, op8_benchmark_decontamination, op9_quality_rules, op10_minhash, pipeline]
+    found = [op2_quality_crf, op4_best_fit_packing, op5_toxicity, op6_pii, op7_substring_dedup, op8_benchmark_decontamination, op9_quality_rules, op10_minhash, pipeline]
     return {f.__name__: f for f in found}
 
 
