@@ -43,6 +43,12 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mainhtml import report
+
+    return report(_table(spark, sf_dir, "pages"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import report
 
@@ -68,7 +74,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_quality_crf, op4_best_fit_packing, op5_toxicity, op6_pii, op7_substring_dedup, op8_benchmark_decontamination, op9_quality_rules, op10_minhash, pipeline]
+    found = [op2_quality_crf, op3_html_main_text, op4_best_fit_packing, op5_toxicity, op6_pii, op7_substring_dedup, op8_benchmark_decontamination, op9_quality_rules, op10_minhash, pipeline]
     return {f.__name__: f for f in found}
 
 
