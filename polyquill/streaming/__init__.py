@@ -1,0 +1 @@
+"""Streaming: the reference has no streaming operators, so none are built here."""
