@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def winsorize(x: np.ndarray, low: float = 0.005, high: float = 0.995) -> np.ndarray:
@@ -97,9 +98,9 @@ def density_mode(x: np.ndarray, points: int = 512) -> float:
     return float(grid[np.argmax(sum(np.exp(-0.5 * ((grid - v) / h) ** 2) for v in x))])
 
 
-def _column(f, kind: str):
+def _column(f, kind: T.DataType):
     return F.pandas_udf(lambda s: pd.Series([None if v is None else f(np.asarray(v)) for v in s]), kind)
 
 
-winsorized, resampled, moves = _column(winsorize, "array<long>"), _column(resample, "array<long>"), _column(pseudomoves, "array<long>")
-gaf_rows = _column(lambda x: gaf(x).ravel() if len(x) else x, "array<double>")
+winsorized, resampled, moves = (_column(f, T.ArrayType(T.LongType())) for f in (winsorize, resample, pseudomoves))
+gaf_rows = _column(lambda x: gaf(x).ravel() if len(x) else x, T.ArrayType(T.DoubleType()))
