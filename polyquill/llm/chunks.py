@@ -2,15 +2,15 @@
 
 A gear hash of the last 32 bytes is computed for all positions at once by doubling.  A chunk ends where the hash
 has ``MASK_BITS`` zero bits, after at least ``LEAST`` and at most ``MOST`` bytes, so an insertion moves only the borders near
-it.  Chunks are counted by a 128-bit digest; the first place (least doc_id, then chunk number) owns it.  A run of
+it.  Chunks are counted by a 128-bit digest; the least doc_id with it owns it, there the first place.  A run of
 successive chunks that all occur elsewhere and has at least ``RUN_BYTES`` bytes is a repeated passage; in it, the chunks
 owned by another place are surplus.
 
 Digests with at least a ``1 / HOT_PARTS`` share of all chunks number at most ``HOT_PARTS``, so they are broadcast; all other digests
 have less than that share and are joined by shuffle.
 
-Defined results: a null or empty text has no chunks and all counts 0; of repeated rows with one doc_id every place
-counts, the chunks being numbered alike, so such rows own the same chunks; an empty table gives no rows.
+Defined results: a null or empty text has no chunks and all counts 0; rows that repeat a doc_id count as
+more places of one document; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -64,7 +64,7 @@ def chunked(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, most=500_000):
                 raw, at = utf8(batch.column("text"))
                 ends, counts = borders(raw, at)
                 first = np.concatenate([[0], np.cumsum(counts)])
@@ -82,8 +82,8 @@ def chunked(docs: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame) -> DataFrame:
     """Chunks in repeated passages: doc_id, nth, at, size, owner (first doc_id), surplus."""
     chunks = cut(chunked(docs))
-    keys = chunks.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").alias("owner"), F.col("nth").alias("owner_nth"))).alias("own")).where("n > 1")
-    keys = cut(keys.select("d1", "d2", "n", "own.owner", "own.owner_nth"))
+    keys = chunks.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min("doc_id").alias("owner")).where("n > 1")  # both combine in hash maps before the shuffle
+    keys = cut(keys)
     total = chunks.count()
     hot = keys.where(F.col("n") * HOT_PARTS >= total).drop("n")  # at most HOT_PARTS rows
     rest = keys.where(F.col("n") * HOT_PARTS < total).drop("n")
@@ -94,8 +94,10 @@ def repeated(docs: DataFrame) -> DataFrame:
     island = F.col("nth") - F.dense_rank().over(w)
     found = found.withColumn("island", island)
     size = F.sum("size").over(Window.partitionBy("doc_id", "island"))
-    surplus = (F.col("doc_id") != F.col("owner")) | (F.col("nth") != F.col("owner_nth"))
-    return found.withColumn("run", size).where(F.col("run") >= RUN_BYTES).select("doc_id", "nth", "at", "size", "owner", surplus.alias("surplus"))
+    again = F.row_number().over(Window.partitionBy("doc_id", "d1", "d2").orderBy("nth", "at")) > 1
+    surplus = (F.col("doc_id") != F.col("owner")) | again
+    found = found.withColumn("surplus", surplus)
+    return found.withColumn("run", size).where(F.col("run") >= RUN_BYTES).select("doc_id", "nth", "at", "size", "owner", "surplus")
 
 
 def report(docs: DataFrame) -> DataFrame:
