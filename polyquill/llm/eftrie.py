@@ -12,9 +12,10 @@ import mmap
 
 import numpy as np
 
-#: A code is that of -log10 p, up to 20, on a scale that is finest near 0, so that a score's relative error stays under 2e-4.
-_BEND = 1e5
-_SCALE = 65535 / np.log1p(20 * _BEND)
+#: A code of 12 bits is that of -log10 p, up to 20, on a scale that is finest near 0.
+_BEND, CODES = 1e4, 4096
+_SCALE = (CODES - 1) / np.log1p(20 * _BEND)
+_VALUE = 10.0 ** (-np.expm1(np.arange(CODES) / _SCALE) / _BEND)
 #: Absolute discount.
 DISCOUNT = 0.75
 _CHUNK = 1 << 16
@@ -25,7 +26,13 @@ def quantised(p: np.ndarray) -> np.ndarray:
 
 
 def probability(code: np.ndarray) -> np.ndarray:
-    return 10.0 ** (-np.expm1(code / _SCALE) / _BEND)
+    return _VALUE[code]
+
+
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+_COUNT = _BITS.sum(1, dtype=np.uint8)
+#: _NTH[b, k]: place of the k-th one of byte b.
+_NTH = np.argsort(1 - _BITS, axis=1, kind="stable").astype(np.uint8)
 
 
 class EliasFano:
@@ -62,10 +69,13 @@ class EliasFano:
             q = k[j : j + _CHUNK]
             at = np.searchsorted(before, q, "right") - 1
             at = np.clip(at, 0, len(blocks) - 1)
-            bit = np.unpackbits(blocks[at], axis=1, bitorder="little")
-            if not one:
-                bit = 1 - bit
-            out[j : j + _CHUNK] = at * 64 + (np.cumsum(bit, 1, dtype=np.uint8) > (q - before[at])[:, None]).argmax(1)
+            bytes_ = blocks[at] if one else ~blocks[at]
+            sums = np.cumsum(_COUNT[bytes_], 1, dtype=np.uint8)
+            rest = (q - before[at]).astype(np.int64)
+            byte = np.minimum((sums <= rest[:, None]).sum(1), 7)
+            row = np.arange(len(q))
+            rest -= np.where(byte > 0, sums[row, byte - 1], 0)
+            out[j : j + _CHUNK] = at * 64 + byte * 8 + _NTH[bytes_[row, byte], np.clip(rest, 0, 7)]
         return out
 
     def _low(self, i: np.ndarray) -> np.ndarray:

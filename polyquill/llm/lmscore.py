@@ -1,6 +1,6 @@
 """Scores of texts by a trigram model kept as Elias-Fano tries (``eftrie``), one for each shard of contexts.
 
-Texts are tokenised once into slices of some megabytes (a Parquet table in the shared folder): distinct words and token numbers.  In two
+Texts are tokenised once into slices of some megabytes (a Parquet table in the shared folder): distinct words, and token numbers.  In two
 exchanges each slice asks shards and gets answers:
 
 1. for its distinct words, by hash of the word: count in the training texts and a word number;
@@ -8,9 +8,9 @@ exchanges each slice asks shards and gets answers:
    answers each slice with codes of P(w | u v).
 
 A slice sends an n-gram once however often it occurs, so a frequent word or passage is combined before it is shuffled.  A word v
-that occurs more than ``SHARD_TOKENS`` times is divided over several shards by u; its pairs (v, w) go to each of these, so that
-P(w | v) is the same everywhere.  The number of shards follows the tokens, so a task's memory doesn't grow with the
-input, and nothing is broadcast or collected but four totals.
+that occurs more than ``CLASS_TOKENS`` times is divided by a hash of u into classes, each of which has its own P(w | v, class of u) between
+P(w) and P(w | u v): a proper distribution, learned from about as many tokens as a shard has.  The number of shards follows the
+tokens, so a task's memory doesn't grow with the input, and nothing is broadcast or collected but four totals.
 
 Defined results: null and empty texts have the end token alone; a row whose doc_id is null is learned from; repeated rows are
 scored alike, a row each; an empty table gives no rows; without training texts every token has probability 1.
@@ -32,26 +32,39 @@ from .eftrie import Trie, probability, quantised
 from .shared import shared_folder
 from .textkit import Hasher, lower_ascii, mix, slices, space_words, utf8, word_spans
 
-SLICE, SHARD_TOKENS = 8_000_000, 1_500_000
+SLICE, SHARD_TOKENS, CLASS_TOKENS = 8_000_000, 1_500_000, 1_500_000
 _END, _UNKNOWN, _START = np.uint64(0x5EED), 0, 1
 _PARTS = "slice long, shard int, blob binary"
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    head = np.array([len(arrays)] + [n for a in arrays for n in (ord(a.dtype.kind), a.dtype.itemsize, len(a))], np.int64)
-    return zstandard.compress(head.tobytes() + b"".join(a.tobytes() for a in arrays), 1)
+    """Arrays as bytes; each integer's bytes lie in planes, so that small numbers compress well."""
+    head = np.array([len(arrays)] + [n for a in arrays for n in (ord(a.dtype.kind), a.dtype.itemsize, len(a))], np.uint32)
+    return zstandard.compress(head.tobytes() + b"".join(a.view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes() for a in map(np.ascontiguousarray, arrays)), 1)
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
     raw = zstandard.decompress(blob)
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
-    at, out = 8 * (1 + 3 * n), []
-    for kind, size, length in np.frombuffer(raw, np.int64, 3 * n, 8).reshape(n, 3):
-        out.append(np.frombuffer(raw, np.dtype(chr(kind) + str(size)), length, at))
+    n = int(np.frombuffer(raw, np.uint32, 1)[0])
+    at, out = 4 * (1 + 3 * n), []
+    for kind, size, length in np.frombuffer(raw, np.uint32, 3 * n, 4).reshape(n, 3).tolist():
+        planes = np.frombuffer(raw, np.uint8, size * length, at).reshape(size, length)
+        out.append(np.ascontiguousarray(planes.T).view(np.dtype(chr(kind) + str(size))).ravel())
         at += size * length
     return out
 
 
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, a place of each, and each item's number."""
+    order = np.argsort(key)
+    ranked = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    number = np.empty(len(key), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return ranked[new], order[new], number
+
+
 def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     s, k, b = zip(*rows)
     return pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(k, pa.int32()), pa.array(b, pa.binary())], ["slice", "shard", "blob"])
@@ -89,16 +102,22 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = lower_ascii(raw)
             begin, end, first = word_spans(raw, at, space_words())
             h = np.insert(hasher.spans(raw, begin, end), first[1:], _END)
-            words, token = np.unique(h, return_inverse=True)
+            words, _, token = _distinct(h)
             size = np.diff(first) + 1
             held = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
             ids = batch.column("doc_id")
             missing = np.asarray(ids.is_null())
             ids = np.asarray(ids.fill_null(0), np.int64)
-            narrow = token.astype(np.uint16 if len(words) <= 1 << 16 else np.uint32)
+            often = np.argsort(-np.bincount(token, minlength=len(words)), kind="stable")  # frequent words get small numbers
+            place = np.empty(len(words), np.int64)
+            place[often] = np.arange(len(words))
+            words, token = words[often], place[token]
+            c = np.bincount(token, np.repeat(~held, size), len(words)).astype(np.uint32)
+            bucket = words.astype(np.uint16)
+            blob = _pack(ids, missing, held, size.astype(np.uint32), bucket, token.astype(np.uint16 if len(words) <= 1 << 16 else np.uint32))
             n = int(size.sum())
-            blob = _pack(ids, missing, held, size.astype(np.uint32), words, narrow)
-            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([-1], pa.int32()), pa.array([blob], pa.binary()), pa.array([n]), pa.array([int(size[~held].sum())])], ["slice", "shard", "blob", "tokens", "learned"])
+            columns = [pa.array([number]), pa.array([-1], pa.int32()), pa.array([blob], pa.binary()), pa.array([_pack(words, c)], pa.binary()), pa.array([n]), pa.array([int(size[~held].sum())])]
+            yield pa.RecordBatch.from_arrays(columns, ["slice", "shard", "blob", "words", "tokens", "learned"])
             number += 1
 
 
@@ -106,9 +125,8 @@ def _ask_words(shards: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s, blob in zip(b.column("slice").to_pylist(), b.column("blob")):
-                _, _, held, size, words, token = _unpack(blob.as_py())
-                c = np.bincount(token, np.repeat(~held, size), len(words)).astype(np.uint32)
-                k = (words % np.uint64(shards)).astype(np.int64)
+                words, c = _unpack(blob.as_py())
+                k = words.astype(np.uint16) % shards
                 yield _rows([(s, int(i), _pack(words[k == i], c[k == i])) for i in np.unique(k)])
 
     return run
@@ -117,9 +135,11 @@ def _ask_words(shards: int) -> Callable:
 def _answer_words(shards: int) -> Callable:
     def f(shard: int, rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         asked = [_unpack(b) for _, b in rows]
-        words, back = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
+        words, _, back = _distinct(np.concatenate([a[0] for a in asked]))
         c = np.bincount(back, np.concatenate([a[1] for a in asked])).astype(np.int64)
-        number = np.where(c > 0, 2 + shard + shards * (np.cumsum(c > 0) - 1), _UNKNOWN)
+        number = np.empty(len(c), np.int64)
+        number[np.argsort(-c, kind="stable")] = 2 + shard + shards * np.arange(len(c))  # frequent words get small numbers
+        number[c == 0] = _UNKNOWN
         at, kinds = 0, int((c > 0).sum())
         for (s, _), a in zip(rows, asked):
             i = back[at : at + len(a[0])]
@@ -134,106 +154,126 @@ def _answer_words(shards: int) -> Callable:
 class _Slice:
     """A slice with the answers of the word shards: its distinct trigrams in the order of its questions."""
 
-    def __init__(self, blob: bytes, answers: list[bytes], shards: int, word_shards: int, total: int, kinds: int) -> None:
-        self.ids, self.missing, self.held, size, words, token = _unpack(blob)
-        count, number = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        k = (words % np.uint64(word_shards)).astype(np.int64)
+    def __init__(self, blob: bytes, answers: list[bytes], shards: int, word_shards: int, total: int, kinds: int, class_tokens: int = CLASS_TOKENS) -> None:
+        self.ids, self.missing, self.held, size, bucket, token = _unpack(blob)
+        count, number = np.zeros(len(bucket), np.int64), np.zeros(len(bucket), np.int64)
+        k = bucket % word_shards
         for i, a in zip(np.unique(k), answers, strict=True):
             count[k == i], number[k == i] = _unpack(a)
         self.size, self.first = size.astype(np.int64), np.concatenate([[0], np.cumsum(size[:-1], dtype=np.int64)])
         self.count = count[token]
-        p = (count + 0.5) / (total + 0.5 * (kinds + 1)) if total else np.ones(len(words))
-        self.base = np.log10(p)[token]
-        w, c = number[token], self.count
-        v = np.concatenate([[_START], w[:-1]])
-        v[self.first] = _START
-        u = np.concatenate([[_START], v[:-1]])
-        u[self.first] = _START
-        cv = np.concatenate([[0], c[:-1]])
-        cv[self.first] = 0
-        learned = np.repeat(~self.held, size)
-        pair, one, of = np.unique((v << 32) | w, return_index=True, return_inverse=True)
-        triple, at, back = np.unique((of << 32) | u, return_index=True, return_inverse=True)
-        v2, pieces2 = v[one], 1 + cv[one] // SHARD_TOKENS
-        b3, u3 = triple >> 32, triple & 0xFFFFFFFF
-        place = lambda v, piece: (mix(v.astype(np.uint64) + (piece.astype(np.uint64) << np.uint64(40))) % np.uint64(shards)).astype(np.int64)
-        k3 = place(v2[b3], mix(u3.astype(np.uint64)) % pieces2[b3].astype(np.uint64))
-        copies = np.repeat(np.arange(len(pair)), pieces2)
-        nth = np.arange(len(copies)) - np.repeat(np.cumsum(pieces2) - pieces2, pieces2)
-        asked = np.unique((place(v2[copies], nth) << 32) | copies)
-        order = np.argsort((k3 << 32) | b3, kind="stable")
-        runs = np.bincount(np.searchsorted(asked, (k3 << 32) | b3), minlength=len(asked))
-        self.shard3 = k3[order]
-        position = np.empty(len(order), np.int64)
-        position[order] = np.arange(len(order))
-        self.entry = position[back]
-        a = asked & 0xFFFFFFFF
-        c2, c3 = np.bincount(of, learned, len(pair)), np.bincount(back, learned, len(triple))
+        log = np.log10((count + 0.5) / (total + 0.5 * (kinds + 1))) if total else np.zeros(len(count))
+        self.base = log[token]
+
+        # unknown words are one word; the last number is that of a text's start
+        words, one, same = _distinct(number)
+        words, log, count = np.append(words, _START), np.append(log[one], 0), np.append(count[one], 0)
+        n, start = len(words), len(words) - 1
+        w = same[token]
+        v = np.concatenate([[start], w[:-1]])
+        v[self.first] = start
+        u = np.concatenate([[start], v[:-1]])
+        u[self.first] = start
+
+        # contexts v, with their classes of u, in the order of their shards
+        pieces = 1 + count // class_tokens
+        begin = np.cumsum(pieces) - pieces
+        of = np.repeat(np.arange(n), pieces)
+        nth = np.arange(len(of)) - begin[of]
+        home = (mix(words[of].astype(np.uint64) + (nth.astype(np.uint64) << np.uint64(40))) % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(home, kind="stable")
+        place = np.empty(len(of), np.int64)
+        place[order] = np.arange(len(of))
+        piece = (mix(words.astype(np.uint64))[u] % pieces[v].astype(np.uint64)).astype(np.int64)
+        context = place[begin[v] + piece]
+
+        bits = n.bit_length()
+        if len(of).bit_length() + 2 * bits > 62:  # only in slices of one immense text
+            pair, _, number2 = _distinct((context << bits) | w)
+            triple, _, self.entry = _distinct((number2 << bits) | u)
+            which, u3 = triple >> bits, triple & ((1 << bits) - 1)
+        else:
+            triple, _, self.entry = _distinct((context << 2 * bits) | (w << bits) | u)
+            high, u3 = triple >> bits, triple & ((1 << bits) - 1)
+            which = np.cumsum(np.concatenate([[0], high[1:] != high[:-1]]))
+            pair = high[np.concatenate([[True], high[1:] != high[:-1]])]
+        at, w2 = order[pair >> bits], pair & ((1 << bits) - 1)
+        shard2 = home[at]
+        self.shard3 = shard2[which]
         narrow = lambda x: x.astype(np.uint32)
-        self.pairs = asked >> 32, [narrow(v2[a]), narrow(pair[a] & 0xFFFFFFFF), narrow(c2[a]), quantised(10.0 ** self.base[one][a]), narrow(runs)]
-        self.triples = [narrow(u3[order]), narrow(c3[order])]
+        self.triples = [narrow(words[u3]), narrow(np.bincount(self.entry, np.repeat(~self.held, size), len(triple)))]
+        # classes of a word that share a shard stay apart by their number
+        self.pairs = shard2, [narrow(words[of[at]]), narrow(nth[at]), narrow(words[w2]), narrow(np.bincount(which))]
+        self.codes = quantised(10.0**log)[w2]
 
     def questions(self) -> Iterator[tuple[int, bytes]]:
         shard2, pairs = self.pairs
         for k in np.unique(shard2):
             a, b = np.searchsorted(shard2, [k, k + 1])
             c, d = np.searchsorted(self.shard3, [k, k + 1])
-            yield int(k), _pack(*(x[a:b] for x in pairs), *(x[c:d] for x in self.triples))
+            v, nth, w, runs = (x[a:b] for x in pairs)
+            words, one, _ = _distinct(w)
+            yield int(k), _pack(np.diff(v, prepend=v[:1] * 0), nth, w, runs, self.codes[a:b][one], *(x[c:d] for x in self.triples))
 
     def results(self, answers: list[bytes]) -> list[np.ndarray]:
-        logs = -np.log10(np.concatenate([probability(_unpack(a)[0]) for a in answers]))
+        logs = np.log10(np.concatenate([probability(_unpack(a)[0]) for a in answers]))
         add = lambda x: np.add.reduceat(x, self.first)
-        return [self.size, add((self.count > 0).astype(np.int64)), add(self.base), -add(logs[self.entry])]
+        return [self.size, add((self.count > 0).astype(np.int64)), add(self.base), add(logs[self.entry])]
 
 
 def _answer_trigrams(shard: int, rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
     asked = [_unpack(b) for _, b in rows]
-    v, w, c, code, runs, u3, c3 = (np.concatenate([a[i] for a in asked]) for i in range(7))
-    pair, one, of = np.unique((v.astype(np.uint64) << np.uint64(32)) | w, return_index=True, return_inverse=True)
-    c2, v, w, base = np.bincount(of, c, len(pair)), v[one], w[one], probability(code[one])
-    triple, back = np.unique((np.repeat(of, runs).astype(np.int64) << 32) | u3, return_inverse=True)
+    for a in asked:
+        a[0] = np.cumsum(a[0], dtype=np.uint32)
+        a[4] = a[4][_distinct(a[2])[2]]
+    v, nth, w, runs, code, u3, c3 = (np.concatenate([a[i] for a in asked]) for i in range(7))
+    contexts, _, context = _distinct((v.astype(np.uint64) << np.uint64(32)) | nth)
+    pair, one, of = _distinct((context.astype(np.uint64) << np.uint64(32)) | w)
+    v, w, base = context[one], w[one], probability(code[one])
+    triple, _, back = _distinct((np.repeat(of, runs) << 32) | u3)
     c3, b3, u3 = np.bincount(back, c3, len(triple)), triple >> 32, triple & 0xFFFFFFFF
+    c2 = np.bincount(b3, c3, len(pair))
     seen, dense = c2 > 0, np.cumsum(c2 > 0) - 1
     full = c3 > 0
     trie = Trie(Trie.build(v[seen], w[seen], c2[seen], base[seen], dense[b3[full]], u3[full], c3[full]))
     codes = quantised(trie.score(u3, v[b3], w[b3], base[b3]))[back]
     at = 0
-    for (s, _), a in zip(rows, asked):
-        yield _rows([(s, shard, _pack(codes[at : at + len(a[5])]))])
-        at += len(a[5])
+    for (s, _), n in zip(rows, sizes):
+        yield _rows([(s, shard, _pack(codes[at : at + n]))])
+        at += n
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, shard_tokens: int = SHARD_TOKENS, class_tokens: int = CLASS_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     folder = f"{shared_folder(spark)}/lm-{uuid.uuid4().hex}"
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
-    docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out")).mapInArrow(_sliced, _PARTS + ", tokens long, learned long").write.parquet(f"{folder}/slices")
+    docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out")).mapInArrow(_sliced, _PARTS + ", words binary, tokens long, learned long").write.parquet(f"{folder}/slices")
     cut = spark.read.parquet(f"{folder}/slices")
     tokens, total = cut.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("learned"), F.lit(0))).first()
-    shards = max(1, -(-tokens // SHARD_TOKENS))
-    word_shards = max(1, shards // 4)
+    shards = max(1, -(-tokens // shard_tokens))
+    word_shards = max(1, min(shards // 4, 1 << 16))
+    words = cut.select("slice", "shard", F.col("words").alias("blob"))
     cut = cut.select("slice", "shard", "blob")
 
-    _exchange(cut.mapInArrow(_ask_words(word_shards), _PARTS), "shard", word_shards, _answer_words(word_shards), _PARTS + ", kinds long").write.parquet(f"{folder}/words")
+    _exchange(words.mapInArrow(_ask_words(word_shards), _PARTS), "shard", word_shards, _answer_words(word_shards), _PARTS + ", kinds long").write.parquet(f"{folder}/words")
     words = spark.read.parquet(f"{folder}/words")
     kinds = words.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
     known = cut.unionByName(words.select("slice", "shard", "blob"))
 
     def ask(s: int, rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        one = _Slice(rows[0][1], [b for _, b in rows[1:]], shards, word_shards, total, kinds)
+        one = _Slice(rows[0][1], [b for _, b in rows[1:]], shards, word_shards, total, kinds, class_tokens)
         yield from (_rows([(s, k, b)]) for k, b in one.questions())
 
     def finish(s: int, rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         mine = [b for k, b in rows if k < word_shards]
-        one = _Slice(mine[0], mine[1:], shards, word_shards, total, kinds)
+        one = _Slice(mine[0], mine[1:], shards, word_shards, total, kinds, class_tokens)
         size, n_known, base, logs = one.results([b for k, b in rows if k >= word_shards])
         ids = pa.array(one.ids, mask=one.missing)
         columns = [ids, pa.array(one.held), pa.array(size), pa.array(n_known), pa.array(np.full(len(size), total, np.int64)), pa.array(base), pa.array(logs)]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     trigrams = _exchange(_exchange(known, "slice", shards, ask), "shard", shards, _answer_trigrams)
-    trigrams.write.parquet(f"{folder}/trigrams")
-    answered = spark.read.parquet(f"{folder}/trigrams").withColumn("shard", F.col("shard") + word_shards)
+    answered = trigrams.withColumn("shard", F.col("shard") + word_shards)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return _exchange(known.unionByName(answered), "slice", shards, finish, schema)
