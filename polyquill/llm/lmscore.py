@@ -227,6 +227,8 @@ def _answer_trigrams(shard: int, rows: list[tuple[int, bytes]]) -> Iterator[pa.R
         a[0] = np.cumsum(a[0], dtype=np.uint32)
         a[4] = a[4][_distinct(a[2])[2]]
     v, nth, w, runs, code, u3, c3 = (np.concatenate([a[i] for a in asked]) for i in range(7))
+    sizes = [len(a[5]) for a in asked]
+    del asked
     contexts, _, context = _distinct((v.astype(np.uint64) << np.uint64(32)) | nth)
     pair, one, of = _distinct((context.astype(np.uint64) << np.uint64(32)) | w)
     v, w, base = context[one], w[one], probability(code[one])
