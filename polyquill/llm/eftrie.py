@@ -122,12 +122,14 @@ class Trie:
         self.p2, self.b2, self.p3, self.b3 = parts[21:25]
 
     @staticmethod
-    def build(v: np.ndarray, w: np.ndarray, c: np.ndarray, base: np.ndarray, pair: np.ndarray, u: np.ndarray, c3: np.ndarray) -> mmap.mmap:
-        """From seen pairs (v, w) in that order with counts and P(w), and seen triples (number of the pair, u, count)."""
+    def build(v: np.ndarray, w: np.ndarray, c: np.ndarray, base: np.ndarray, pair: np.ndarray, u: np.ndarray, c3: np.ndarray, apart: np.ndarray | None = None) -> mmap.mmap:
+        """From seen pairs (v, w) in that order with counts and P(w), and seen triples (number of the pair, u, count); P(w | v) is taken as 0 in pairs that are apart."""
         words, first, of = np.unique(v, return_index=True, return_inverse=True)
         total, kinds = np.bincount(of, c, len(words)), np.bincount(of, minlength=len(words))
         back2 = DISCOUNT * kinds / np.maximum(total, 1)
         p2 = np.maximum(c - DISCOUNT, 0) / total[of] + back2[of] * base
+        if apart is not None:
+            p2[apart] = 0
         wide_w, wide_u = int(w.max(initial=0)) + 1, int(u.max(initial=0)) + 1
         rank = np.arange(len(v)) - first[of]
         wide_x = int(rank.max(initial=0)) + 1
@@ -173,3 +175,13 @@ class Trie:
         q[sub[full]] = probability(self.p3[j[full]])
         p[live] = q
         return p
+
+    def back(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """The share of P(w | v) in P(w | u v): 1 if the context (u, v) is unknown."""
+        wide_u, out = int(self.sizes[1]), np.ones(len(u))
+        r, ok = self.v.find(v)
+        live = np.flatnonzero(ok)
+        k, known = self.u.find(r[live] * wide_u + np.minimum(u[live], wide_u - 1))
+        known &= u[live] < wide_u
+        out[live[known]] = probability(self.b3[k[known]])
+        return out

@@ -8,9 +8,11 @@ exchanges each slice asks shards and gets answers:
    answers each slice with codes of P(w | u v).
 
 A slice sends an n-gram once however often it occurs, so a frequent word or passage is combined before it is shuffled.  A word v
-that occurs more than ``CLASS_TOKENS`` times is divided by a hash of u into classes, each of which has its own P(w | v, class of u) between
-P(w) and P(w | u v): a proper distribution, learned from about as many tokens as a shard has.  The number of shards follows the
-tokens, so a task's memory doesn't grow with the input, and nothing is broadcast or collected but four totals.
+that occurs more than ``CLASS_TOKENS`` times is divided by a hash of u into classes.  A context (u, v) lies whole in one class, which answers the
+two terms of P(w | u v) = d(w | u v) + b(u v) P(w | v) apart; P(w | v) itself is learned from all pairs (v, w), which are divided
+by a hash of w over the same shards and asked in the same exchange, and the slice puts the terms together.  So the division
+doesn't change the model.  The number of shards follows the tokens, so a task's memory doesn't grow with the input, and nothing is
+broadcast or collected but four totals.
 
 Defined results: null and empty texts have the end token alone; a row whose doc_id is null is learned from; repeated rows are
 scored alike, a row each; an empty table gives no rows; without training texts every token has probability 1.
@@ -28,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .eftrie import Trie, probability, quantised
+from .eftrie import DISCOUNT, Trie, probability, quantised
 from .shared import shared_folder
 from .textkit import Hasher, lower_ascii, mix, slices, space_words, utf8, word_spans
 
@@ -175,7 +177,7 @@ class _Slice:
         u = np.concatenate([[start], v[:-1]])
         u[self.first] = start
 
-        # contexts v, with their classes of u, in the order of their shards
+        # contexts v, with their classes of u (and of w), in the order of their shards
         pieces = 1 + count // class_tokens
         begin = np.cumsum(pieces) - pieces
         of = np.repeat(np.arange(n), pieces)
@@ -184,8 +186,9 @@ class _Slice:
         order = np.argsort(home, kind="stable")
         place = np.empty(len(of), np.int64)
         place[order] = np.arange(len(of))
-        piece = (mix(words.astype(np.uint64))[u] % pieces[v].astype(np.uint64)).astype(np.int64)
-        context = place[begin[v] + piece]
+        scrambled = mix(words.astype(np.uint64))
+        class_of = lambda v, x: place[begin[v] + (scrambled[x] % pieces[v].astype(np.uint64)).astype(np.int64)]
+        context = class_of(v, u)
 
         bits = n.bit_length()
         if len(of).bit_length() + 2 * bits > 62:  # only in slices of one immense text
@@ -202,21 +205,54 @@ class _Slice:
         self.shard3 = shard2[which]
         narrow = lambda x: x.astype(np.uint32)
         self.triples = [narrow(words[u3]), narrow(np.bincount(self.entry, np.repeat(~self.held, size), len(triple)))]
-        # classes of a word that share a shard stay apart by their number
+        # classes of a word that share a shard stay apart by their number, from 1; 0 is a word that isn't divided
+        nth = np.where(pieces[of] > 1, nth + 1, 0)
         self.pairs = shard2, [narrow(words[of[at]]), narrow(nth[at]), narrow(words[w2]), narrow(np.bincount(which))]
         self.codes = quantised(10.0**log)[w2]
 
+        # pairs (v, w) of divided words, in the order of the classes of w; every class of these v is asked, for its number of kinds
+        divided = np.flatnonzero(nth[at])
+        v2 = of[at[divided]]
+        asked, one, back = _distinct((class_of(v2, w2[divided]) << bits) | w2[divided])
+        mine = np.zeros(n, bool)
+        mine[v2] = True
+        classes = np.flatnonzero(mine[of[order]])
+        runs = np.bincount(np.searchsorted(classes, asked >> bits), minlength=len(classes))
+        self.class_shard = home[order[classes]]
+        self.classes = [narrow(words[of[order[classes]]]), narrow(nth[order[classes]]), count[of[order[classes]]], narrow(runs)]
+        self.first_pair = np.concatenate([[0], np.cumsum(runs)])
+        c2 = np.bincount(which, self.triples[1], len(pair))
+        self.divided_pairs = [narrow(words[asked & ((1 << bits) - 1)]), narrow(np.bincount(back, c2[divided], len(asked)))]
+        # what puts the terms together: a divided triple's place, its context (u, v) and its pair; a pair's word v and P(w)
+        pair_number = np.full(len(pair), -1)
+        pair_number[divided] = back
+        self.divided = np.flatnonzero(pair_number[which] >= 0)
+        self.divided_pair = pair_number[which[self.divided]]
+        self.divided_context = _distinct(((pair >> bits)[which[self.divided]] << 32) | words[u3[self.divided]])[2]
+        self.class_word, self.pair_word = of[order[classes]], v2[one]
+        self.pair_base, self.word_count = 10.0 ** log[w2[divided][one]], count
+
     def questions(self) -> Iterator[tuple[int, bytes]]:
         shard2, pairs = self.pairs
-        for k in np.unique(shard2):
+        for k in np.union1d(shard2, self.class_shard):
             a, b = np.searchsorted(shard2, [k, k + 1])
             c, d = np.searchsorted(self.shard3, [k, k + 1])
             v, nth, w, runs = (x[a:b] for x in pairs)
             words, one, _ = _distinct(w)
-            yield int(k), _pack(np.diff(v, prepend=v[:1] * 0), nth, w, runs, self.codes[a:b][one], *(x[c:d] for x in self.triples))
+            e, f = np.searchsorted(self.class_shard, [k, k + 1])
+            g, h = self.first_pair[[e, f]]
+            more = [*(x[e:f] for x in self.classes), *(x[g:h] for x in self.divided_pairs)] if e < f else []
+            yield int(k), _pack(np.diff(v, prepend=v[:1] * 0), nth, w, runs, self.codes[a:b][one], *(x[c:d] for x in self.triples), *more)
 
     def results(self, answers: list[bytes]) -> list[np.ndarray]:
-        logs = np.log10(np.concatenate([probability(_unpack(a)[0]) for a in answers]))
+        parts = [_unpack(a) for a in answers]
+        p = np.concatenate([probability(a[0]) for a in parts])
+        if len(self.divided):
+            back3, p2 = (probability(np.concatenate([a[i] for a in parts if len(a) > 1])) for i in (1, 2))
+            kinds = np.bincount(self.class_word, np.concatenate([a[3] for a in parts if len(a) > 1]), len(self.word_count))
+            p2 += DISCOUNT * (kinds / np.maximum(self.word_count, 1))[self.pair_word] * self.pair_base
+            p[self.divided] += back3[self.divided_context] * p2[self.divided_pair]
+        logs = np.log10(p)
         add = lambda x: np.add.reduceat(x, self.first)
         return [self.size, add((self.count > 0).astype(np.int64)), add(self.base), add(logs[self.entry])]
 
@@ -228,23 +264,49 @@ def _answer_trigrams(shard: int, rows: list[tuple[int, bytes]]) -> Iterator[pa.R
         a[4] = a[4][_distinct(a[2])[2]]
     v, nth, w, runs, code, u3, c3 = (np.concatenate([a[i] for a in asked]) for i in range(7))
     sizes = [len(a[5]) for a in asked]
+    more = _answer_pairs([a[7:] for a in asked])
     del asked
     contexts, _, context = _distinct((v.astype(np.uint64) << np.uint64(32)) | nth)
     pair, one, of = _distinct((context.astype(np.uint64) << np.uint64(32)) | w)
-    v, w, base = context[one], w[one], probability(code[one])
+    v, w, divided = context[one], w[one], nth[one] > 0
+    base = np.where(divided, 0, probability(code[one]))  # a divided word's answers are without P(w | v)
+    context, whole = np.repeat(context, runs), np.repeat(nth == 0, runs)
     triple, _, back = _distinct((np.repeat(of, runs) << 32) | u3)
     c3, b3, u3 = np.bincount(back, c3, len(triple)), triple >> 32, triple & 0xFFFFFFFF
     c2 = np.bincount(b3, c3, len(pair))
     seen, dense = c2 > 0, np.cumsum(c2 > 0) - 1
     full = c3 > 0
-    trie = Trie(Trie.build(v[seen], w[seen], c2[seen], base[seen], dense[b3[full]], u3[full], c3[full]))
+    trie = Trie(Trie.build(v[seen], w[seen], c2[seen], base[seen], dense[b3[full]], u3[full], c3[full], divided[seen]))
     codes = quantised(trie.score(u3, v[b3], w[b3], base[b3]))[back]
     at = 0
-    for (s, _), n in zip(rows, sizes):
-        yield _rows([(s, shard, _pack(codes[at : at + n]))])
+    for (s, _), n, m in zip(rows, sizes, more):
+        if m:
+            mine = at + np.flatnonzero(~whole[at : at + n])
+            contexts, _, _ = _distinct((context[mine] << 32) | u3[back[mine]])
+            m = [quantised(trie.back(contexts & 0xFFFFFFFF, contexts >> 32)), *m]
+        yield _rows([(s, shard, _pack(codes[at : at + n], *m))])
         at += n
 
 
+def _answer_pairs(asked: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
+    """For each question about pairs (v, w) of divided words: codes of the discounted share of each pair, and the kinds of w in each class."""
+    some = [a for a in asked if a]
+    if not some:
+        return [[] for _ in asked]
+    v, nth, total, runs, w, c = (np.concatenate([a[i] for a in some]) for i in range(6))
+    classes, one, of = _distinct((v.astype(np.uint64) << np.uint64(32)) | nth)
+    pair, _, back = _distinct((np.repeat(of, runs) << 32) | w)
+    c2 = np.bincount(back, c, len(pair))
+    codes = quantised(np.maximum(c2 - DISCOUNT, 0) / np.maximum(total[one][pair >> 32], 1))[back]
+    kinds = np.bincount(pair >> 32, c2 > 0, len(classes)).astype(np.uint32)[of]
+    out, i, j = [], 0, 0
+    for a in asked:
+        m, n = (len(a[0]), len(a[4])) if a else (0, 0)
+        out.append([codes[j : j + n], kinds[i : i + m]] if a else [])
+        i, j = i + m, j + n
+    return out
+
+
 def score(docs: DataFrame, shard_tokens: int = SHARD_TOKENS, class_tokens: int = CLASS_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text)."""
     spark = docs.sparkSession

@@ -90,6 +90,35 @@ def test_hot_words_are_divided():
     assert not np.allclose(out[0], out[2])
 
 
+@pytest.mark.parametrize("shard", [1_500_000, 1000])
+def test_divided_words_keep_the_model(spark, shard):
+    """P(w | v) of a word over class_tokens is that of the whole corpus."""
+    r = np.random.default_rng(6)
+    rows = [(i, " ".join(f"w{int(x)}" for x in r.zipf(1.4, int(r.integers(1, 80))) % 300)) for i in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string")
+    want = sorted(brute(rows))
+    got = sorted((x.held_out, x.n_tokens, x.n_known, x.train_tokens, x.base_score, x.score) for x in lmscore.score(docs, shard_tokens=shard, class_tokens=40).collect())
+    np.testing.assert_allclose([g[5] for g in got], [w[5] for w in want], rtol=4e-3, atol=1e-6)
+
+
+def test_divided_words_over_slices():
+    """Slices that lack some of a divided word's pairs and classes get the scores they get when it isn't divided."""
+    from polyquill.llm.lmscore import _answer_trigrams, _pack, _Slice
+
+    r, n = np.random.default_rng(2), 60
+    tokens = [r.zipf(1.3, 900) % n for _ in range(3)] + [np.array([0, 3, 0])]
+    sizes = [[90] * 10] * 3 + [[3]]
+    c = np.bincount(np.concatenate(tokens), minlength=n)
+    out = []
+    for most in (10**9, 30):
+        blobs = [_pack(np.arange(len(z)), np.zeros(len(z), bool), np.zeros(len(z), bool), np.array(z, np.uint32), np.zeros(n, np.uint16), t.astype(np.uint16)) for t, z in zip(tokens, sizes)]
+        slices = [_Slice(b, [_pack(c, np.arange(2, n + 2, dtype=np.uint32))], 5, 1, int(c.sum()), n, most) for b in blobs]
+        asked = sorted((k, i, q) for i, s in enumerate(slices) for k, q in s.questions())
+        answers = [(i, b) for k in range(5) for batch in _answer_trigrams(k, [(i, q) for j, i, q in asked if j == k]) for i, b in zip(batch.column("slice").to_pylist(), batch.column("blob").to_pylist())]
+        out.append(np.concatenate([s.results([b for j, b in answers if i == j])[3] for i, s in enumerate(slices)]))
+    np.testing.assert_allclose(out[1], out[0], rtol=4e-3)
+
+
 def test_file(tmp_path):
     one = np.ones(1, np.int64)
     (tmp_path / "t").write_bytes(Trie.build(one, one, one, one * 0.5, one * 0, one, one)[:])
