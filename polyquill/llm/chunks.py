@@ -1,10 +1,11 @@
 """Substring deduplication by content-defined chunking with a gear rolling hash.
 
-A gear hash of the last 32 bytes is computed for all positions at once by doubling.  A chunk ends where the hash
-has ``MASK_BITS`` zero bits, after at least ``LEAST`` and at most ``MOST`` bytes, so an insertion moves only the borders near
-it.  Chunks are counted by a 128-bit digest; the least doc_id with it owns it, there the first place.  A run of
-successive chunks that all occur elsewhere and has at least ``RUN_BYTES`` bytes is a repeated passage; in it, the chunks
-owned by another place are surplus.
+A gear hash is computed for all positions at once by doubling; its low ``HISTORY`` bits depend on as many bytes.  A chunk ends at each
+place whose hash is the least of some ``WINDOW`` successive places, the first if several are (winnowing), so a border depends on the bytes
+near it alone.  Two places of a passage of n bytes have the same borders, and so the same chunks, in all but at most
+HISTORY - 1 + 2 * (WINDOW - 1) of its bytes: every passage of 265 bytes has a run of ``RUN_BYTES``, also in periodic text, whose chunks are whole periods.  Chunks are
+counted by a 96-bit digest; the least doc_id with it owns it, there the first place.  A run of successive chunks that
+all occur elsewhere and has at least ``RUN_BYTES`` bytes is a repeated passage; in it, the chunks owned by another place are surplus.
 
 Digests with at least a ``1 / HOT_PARTS`` share of all chunks number at most ``HOT_PARTS``, so they are broadcast; all other digests
 have less than that share and are joined by shuffle.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .shared import cut
 from .textkit import Hasher, mix, slices, utf8
 
-MASK_BITS, LEAST, MOST, RUN_BYTES, HOT_PARTS = 5, 24, 512, 120, 1000
+HISTORY, WINDOW, MOST, RUN_BYTES, HOT_PARTS = 20, 64, 512, 120, 1000  # WINDOW is a power of two
 
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 
@@ -41,25 +42,32 @@ def gear(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return h
 
 
-def borders(raw: np.ndarray, at: np.ndarray, least: int = LEAST, most: int = MOST, bits: int = MASK_BITS) -> tuple[np.ndarray, np.ndarray]:
+def borders(raw: np.ndarray, at: np.ndarray, window: int = WINDOW, most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
     """Chunk ends of all texts, and each text's number of chunks."""
-    ends = np.flatnonzero(gear(raw, at) >> np.uint32(32 - bits) == 0) + 1
-    out, counts = [], []
-    for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
-        mine, last, before = ends[np.searchsorted(ends, lo, "right") : np.searchsorted(ends, hi, "left")].tolist(), lo, len(out)
-        for e in [*mine, hi] if hi > lo else []:
-            while e - last > most:
-                last += most
-                out.append(last)
-            if e - last >= least or (e == hi and e > last):
-                out.append(e)
-                last = e
-        counts.append(len(out) - before)
-    return np.array(out, np.int64), np.array(counts, np.int64)
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    least = ((gear(raw, at) << np.uint32(32 - HISTORY)).astype(np.uint64) << np.uint64(32)) | np.arange(len(raw), dtype=np.uint64)
+    k = 1
+    while k < window:
+        least = np.minimum(least[:-k], least[k:])
+        k *= 2
+    least = least[doc[: len(least)] == doc[window - 1 :]]  # windows inside one text
+    least = least[np.diff(least, prepend=np.uint64(2**64 - 1)) != 0]
+    place, value = (least & np.uint64(0xFFFFFFFF)).astype(np.int64), least >> np.uint64(32)
+    # in a periodic stretch, whose least hashes are equal, a border only after so many periods as make half a window
+    gap = np.diff(place, prepend=0)
+    new = np.ones(len(place), bool)
+    new[1:] = (value[1:] != value[:-1]) | (gap[1:] >= window) | (np.diff(doc[place]) != 0)
+    since = np.arange(len(place)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    ends = np.union1d(place[new | (since % -(-window // 2 // np.maximum(gap, 1)) == 0)] + 1, at[1:][np.diff(at) > 0]).astype(np.int64)
+    begins = np.concatenate([[0], ends[:-1]])[: len(ends)]
+    cuts = (ends - begins - 1) // most
+    nth = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts) + 1
+    ends = np.sort(np.concatenate([ends, np.repeat(begins, cuts) + most * nth]))
+    return ends, np.bincount(doc[ends - 1], minlength=len(at) - 1)
 
 
 def chunked(docs: DataFrame) -> DataFrame:
-    """doc_id, nth, at, size (bytes) and the digest d1, d2 of every chunk of docs (doc_id, text)."""
+    """doc_id, place (nth in the high 32 bits, first byte in the low), size (bytes) and the digest d1, d2 of every chunk of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -73,10 +81,10 @@ def chunked(docs: DataFrame) -> DataFrame:
                 h2 = hasher.spans(raw ^ np.uint8(0x5A), begins, ends)
                 doc = np.repeat(np.arange(batch.num_rows), counts)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").take(pa.array(doc)), pa.array((np.arange(len(ends)) - first[doc]).astype(np.int32)), pa.array(begins - at[doc]), pa.array((ends - begins).astype(np.int32)), pa.array(h.astype(np.int64)), pa.array(h2.astype(np.int64)),
-                ], ["doc_id", "nth", "at", "size", "d1", "d2"])
+                    batch.column("doc_id").take(pa.array(doc)), pa.array(((np.arange(len(ends)) - first[doc]) << 32) | (begins - at[doc])), pa.array((ends - begins).astype(np.int32)), pa.array(h.astype(np.int64)), pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+                ], ["doc_id", "place", "size", "d1", "d2"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, nth int, at long, size int, d1 long, d2 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, place long, size int, d1 long, d2 int")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
@@ -90,14 +98,15 @@ def repeated(docs: DataFrame) -> DataFrame:
     by_hot = chunks.join(F.broadcast(hot), ["d1", "d2"])
     by_rest = chunks.join(F.broadcast(hot.select("d1", "d2")), ["d1", "d2"], "left_anti").join(rest.hint("merge"), ["d1", "d2"])
     found = by_hot.unionByName(by_rest)
-    w = Window.partitionBy("doc_id").orderBy("nth", "at")
-    island = F.col("nth") - F.dense_rank().over(w)
+    w = Window.partitionBy("doc_id").orderBy("place")
+    nth = F.shiftright("place", 32).cast("int")
+    island = nth - F.dense_rank().over(w)
     found = found.withColumn("island", island)
     size = F.sum("size").over(Window.partitionBy("doc_id", "island"))
-    again = F.row_number().over(Window.partitionBy("doc_id", "d1", "d2").orderBy("nth", "at")) > 1
+    again = F.row_number().over(Window.partitionBy("doc_id", "d1", "d2").orderBy("place")) > 1
     surplus = (F.col("doc_id") != F.col("owner")) | again
     found = found.withColumn("surplus", surplus)
-    return found.withColumn("run", size).where(F.col("run") >= RUN_BYTES).select("doc_id", "nth", "at", "size", "owner", "surplus")
+    return found.withColumn("run", size).where(F.col("run") >= RUN_BYTES).select("doc_id", nth.alias("nth"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("at"), "size", "owner", "surplus")
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -141,6 +141,36 @@ def test_repeats(docs, none):
     assert chunks.report(none).count() == 0
 
 
+def test_repeats_of_just_over_50_words(spark):
+    r = np.random.default_rng(12)
+
+    def words(n):
+        return " ".join("".join(chr(97 + c) for c in r.integers(0, 26, k)) for k in r.integers(3, 8, n))
+
+    texts, passages = [], 300
+    for i in range(passages):
+        p = words(51 + i % 10)
+        while len(p) < 265:
+            p += "a"
+        texts += [f"{words(40)} {p} {words(30)}", f"{words(25)} {p} {words(50)}"]
+    texts += [f"{words(20)} {'ab cdefg ' * 80} {words(20)}", f"{words(30)} {'hijk ' * 90} {words(20)}"]  # repeats in the text itself
+    texts += [words(100) for _ in range(50)]
+    got = chunks.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {x.doc_id for x in got if x.has_repeats} == set(range(2 * passages + 2))
+
+
+def test_chunks_of_periodic_and_short_texts():
+    from polyquill.llm.textkit import utf8
+    import pyarrow as pa
+
+    for texts in (["x" * 3000, "-=" * 800, "", None, "short", "ab c" * 20], ["short"], [None], []):
+        raw, at = utf8(pa.array(texts, pa.string()))
+        ends, counts = chunks.borders(raw, at)
+        sizes = np.diff(ends, prepend=0)
+        assert sizes.sum() == len(raw) and counts.sum() == len(ends) and (sizes > 0).all() and (sizes <= chunks.MOST).all()
+        assert all((c == 0) == (not t) and c <= len(t or '') // 32 + 10 for c, t in zip(counts, texts))
+
+
 def test_chunks_are_whole():
     from polyquill.llm.textkit import utf8
     import pyarrow as pa
