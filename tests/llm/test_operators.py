@@ -92,6 +92,18 @@ def test_near_duplicates(docs, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_pipeline_drops_copies_from_a_similarity_of_80(spark):
+    import corpus_pipeline
+
+    def copy(words, k):  # k changed words, far apart, are in 5 k of the shingles
+        return " ".join(f"new{i}" if i % 30 == 10 and i // 30 < k else w for i, w in enumerate(words))
+
+    a, b = ([f"{p}{i}" for i in range(1000)] for p in "ab")
+    texts = [" ".join(a), copy(a, 20), " ".join(b), copy(b, 25)]  # 896 / 1096 and 871 / 1121
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [0, 2, 3]
+
+
 def test_decontamination(docs, spark):
     items = ["  ", None, PASSAGE, "alpha7", _text(6, 3000)[200:300], "not in there at all"]
     bench = spark.createDataFrame([(f"i{i}", t) for i, t in enumerate(items)], "item_id string, text string")
