@@ -29,20 +29,35 @@ def fill_gaps(moves: np.ndarray) -> np.ndarray:
     return out
 
 
+def most_frequent(x: np.ndarray, n: int) -> np.ndarray:
+    """At most n distinct values, the most frequent first, the lesser first of equally frequent ones."""
+    values, count = np.unique(np.asarray(x, float), return_counts=True)
+    return values[np.argsort(-count, kind="stable")][:n]
+
+
 def pseudomoves(x: np.ndarray, lag: int = 100, threshold: float = 3.5, seed: int = 123) -> np.ndarray:
-    """1, -1 or 0 for each sample: over, under or within the threshold of a moving baseline that outliers don't move."""
+    """1, -1 or 0 for each sample: over, under or within the threshold of a moving baseline that outliers don't move; 0 for the first five.
+
+    The baseline starts from draws of the 20 most frequent and the first 10 samples; where there are fewer, the places stay empty and don't count."""
     x = np.asarray(x, float)
     if not len(x):
         return np.zeros(0, np.int64)
-    pool = np.concatenate([np.sort(x)[::-1][:20], x[:10]])
+    pool = np.full(30, np.nan)
+    often = most_frequent(x, 20)
+    pool[: len(often)], pool[20 : 20 + min(10, len(x))] = often, x[:10]
     y = np.concatenate([np.random.default_rng(seed).choice(pool, lag), x])
     kept, out = y.copy(), np.zeros(len(y), np.int64)
-    mean, sd = y[:lag].mean(), y[:lag].std(ddof=1)
+
+    def level(seen: np.ndarray) -> tuple[float, float]:
+        seen = seen[~np.isnan(seen)]
+        return (seen.mean() if len(seen) else np.nan), (seen.std(ddof=1) if len(seen) > 1 else np.nan)
+
+    mean, sd = level(y[:lag])
     for i in range(lag, len(y)):
         if abs(y[i] - mean) > threshold * sd:
             out[i], kept[i] = np.sign(y[i] - mean), kept[i - 1]
-        seen = kept[i - lag : i + 1]
-        mean, sd = seen.mean(), seen.std(ddof=1)
+        mean, sd = level(kept[i - lag : i + 1])
+    out[lag : lag + 5] = 0
     return fill_gaps(out[lag:])
 
 
@@ -54,7 +69,7 @@ def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def chunks(x: np.ndarray, moves: np.ndarray, size: int = 100, least: int = 5, seed: int = 123) -> list[tuple[int, np.ndarray]]:
-    """(start from 1, samples) of a chunk centred on each run of at least ``least`` equal moves; what lies outside is drawn from the top five values."""
+    """(start from 1, samples) of a chunk centred on each run of at least ``least`` equal moves; what lies outside is drawn from the five most frequent values."""
     moves = np.array(moves)
     moves[-3:] = 0
     start, length, value = runs(moves)
@@ -64,15 +79,16 @@ def chunks(x: np.ndarray, moves: np.ndarray, size: int = 100, least: int = 5, se
             first = int(s) + 1 + n // 2 - size // 2
             at = np.arange(first, first + size)
             inside = (at >= 1) & (at <= len(x))
-            fill = r.choice(np.sort(x)[::-1][:5], size)
+            fill = r.choice(most_frequent(x, 5), size)
             out.append((int(first), np.where(inside, np.asarray(x, float)[np.clip(at - 1, 0, len(x) - 1)], fill)))
     return out
 
 
-def overlapping(x: np.ndarray, segment: int, overlap: int) -> list[np.ndarray]:
-    step, x = segment - overlap, np.asarray(x, float)
-    pad = float(np.sort(x)[::-1][:10].mean()) if len(x) else 0.0
-    return [np.pad(x[i : i + segment], (0, max(0, segment - len(x[i : i + segment]))), constant_values=pad) for i in range(0, len(x), step)]
+def overlapping(x: np.ndarray, segment: int, overlap: int, seed: int = 123) -> list[np.ndarray]:
+    """Segments that overlap; what the last ones lack is drawn from the ten most frequent values."""
+    step, x, r = segment - overlap, np.asarray(x, float), np.random.default_rng(seed)
+    often, parts = most_frequent(x, 10), [x[i : i + segment] for i in range(0, len(x), step)]
+    return [np.concatenate([p, r.choice(often, segment - len(p))]) for p in parts]
 
 
 def gaf(x: np.ndarray, method: str = "s") -> np.ndarray:
