@@ -1,7 +1,7 @@
 """The corpus pipeline: quality rules, near-duplicates, benchmark decontamination, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next stage's
-docs.  All but the last return the columns of docs.  Near-duplicates are texts with a similarity of 0.8 or more (op10 has 0.85).  Rows with a null doc_id pass the duplicate stage unlinked; null and
+docs.  All but the last return the columns of docs.  Near-duplicates are texts with a similarity of 0.8 or more (op10 has 0.85); one row of each group stays.  Rows with a null doc_id pass the duplicate stage unlinked; null and
 empty texts fail the quality rules.
 """
 
@@ -22,8 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = minhash.near_duplicates(docs.where(F.col("doc_id").isNotNull()), percent=80).where(~F.col("kept")).select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    return minhash.one_of_each(docs, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Near-duplicate detection with b-bit MinHash.
 
 A text's set holds its distinct 5-word shingles (64-bit hashes of lower-cased words; a shorter text is one
-shingle).  Texts with the same set form a class, and only the class's least doc_id goes on.  Each class has
+shingle).  Texts with the same set form a class, and only one text of the class, of its least doc_id, goes on.  Each class has
 ``PERMUTATIONS`` minima.  Bands of ``ROWS`` full minima find candidates; of every minimum only the low
 ``BITS`` bits are kept, packed into a signature, and counting equal low bits, corrected for chance
 collisions, estimates the similarity of candidates.  Pairs that the estimate doesn't rule out by
@@ -13,8 +13,8 @@ and each pair of blocks is one task's unit of work, which returns a spanning for
 group meets in one task whole and no list of all pairs is made.  At a similarity of 0.85 a link is missed by all
 bands with a probability under 1e-6, at 0.80 with one of 5e-5.
 
-Defined results: a null, empty or blank text has no set and is linked with nothing; repeated doc_ids are
-taken as they come; an empty table gives no rows.
+Defined results: a null, empty or blank text has no set and is linked with nothing; rows that share a doc_id
+are linked by their own texts; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,7 +90,7 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(x.astype(np.int64)) for x in a)
 
 
-SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())])
+SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())])
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,8 +117,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if len(sets[i]):
                         bands[i], sigs[i] = keys[number[d]], packed[number[d]].tobytes()
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary()),
-            ], ["doc_id", "n_shingles", "d1", "d2", "bands", "sig"])
+                batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary()),
+            ], ["doc_id", "text_hash", "n_shingles", "d1", "d2", "bands", "sig"])
 
 
 class Forest:
@@ -176,7 +176,7 @@ def _confirm(percent: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         lo, hi = key[1].as_py(), key[2].as_py()
         hasher = Hasher()
-        ids = table.column("rid").to_pylist()
+        ids = table.column("node").to_pylist()
         part = table.column("part").to_pylist()
         sets: list[np.ndarray] = []
         for batch in table.select(["text"]).combine_chunks().to_batches():
@@ -192,26 +192,52 @@ def _confirm(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """Per document of docs (doc_id, text): n_shingles, component_id (least doc_id reachable by links) and kept."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def grouped(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, text_hash, n_shingles, component_id and grp, a number of the component (null: no set)."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     signed = cut(texts.mapInArrow(_sign, SIGNED))
-    classes = cut(signed.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rid"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
-    bands = classes.select("rid", F.explode("bands").alias("band"))
-    heads = bands.groupBy("band").agg(F.min("rid").alias("head"), F.count("*").alias("n")).where("n > 1").select("band", "head")
-    stars = bands.join(heads, "band").where("rid <> head").select(F.col("rid").alias("a"), F.col("head").alias("b")).distinct()
-    groups = components(stars).select(F.col("node").alias("rid"), F.col("root").alias("grp"))
-    members = groups.join(classes.select("rid", "sig"), "rid")
+    least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("of")
+    classes = signed.where("n_shingles > 0").groupBy("d1", "d2").agg(least, F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    # classes are numbered, as two of them can have the same least doc_id
+    classes = cut(classes.select("d1", "d2", F.col("of.doc_id").alias("rid"), "of.text_hash", "bands", "sig", F.monotonically_increasing_id().alias("node")))
+    bands = classes.where("rid is not null").select("node", F.explode("bands").alias("band"))
+    heads = bands.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("band", "head")
+    stars = bands.join(heads, "band").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    groups = components(stars).select("node", F.col("root").alias("grp"))
+    members = groups.join(classes.select("node", F.col("rid").alias("doc_id"), "text_hash", "sig"), "node")
     # blocks by a hash: as many as the group's size asks for
     sizes = groups.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = members.join(sizes, "grp").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-    members = members.join(texts.withColumnRenamed("doc_id", "rid"), "rid")
+    members = members.join(sizes, "grp").withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # a text of the class itself, once, however often its row is repeated
+    members = members.join(texts, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash", "node"])
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    units = members.select("grp", "rid", "sig", "part", "text", other).select("grp", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "rid", "sig", "part", "text")
+    units = members.select("grp", "node", "sig", "part", "text", other).select("grp", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "node", "sig", "part", "text")
     links = units.groupBy("grp", "lo", "hi").applyInArrow(_confirm(percent), "a long, b long")
-    found = components(links).select(F.col("node").alias("rid"), F.col("root").alias("root"))
-    by_class = classes.select("d1", "d2", "rid").join(found, "rid", "left").select("d1", "d2", F.coalesce("root", "rid").alias("root"))
-    with_set = signed.where("n_shingles > 0").select("doc_id", "n_shingles", "d1", "d2").join(by_class, ["d1", "d2"])
-    own = with_set.select("doc_id", "n_shingles", F.col("root").alias("component_id"))
-    without = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return own.unionByName(without).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    found = components(links)
+    ids = found.join(classes.select("node", "rid"), "node").groupBy("root").agg(F.min("rid").alias("component_id"))
+    by_class = classes.select("d1", "d2", "rid", "node").join(found.join(ids, "root"), "node", "left")
+    by_class = by_class.select("d1", "d2", F.coalesce("component_id", "rid").alias("component_id"), F.coalesce("root", "node").alias("grp"))
+    with_set = signed.where("n_shingles > 0").select("doc_id", "text_hash", "n_shingles", "d1", "d2").join(by_class, ["d1", "d2"])
+    own = with_set.select("doc_id", "text_hash", "n_shingles", "component_id", "grp")
+    without = signed.where("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("grp"))
+    return own.unionByName(without)
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """Per document of docs (doc_id, text): n_shingles, component_id (least doc_id reachable by links) and kept."""
+    found = grouped(docs, percent).select("doc_id", "n_shingles", "component_id")
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def one_of_each(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """The rows of docs (doc_id, text, ...) but for all but one of each component; rows without a set or a doc_id stay."""
+    found = grouped(docs.where(F.col("doc_id").isNotNull()), percent).where("grp is not null")
+    keys = found.groupBy("grp", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    first = keys.groupBy("grp").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.sum("n").alias("rows")).where("rows > 1")
+    keys = keys.join(first, "grp").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "n", (F.struct("doc_id", "text_hash") == F.col("first")).alias("is_first"))
+    keys = cut(keys.where("not is_first or n > 1"))
+    same = (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    # of equal keys the row with the least hash of all columns
+    nth = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.xxhash64(*docs.columns)))
+    again = docs.join(keys.where("is_first"), same).withColumn("_nth", nth).where("_nth = 1")
+    return docs.join(keys, same, "left_anti").unionByName(again.select(*docs.columns))

@@ -104,6 +104,19 @@ def test_pipeline_drops_copies_from_a_similarity_of_80(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [0, 2, 3]
 
 
+def test_rows_that_share_a_doc_id(spark):
+    import corpus_pipeline
+
+    texts = [_text(s) for s in (31, 32, 33, 34)]
+    near = [t + " end" for t in texts]
+    rows = [(1, texts[0]), (1, texts[1]), (2, near[0]), (3, near[1]), (4, texts[2]), (4, texts[2]), (5, near[2]), (5, texts[3]), (6, ""), (6, ""), (None, texts[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = minhash.near_duplicates(docs.where("doc_id is not null")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4), (5, 4), (5, 5), (6, 6), (6, 6)]
+    left = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(left, key=str) == sorted([rows[i] for i in (0, 1, 4, 7, 8, 9, 10)], key=str)
+
+
 def test_decontamination(docs, spark):
     items = ["  ", None, PASSAGE, "alpha7", _text(6, 3000)[200:300], "not in there at all"]
     bench = spark.createDataFrame([(f"i{i}", t) for i, t in enumerate(items)], "item_id string, text string")
