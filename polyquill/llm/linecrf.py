@@ -19,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import cut
 from .textkit import Hasher, mix, slices, space_words, utf8, word_spans
 
 #: Labelled texts used for training: those with the least hash of doc_id.
 SAMPLE_ROWS = 2500
-#: Lines of one text used for training (scoring uses all).
-SAMPLE_LINES = 400
+#: Lines used for training, of all its texts together (scoring uses all).
+SAMPLE_LINES = 1_000_000
 
 _SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 _UPPER = (np.arange(256) >= 65) & (np.arange(256) <= 90)
@@ -215,16 +216,23 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(whole):
             x = read_lines(batch.column("text"), hasher)
             f = features(x).astype(np.float32)
-            rows = [f[x.first[i] : x.first[i + 1]][:SAMPLE_LINES].tobytes() for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("good"), pa.array(rows, pa.binary())], ["doc_id", "good", "f"])
+            rows = [f[x.first[i] : x.first[i + 1]].tobytes() for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("good"), pa.array(np.diff(x.first).astype(np.int64)), pa.array(rows, pa.binary())], ["doc_id", "good", "n", "f"])
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS) -> Crf:
-    """Fits to at most ``rows`` labelled texts; labels with null keys or values don't count."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS, lines: int = SAMPLE_LINES) -> Crf:
+    """Fits to at most ``rows`` labelled texts, each whole, of at most ``lines`` lines together (a text beyond that is left out); labels with null keys or values don't count."""
     picked = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("good"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id", "good").limit(rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "good", "text")
-    got = sample.mapInArrow(_extract, "doc_id long, good int, f binary").toPandas().sort_values("doc_id", kind="stable")
+    read = cut(sample.mapInArrow(_extract, "doc_id long, good int, n long, f binary").withColumn("row", F.monotonically_increasing_id()))
+    taken, left = [], lines
+    for r in read.select("row", "n").orderBy(F.xxhash64("doc_id"), "doc_id", "good", "n", "row").collect():
+        if r.n <= left:
+            taken.append((r.row,))
+            left -= r.n
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(taken, "row long"))
+    got = read.join(chosen, "row").select("doc_id", "good", "f").toPandas().sort_values("doc_id", kind="stable")
     parts = [np.frombuffer(b, np.float32).reshape(-1, N_FEATURES) for b in got["f"]]
     f = np.concatenate(parts).astype(np.float64) if parts else np.zeros((0, N_FEATURES))
     return fit(f, np.cumsum([0, *map(len, parts)]), got["good"].to_numpy().astype(int))

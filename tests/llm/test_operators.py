@@ -151,6 +151,18 @@ def test_quality_rules(docs, labels, none):
     assert quality_rules.judge(none, crf).count() == 0
 
 
+def test_training_reads_texts_whole(spark, monkeypatch):
+    from polyquill.llm import linecrf
+
+    seen = []
+    monkeypatch.setattr(linecrf, "fit", lambda f, first, good: seen.append(np.diff(first).tolist()))
+    docs = spark.createDataFrame([(0, "\n".join(_text(i, 5) for i in range(900))), (1, "a b\nc d")], "doc_id long, text string")
+    marks = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    linecrf.train(docs, marks)
+    linecrf.train(docs, marks, lines=500)
+    assert seen == [[900, 2], [2]]
+
+
 def test_toxicity(docs, labels, none):
     rows = toxicity.report(docs, labels).collect()
     assert len(rows) == len(TEXTS) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
