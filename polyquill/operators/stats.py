@@ -7,23 +7,52 @@ from pyspark.sql import functions as F
 
 
 def fisher(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """Two-sided p of the table ((a, b), (c, d)), as a sum over the tables with its margins that are no likelier.
+    """Two-sided p of the table ((a, b), (c, d)): the mass of the tables with its margins that are no likelier.
 
-    Log factorials come from the JVM as sums of logarithms of a running product, so no Python runs.
+    The log weight of a table follows from its neighbour's, so each of two passes over the tables is one aggregate: the first
+    finds the greatest weight and that of the table itself, the second sums.  Nothing is kept per table.  Null counts give null.
     """
-    fact = lambda n: F.aggregate(F.sequence(F.lit(0), n.cast("int")), F.lit(0.0), lambda s, i: s + F.log(F.greatest(i, F.lit(1)).cast("double")))
-    row, col, n = a + b, a + c, a + b + c + d
-    lo, hi = F.greatest(F.lit(0).cast("bigint"), row + col - n), F.least(row, col)
-    weight = lambda x: -(fact(x) + fact(row - x) + fact(col - x) + fact(n - row - col + x))
-    log_p = F.transform(F.sequence(lo, hi), weight)
-    seen = weight(a) + 1e-7
-    top = F.array_max(log_p)
-    mass = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + F.exp(x - top))
-    return F.least(F.lit(1.0), mass(F.filter(log_p, lambda x: x <= seen)) / mass(log_p))
+    long = lambda x: x.cast("long")
+    margins = F.struct(long(a).alias("a"), long(a + b).alias("row"), long(a + c).alias("col"), long(a + b + c + d).alias("n"))
+
+    def next_weight(m: Column, x: Column, w: Column) -> Column:
+        ratio = ((m["row"] - x) * (m["col"] - x)).cast("double") / ((x + 1) * (m["n"] - m["row"] - m["col"] + x + 1)).cast("double")
+        return w + F.log(ratio)
+
+    def tables(m: Column) -> Column:
+        return F.sequence(F.greatest(F.lit(0).cast("long"), m["row"] + m["col"] - m["n"]), F.least(m["row"], m["col"]))
+
+    def peak(m: Column) -> Column:
+        start = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("top"), F.lit(0.0).alias("own"))
+
+        def step(s: Column, x: Column) -> Column:
+            return F.struct(F.coalesce(next_weight(m, x, s["w"]), F.lit(0.0)).alias("w"), F.greatest(s["top"], s["w"]).alias("top"), F.when(x == m["a"], s["w"]).otherwise(s["own"]).alias("own"))
+
+        return F.aggregate(tables(m), start, step)
+
+    def mass(m: Column, p: Column) -> Column:
+        start = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("all"), F.lit(0.0).alias("rare"))
+
+        def step(s: Column, x: Column) -> Column:
+            e = F.exp(s["w"] - p["top"])
+            return F.struct(F.coalesce(next_weight(m, x, s["w"]), F.lit(0.0)).alias("w"), (s["all"] + e).alias("all"), (s["rare"] + F.when(s["w"] <= p["own"] + 1e-7, e).otherwise(0.0)).alias("rare"))
+
+        return F.aggregate(tables(m), start, step, lambda s: F.least(F.lit(1.0), s["rare"] / s["all"]))
+
+    # one-element arrays bind a value once for all steps of the lambdas
+    whole = F.transform(F.array(margins), lambda m: F.transform(F.array(peak(m)), lambda p: mass(m, p))[0])[0]
+    return F.when(a.isNotNull() & b.isNotNull() & c.isNotNull() & d.isNotNull(), whole)
+
+
+#: Codes of a test: it ran, a table had no rows for the transcript, or a condition had too few reads.
+OK, NO_ROWS, FEW_READS = "OK", "GLMT1", "GLMT2"
 
 
 def adjusted(df: DataFrame, p: str, out: str = "padj") -> DataFrame:
-    """Benjamini-Hochberg over one row per test (transcripts, so one partition's worth); null p stays null and doesn't count."""
+    """Benjamini-Hochberg over one row per test; null p stays null and doesn't count.
+
+    The windows have no partition: tests are per transcript, some 10^5 rows of a few columns in any species, however many reads there are.
+    """
     tests = df.where(F.col(p).isNotNull())
     n = F.count("*").over(Window.partitionBy(F.lit(1)))
     rank = F.rank().over(Window.orderBy(p)) + F.count("*").over(Window.partitionBy(p)) - 1
