@@ -10,7 +10,12 @@ neither those nor a better candidate.
 The labelled table is generated from fixed templates, so its size is fixed.  Training sees it through the same
 expressions as documents; the trees become CASE expressions.  Executors run no Python.
 
-Defined results: null and empty texts have no spans; repeated rows are treated alike; positions count code points.
+A text may have very many matches: they are numbered in chunks, pieces of the text come from blocks of ``BLOCK`` characters, and
+overlaps are found by binary search in the sorted spans of each kind.
+
+Defined results: null and empty texts have no spans; repeated rows, and rows with a null doc_id, are treated alike; positions count code
+points; of two overlapping candidates the one with the greater score stays, of equal scores the earlier, then the longer, then that
+of the kind listed first; an empty table gives no rows; other columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +27,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import free_names
+
 KINDS = ["email", "ip", "card", "phone"]
 #: A noncharacter that marks matches; in texts it is read as U+FFFD, which no pattern matches either.
 _MARK, _OTHER = "﷐", "�"
@@ -40,17 +47,84 @@ _MORE = {
 }
 
 
+#: Elements of an array that are folded at once, and characters in a block of text.
+_CHUNK, BLOCK = 64, 512
+
+
+def _bound(value: Column, f) -> Column:
+    """f(value), with the value computed once, also where f is a lambda over many elements."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _scanned(items: Column, zero: Column, add, merge, local) -> Column:
+    """local(chunk, carry) of each chunk of the items, flattened; the carry is what ``add`` makes of all items before the chunk.
+    An accumulator is copied at each step, so none here holds more than a chunk's results."""
+
+    def over(xs: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(xs) / _CHUNK).cast("int") - 1, F.lit(0)))
+        chunk = lambda c: F.slice(xs, c * _CHUNK + 1, F.lit(_CHUNK))
+        sums = F.transform(numbers, lambda c: F.aggregate(chunk(c), zero, add))
+        return _bound(sums, lambda s: F.flatten(F.transform(numbers, lambda c: local(chunk(c), F.aggregate(F.slice(s, F.lit(1), c), zero, merge)))))
+
+    return _bound(items, over)
+
+
 def _matches(t: Column, pattern: str) -> Column:
     """array<struct<s, e, m>> of the pattern's matches in t, which holds no mark."""
     parts = F.split(F.regexp_replace(t, pattern, f"{_MARK}$0{_MARK}"), _MARK)
-    start = F.struct(F.lit(0).alias("p"), F.lit(0).alias("i"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("a"))
 
-    def step(acc: Column, x: Column) -> Column:
-        end = acc["p"] + F.length(x)
-        found = F.struct(acc["p"].alias("s"), end.alias("e"), x.alias("m"))
-        return F.struct(end.alias("p"), (acc["i"] + 1).alias("i"), F.when(acc["i"] % 2 == 1, F.array_append(acc["a"], found)).otherwise(acc["a"]).alias("a"))
+    def local(chunk: Column, before: Column) -> Column:  # chunks are of even size, so matches are at odd places
+        start = F.struct(before.alias("p"), F.lit(0).alias("i"), F.array().cast(_NONE).alias("a"))
+
+        def step(acc: Column, x: Column) -> Column:
+            end = acc["p"] + F.length(x)
+            found = F.struct(acc["p"].alias("s"), end.alias("e"), x.alias("m"))
+            return F.struct(end.alias("p"), (acc["i"] + 1).alias("i"), F.when(acc["i"] % 2 == 1, F.array_append(acc["a"], found)).otherwise(acc["a"]).alias("a"))
+
+        return F.aggregate(chunk, start, step, lambda acc: acc["a"])
+
+    return _scanned(parts, F.lit(0), lambda a, x: a + F.length(x), lambda a, x: a + x, local)
+
+
+def _blocks(t: Column) -> Column:
+    return F.regexp_extract_all(t, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def _range(blocks: Column, begin: Column, end: Column) -> Column:
+    """The characters from begin to end (exclusive), without a walk from the text's start."""
+    size = F.lit(BLOCK)
+
+    def part(i: Column) -> Column:
+        low = F.greatest(begin - i * size, F.lit(0))
+        return F.substring(F.get(blocks, i), low + 1, F.least(end - i * size, size) - low)
+
+    some = F.sequence(F.floor(begin / size).cast("int"), F.floor((end - 1) / size).cast("int"))
+    return F.when(end > begin, F.array_join(F.transform(some, part), "")).otherwise("")
+
+
+def _under(spans: Column, field: str, limit: Column) -> Column:
+    """How many of the spans, which are sorted by the field, have it under the limit: a binary search."""
+    steps = F.sequence(F.lit(1), F.greatest(F.ceil(F.log2(F.size(spans) + 1)).cast("int"), F.lit(1)))
 
-    return F.aggregate(parts, start, step, lambda acc: acc["a"])
+    def step(a: Column, _: Column) -> Column:
+        mid = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+        low = (a["lo"] < a["hi"]) & (F.get(spans, mid)[field] < limit)
+        return F.struct(F.when(low, mid + 1).otherwise(a["lo"]).alias("lo"), F.when((a["lo"] < a["hi"]) & ~low, mid).otherwise(a["hi"]).alias("hi"))
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(spans).alias("hi")), step, lambda a: a["lo"])
+
+
+def _overlapping(spans: Column, x: Column) -> Column:
+    """Those of the spans, which are sorted and don't overlap each other, that overlap x."""
+    first = _under(spans, "e", x["s"] + 1)
+    return F.slice(spans, first + 1, F.greatest(_under(spans, "s", x["e"]) - first, F.lit(0)))
+
+
+def _best(kinds: Column) -> Column:
+    """The spans (s, k, e, v), one array for each kind, but for those that overlap a better one of any kind."""
+    key = lambda x: F.struct(x["v"], -x["s"], x["e"], -x["k"])
+    beaten = lambda x, by: F.exists(by, lambda spans: F.exists(_overlapping(spans, x), lambda o: key(o) > key(x)))
+    return _bound(kinds, lambda by: F.flatten(F.transform(by, lambda own: F.filter(own, lambda x: ~beaten(x, by)))))
 
 
 _NONE = "array<struct<s:int,e:int,m:string>>"
@@ -79,7 +153,7 @@ def _passes(kind: str, m: Column) -> Column:
     if kind == "email":
         return F.lit(True)
     if kind == "ip":
-        small = lambda p: (F.length(z := F.ltrim(F.lit("0"), p)) <= 3) & (F.coalesce(F.when(F.length(z) <= 3, z).try_cast("int"), F.lit(0)) <= 255)
+        small = lambda p: (F.length(z := F.ltrim(p, F.lit("0"))) <= 3) & (F.coalesce(F.when(F.length(z) <= 3, z).try_cast("int"), F.lit(0)) <= 255)
         return F.forall(F.split(m, r"\."), small)
     d = _digits(m)
     n = F.length(d)
@@ -95,22 +169,18 @@ def _span(k: int):
     return lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"))
 
 
-def _candidate(t: Column, k: int):
-    return lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"), F.array(*_features(t, x, k)).alias("f"))
-
-
 def _prepared(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), _MARK, _OTHER)
 
 
 def base_spans(t: Column) -> Column:
-    """array<struct<s, k, e>> sorted by start and kind."""
+    """An array for each kind of its array<struct<s, k, e>>, sorted by start."""
     each = []
     for k, kind in enumerate(KINDS):
         pattern, cue = _BASE[kind]
         good = F.filter(_matches(t, pattern), _passing(kind))
         each.append(F.transform(_when_any(t, cue, good), _span(k)))
-    return F.array_sort(F.concat(*each))
+    return F.array(*each)
 
 
 _CUES = {
@@ -120,27 +190,37 @@ _CUES = {
 FEATURES = ["k", "len", "digits", "distinct", "seps", "luhn", "octets", "tld", "spelled", "paren", "left", "right", *(f"cue_{c}" for c in _CUES)]
 
 
-def _features(t: Column, x: Column, k: int) -> list[Column]:
-    m, d = x["m"], _digits(x["m"])
-    before = F.substring(t, F.greatest(x["s"] - 23, F.lit(1)), F.least(x["s"], F.lit(24)))
-    left, right = F.substring(t, F.greatest(x["s"], F.lit(1)), F.when(x["s"] > 0, 1).otherwise(0)), F.substring(t, x["e"] + 1, F.lit(1))
+def _features(blocks: Column, x: Column) -> list[Column]:
+    """Format and context of a candidate; blocks: those of its text."""
+    m, d, k = x["m"], _digits(x["m"]), x["k"]
+    before = _range(blocks, F.greatest(x["s"] - 24, F.lit(0)), x["s"])
+    left, right = F.right(before, F.lit(1)), _range(blocks, x["e"], x["e"] + 1)
     is_ = lambda c: F.when(c, 1.0).otherwise(0.0)
     return [
-        F.lit(float(k)), F.length(m).cast("double"), F.length(d).cast("double"), F.array_size(F.array_distinct(F.split(d, ""))).cast("double"), F.length(F.regexp_replace(m, "[A-Za-z0-9]", "")).cast("double"),
-        is_(F.length(d).between(12, 19) & _luhn(F.when(F.length(d).between(12, 19), d).otherwise("0"))), is_(_passes("ip", F.regexp_replace(m, ":.*", ""))) if k == 1 else F.lit(0.0),
+        k.cast("double"), F.length(m).cast("double"), F.length(d).cast("double"), F.array_size(F.array_distinct(F.split(d, ""))).cast("double"), F.length(F.regexp_replace(m, "[A-Za-z0-9]", "")).cast("double"),
+        is_(F.length(d).between(12, 19) & _luhn(F.when(F.length(d).between(12, 19), d).otherwise("0"))), is_((k == 1) & _passes("ip", F.regexp_replace(m, ":.*", ""))),
         is_(m.rlike(r"(?:\.|(?i:dot)[)\]]? ?)(com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$")), is_(m.rlike(r"(?i)[(\[](?:at|dot)[)\]]|@")), is_(m.rlike(r"^\([0-9]{3}\)")),
         is_(left.rlike("[A-Za-z0-9/_#=.-]")), is_(right.rlike("[A-Za-z0-9/_=-]")), *(is_(before.rlike(c)) for c in _CUES.values()),
     ]
 
 
-def candidates(t: Column, spans: Column) -> Column:
-    """array<struct<s, k, e, f: array<double>>>: what the generators propose beside the base spans."""
-    each = []
-    for k, kind in enumerate(KINDS):
-        pattern, cue = _MORE[kind]
-        new = F.filter(_matches(t, pattern), lambda x: ~F.exists(spans, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-        each.append(F.transform(_when_any(t, cue, new), _candidate(t, k)))
-    return F.concat(*each)
+_CANDIDATE = "struct<s:int,k:int,e:int,f:array<double>>"
+
+
+def _proposal(k: int):
+    return lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"), x["m"].alias("m"))
+
+
+def candidates(t: Column, base: Column) -> Column:
+    """An array for each kind of its array<struct<s, k, e, f>>: what the generators propose apart from the base spans, with features f."""
+    each = [F.transform(_when_any(t, cue, _matches(t, pattern)), _proposal(k)) for k, (pattern, cue) in enumerate(_MORE[kind] for kind in KINDS)]
+
+    def described(found: Column) -> Column:
+        apart = lambda x: ~F.exists(base, lambda spans: F.size(_overlapping(spans, x)) > 0)
+        one = lambda blocks: lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.array(*_features(blocks, x)).alias("f"))
+        return _bound(_blocks(t), lambda blocks: F.transform(found, lambda own: F.transform(F.filter(own, apart), one(blocks))))
+
+    return _bound(F.array(*each), lambda found: F.when(F.exists(found, lambda own: F.size(own) > 0), described(found)).otherwise(F.array().cast(f"array<array<{_CANDIDATE}>>")))
 
 
 def labelled_table(seed: int = 7) -> list[tuple[str, int, int, int, int]]:
@@ -224,7 +304,7 @@ def train(spark: SparkSession) -> tuple[float, list, list[float]]:
     values = ",".join("('" + text.replace("\\", "\\\\").replace("'", "\\'") + f"',{s},{e},{k},{y})" for text, s, e, k, y in rows)
     table = spark.sql(f"select * from values {values} as v(text, s0, e0, k0, y)")
     t = _prepared(F.col("text"))
-    found = table.select("s0", "e0", "k0", "y", F.explode(candidates(t, base_spans(t))).alias("c"))
+    found = table.select("s0", "e0", "k0", "y", F.explode(F.flatten(candidates(t, base_spans(t)))).alias("c"))
     found = found.select((F.when((F.col("c.k") == F.col("k0")) & (F.col("c.s") == F.col("s0")) & (F.col("c.e") == F.col("e0")), F.col("y")).otherwise(F.when((F.col("c.s") >= F.col("e0")) | (F.col("c.e") <= F.col("s0")) | (F.col("y") == 0), 0))).alias("y"), "c.k", "c.f").where("y is not null")
     got = found.orderBy(F.xxhash64("f"), "y").collect()  # at most a few spans of each row of a fixed table
     x, y, k = np.array([r.f for r in got]), np.array([r.y for r in got], float), np.array([r.k for r in got])
@@ -235,19 +315,25 @@ def train(spark: SparkSession) -> tuple[float, list, list[float]]:
     return base, trees, cut
 
 
-def with_spans(docs: DataFrame, model: tuple[float, list, list[float]], text: str = "text", out: str = "_spans", base: str = "_base") -> DataFrame:
-    """docs with arrays of spans struct<s, k, e>: the base ones, and those with the selected candidates."""
+def with_spans(docs: DataFrame, model: tuple[float, list, list[float]], text: str = "text") -> tuple[DataFrame, str, str]:
+    """docs with two arrays of spans struct<s, k, e>, and their names (new ones, whatever docs has): the base spans, and those with the selected candidates."""
     start, trees, cut = model
-    t = _prepared(F.col(text))
-    d = docs.withColumn("_t", t).withColumn(base, base_spans(F.col("_t"))).withColumn("_c", candidates(F.col("_t"), F.col(base)))
-    scored = F.transform("_c", lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"), reduce(lambda a, b: a + b, [_tree_column(t, c["f"]) for t in trees], F.lit(start)).alias("v")))
-    d = d.withColumn("_c", F.when(F.size("_c") > 0, scored))
+    base, out, t, by_kind, c = free_names(docs.columns, "_base", "_spans", "_t", "_k", "_c")
+    d = docs.withColumn(t, _prepared(F.col(text)))
+    d = d.withColumn(by_kind, base_spans(F.col(t)))
+    d = d.withColumn(c, candidates(F.col(t), F.col(by_kind)))
     limits = F.array(*(F.lit(v) for v in cut))
-    d = d.withColumn("_c", F.filter("_c", lambda c: c["v"] >= F.get(limits, c["k"])))
-    better = lambda a, b: (a["v"] > b["v"]) | ((a["v"] == b["v"]) & ((a["s"] < b["s"]) | ((a["s"] == b["s"]) & ((a["e"] > b["e"]) | ((a["e"] == b["e"]) & (a["k"] < b["k"]))))))
-    d = d.withColumn("_c", F.filter("_c", lambda c: ~F.exists("_c", lambda o: (o["s"] < c["e"]) & (c["s"] < o["e"]) & better(o, c))))
-    chosen = F.transform(F.coalesce("_c", F.array().cast("array<struct<s:int,k:int,e:int,v:double>>")), lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e")))
-    return d.withColumn(out, F.array_sort(F.concat(F.col(base), chosen))).drop("_c", "_t")
+
+    def scored(x: Column) -> Column:
+        value = reduce(lambda a, b: a + b, [_tree_column(tree, x["f"]) for tree in trees], F.lit(start))
+        return F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), value.alias("v"))
+
+    selected = F.transform(F.col(c), lambda own: F.filter(F.transform(own, scored), lambda x: x["v"] >= F.get(limits, x["k"])))
+    d = d.withColumn(c, F.when(F.size(c) > 0, _best(selected)))
+    chosen = F.transform(F.col(c), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
+    d = d.withColumn(base, F.array_sort(F.flatten(by_kind)))
+    d = d.withColumn(out, F.when(F.size(c) > 0, F.array_sort(F.concat(F.col(base), chosen))).otherwise(F.col(base)))
+    return d.drop(c, t, by_kind), base, out
 
 
 def joined(spans: Column) -> Column:
@@ -258,18 +344,27 @@ def joined(spans: Column) -> Column:
 
 def redacted(text: Column, spans: Column) -> Column:
     """The text with each stretch of overlapping spans replaced by [KIND] of its first; null stays null."""
-    start = F.struct(F.lit(0).alias("p"), F.array().cast("array<string>").alias("a"))
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
+    further = lambda p, x: F.greatest(p, x["e"])
+
+    def whole(blocks: Column) -> Column:
+        def local(chunk: Column, before: Column) -> Column:
+            start = F.struct(before.alias("p"), F.array().cast("array<string>").alias("a"))
+
+            def step(acc: Column, x: Column) -> Column:
+                new = F.concat(_range(blocks, acc["p"], x["s"]), F.get(names, x["k"]))
+                return F.struct(further(acc["p"], x).alias("p"), F.when(x["s"] >= acc["p"], F.array_append(acc["a"], new)).otherwise(acc["a"]).alias("a"))
+
+            return F.aggregate(chunk, start, step, lambda acc: acc["a"])
 
-    def step(acc: Column, x: Column) -> Column:
-        new = F.concat(acc["a"], F.array(F.substring(text, acc["p"] + 1, x["s"] - acc["p"]), F.get(names, x["k"])))
-        return F.struct(F.greatest(acc["p"], x["e"]).alias("p"), F.when(x["s"] >= acc["p"], new).otherwise(acc["a"]).alias("a"))
+        pieces = _scanned(spans, F.lit(0), further, lambda a, b: F.greatest(a, b), local)
+        tail = _range(blocks, F.aggregate(spans, F.lit(0), further), F.length(text))
+        return F.concat(F.array_join(pieces, ""), tail)
 
-    whole = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["a"], ""), F.substring(text, acc["p"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    return F.when(F.size(spans) > 0, _bound(_blocks(text), whole)).otherwise(text)
 
 
 def report(docs: DataFrame) -> DataFrame:
-    d = with_spans(docs.select("doc_id", "text"), train(docs.sparkSession))
-    count = lambda k: F.size(F.filter("_base", lambda x: x["k"] == k)).cast("long").alias(f"n_{KINDS[k]}")
-    return d.select("doc_id", *(count(k) for k in range(4)), F.sha2(joined(F.col("_base")), 256).alias("base_sha256"), joined(F.col("_spans")).alias("spans"))
+    d, base, spans = with_spans(docs.select("doc_id", "text"), train(docs.sparkSession))
+    count = lambda k: F.size(F.filter(base, lambda x: x["k"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+    return d.select("doc_id", *(count(k) for k in range(4)), F.sha2(joined(F.col(base)), 256).alias("base_sha256"), joined(F.col(spans)).alias("spans"))

@@ -15,15 +15,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linecrf import Crf, features, read_lines, train
+from .shared import shipped
 from .textkit import Hasher, slices
 
 
 def scores(docs: DataFrame, crf: Crf, threshold: float = 0.7) -> DataFrame:
     """doc_id, n_lines, score, predicted for every row of docs (doc_id, text)."""
-    model = docs.sparkSession.sparkContext.broadcast(crf)
+    model = shipped(docs.sparkSession, crf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, crf = Hasher(), model.value
+        hasher, crf = Hasher(), model()
         for whole in batches:
             for batch in slices(whole):
                 x = read_lines(batch.column("text"), hasher)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .linecrf import _HEAD, _SYMBOLS, Crf, Lines, features, read_lines
+from .shared import shipped
 from .textkit import Hasher, mix, slices, windows
 
 CONTENT_SHARE, MIN_WORDS, MAX_REPEAT_PERCENT = 0.5, 50, 50
@@ -53,11 +54,11 @@ def counts(x: Lines) -> dict[str, np.ndarray]:
 
 def judge(docs: DataFrame, crf: Crf, text: str = "text", prefix: str = "") -> DataFrame:
     """docs with the counts, base_failed, content_share (share of bytes in content lines) and kept; prefix for their names."""
-    model = docs.sparkSession.sparkContext.broadcast(crf)
+    model = shipped(docs.sparkSession, crf)
     names = list(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, crf = Hasher(), model.value
+        hasher, crf = Hasher(), model()
         for whole in batches:
             for batch in slices(whole, text):
                 x = read_lines(batch.column(text), hasher)

@@ -1,21 +1,51 @@
-"""How the operators find shared storage, and connected components on it."""
+"""How the operators find shared storage and send models to executors, and connected components on shared storage."""
 
 from __future__ import annotations
 
+import pickle
 import tempfile
+from collections.abc import Callable, Iterable
+from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir, and only where that is unset (tests) a temporary one."""
+    """A folder that driver and executors share: spark.checkpoint.dir.  Where that is unset, a local session (tests) gets a temporary one; a cluster raises."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="polyquill-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="polyquill-"))
     return context.getCheckpointDir()
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of this run's own intermediates, on whatever file system it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def shipped(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """Broadcasts a value of bounded size with its classes, so executors need no copy of this package; the result fetches it there."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(sent.value)
+
+
+def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted column names, each with underscores added until no column has it in any case of letters."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, stored in the shared folder: lineage ends there, and any executor can read them."""
     shared_folder(df.sparkSession)

@@ -6,6 +6,8 @@ time, so memory per task does not depend on how many rows a batch has.  Null tex
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,25 +89,62 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes of a range up to which it is hashed in blocks of eight; a longer one goes through BLAKE2b.
+_BLOCKWISE = 256
+
+
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, zeros beyond the end."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    return np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (len(raw) + 1,), (1,))
+
+
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
+
+
 class Hasher:
-    """64-bit hashes of byte ranges: differences of prefix sums of a polynomial modulo 2**64."""
-
-    def __init__(self) -> None:
-        self.powers = np.ones(1, np.uint64)
-        self.inverse = np.ones(1, np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if len(self.powers) <= n:
-            inv = np.uint64(pow(int(_BASE), -1, 1 << 64))
-            self.powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, _BASE))])
-            self.inverse = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, inv))])
-
-    def spans(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        self._grow(len(raw))
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.powers[: len(raw)], out=sums[1:])
-        h = (sums[end] - sums[begin]) * self.inverse[begin]
-        return mix(h + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """64-bit hashes of byte ranges: blocks of eight bytes, and the length, go through a chain of non-linear mixing steps.
+
+    No fixed pair of different ranges collides by algebra, as it does for polynomials modulo 2**64; a range of at most eight
+    bytes has a hash of its own among those of its length.
+    """
+
+    def spans(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+        size = end - begin
+        blocks = eights(raw)
+        start = mix(np.uint64([seed]) + _BASE)[0]
+        h = mix((size.astype(np.uint64) + start) * _BASE)
+        live, at = np.arange(len(size)), 0
+        if len(size) and int(size.max()) > _BLOCKWISE:
+            key = int(start).to_bytes(8, "little")
+            for i in np.flatnonzero(size > _BLOCKWISE):
+                h[i] = np.frombuffer(hashlib.blake2b(raw[begin[i] : end[i]].tobytes(), digest_size=8, key=key).digest(), np.uint64)[0]
+            live = np.flatnonzero(size <= _BLOCKWISE)
+        while len(live := live[size[live] > at]):
+            block = blocks[begin[live] + at] & _KEEP[np.minimum(size[live] - at, 8)]
+            h[live] = mix((h[live] ^ block) * _BASE + np.uint64(at + 1))
+            at += 8
+        return h
+
+
+def same_bytes(a: np.ndarray, a_begin: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_begin: np.ndarray, b_size: np.ndarray) -> np.ndarray:
+    """Whether range i of one text has the bytes of range i of another; a and b are the ``eights`` of the texts."""
+    equal, at = a_size == b_size, 0
+    live = np.flatnonzero(equal)
+    while len(live := live[a_size[live] > at]):
+        same = ((a[a_begin[live] + at] ^ b[b_begin[live] + at]) & _KEEP[np.minimum(a_size[live] - at, 8)]) == 0
+        equal[live[~same]] = False
+        live, at = live[same], at + 8
+    return equal
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, so that a worker's size follows what it holds and not what it once held."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: its own policy
+        pass
+    pa.default_memory_pool().release_unused()
 
 
 def odd_constants(n: int, seed: int) -> np.ndarray:

@@ -139,8 +139,8 @@ def test_personal_data(docs):
     got = {r.doc_id: r for r in pii.report(docs).collect()}
     assert (got[11].n_email, got[11].n_ip, got[11].n_card, got[11].n_phone) == (1, 1, 1, 1)
     assert all(got[i].spans == "" for i in (0, 1, 2, 4, 12))
-    d = pii.with_spans(docs.where("doc_id = 11"), pii.train(docs.sparkSession))
-    assert d.select(pii.redacted(d["text"], d["_spans"])).first()[0] == "mail [EMAIL] or [IP] and [PHONE] then [CARD] here"
+    d, _, spans = pii.with_spans(docs.where("doc_id = 11"), pii.train(docs.sparkSession))
+    assert d.select(pii.redacted(d["text"], d[spans])).first()[0] == "mail [EMAIL] or [IP] and [PHONE] then [CARD] here"
 
 
 def test_quality_rules(docs, labels, none):
