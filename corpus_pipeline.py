@@ -26,13 +26,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontam.hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(F.col("_hits").isNull()).select(*docs.columns)
+    found, (marks, *_) = decontam.hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where(F.col(marks).isNull()).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = pii.with_spans(docs, pii.train(spark))
-    clean = found.withColumn("text", pii.redacted(F.col("text"), F.col("_spans")))
+    found, _, spans = pii.with_spans(docs, pii.train(spark))
+    clean = found.withColumn("text", pii.redacted(F.col("text"), F.col(spans)))
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType))
     return clean.select(*docs.columns)
