@@ -44,19 +44,13 @@ def fisher(a: Column, b: Column, c: Column, d: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull() & c.isNotNull() & d.isNotNull(), whole)
 
 
-#: Codes of a test: it ran, a table had no rows for the transcript, or a condition had too few reads.
-OK, NO_ROWS, FEW_READS = "OK", "GLMT1", "GLMT2"
-
-
 def adjusted(df: DataFrame, p: str, out: str = "padj") -> DataFrame:
     """Benjamini-Hochberg over one row per test; null p stays null and doesn't count.
 
     The windows have no partition: tests are per transcript, some 10^5 rows of a few columns in any species, however many reads there are.
     """
-    tests = df.where(F.col(p).isNotNull())
-    n = F.count("*").over(Window.partitionBy(F.lit(1)))
-    rank = F.rank().over(Window.orderBy(p)) + F.count("*").over(Window.partitionBy(p)) - 1
-    scaled = tests.withColumn("_q", F.col(p) * n / rank)
-    w = Window.orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, 0)
-    done = scaled.withColumn(out, F.least(F.lit(1.0), F.min("_q").over(w))).drop("_q")
-    return done.unionByName(df.where(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))
+    by_p = Window.orderBy(F.col(p).asc_nulls_last())
+    rank = F.rank().over(by_p) + F.count("*").over(Window.partitionBy(p)) - 1
+    scaled = df.withColumn("_q", F.col(p) * F.count(p).over(Window.partitionBy(F.lit(1))) / rank)
+    from_top = Window.orderBy(F.col(p).desc_nulls_last()).rangeBetween(Window.unboundedPreceding, 0)
+    return scaled.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("_q").over(from_top)))).drop("_q")
