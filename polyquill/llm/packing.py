@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .shared import cut
 from .textkit import slices
+from .wordids import WordIds
 
 CAPACITY, END_ID, NODES, FILLINGS = 4096, 1, 4000, 4
 #: Pieces numbered together, about.
@@ -39,24 +40,20 @@ def pieces(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY, end_i
     model = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(model.value)
+        words = WordIds(model.value)
         for whole in batches:
-            for batch in slices(whole, most=500_000):
-                out: list[list] = [[], [], [], [], []]
-                texts = [t or "" for t in batch.column("text").to_pylist()]
-                for doc, e in zip(batch.column("doc_id").to_pylist(), tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-                    ids = np.array([*e.ids, end_id], "<u4")
-                    for k, at in enumerate(range(0, len(ids), capacity)):
-                        part = ids[at : at + capacity]
-                        for column, value in zip(out, (doc, k, at, len(part), zlib.crc32(part.tobytes()))):
-                            column.append(value)
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            for batch in slices(whole, most=1_000_000):
+                ids, first = words.encode(batch.column("text"), end_id)
+                ids = ids.astype("<u4")
+                size = np.diff(first)
+                count = -(-size // capacity)
+                row = np.repeat(np.arange(batch.num_rows), count)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                start = piece * capacity
+                length = np.minimum(size[row] - start, capacity)
+                begin = first[row] + start
+                crc = [zlib.crc32(ids[a:b]) for a, b in zip(begin.tolist(), (begin + length).tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
