@@ -32,9 +32,11 @@ from pyspark.sql import functions as F
 
 from .eftrie import DISCOUNT, Trie, probability, quantised
 from .shared import shared_folder
-from .textkit import Hasher, lower_ascii, mix, slices, space_words, utf8, word_spans
+from .textkit import Hasher, lower_ascii, mix, slices, space_words, trim, utf8, word_spans
 
-SLICE, SHARD_TOKENS, CLASS_TOKENS = 8_000_000, 1_500_000, 1_500_000
+SLICE, SHARD_TOKENS, CLASS_TOKENS = 6_000_000, 1_000_000, 1_500_000
+#: Trigrams that a trie scores at once.
+_STEP = 1 << 17
 _END, _UNKNOWN, _START = np.uint64(0x5EED), 0, 1
 _PARTS = "slice long, shard int, blob binary"
 
@@ -92,6 +94,8 @@ def _exchange(df: DataFrame, column: str, parts: int, f: Callable, schema: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, rows in _groups(batches, column):
             yield from f(key, rows)
+            del rows
+            trim()
 
     return df.repartition(parts, column).sortWithinPartitions(column, other).mapInArrow(run, schema)
 
@@ -110,17 +114,24 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = batch.column("doc_id")
             missing = np.asarray(ids.is_null())
             ids = np.asarray(ids.fill_null(0), np.int64)
+            c = np.bincount(token, np.repeat(~held, size), len(words)).astype(np.uint32)
             often = np.argsort(-np.bincount(token, minlength=len(words)), kind="stable")  # frequent words get small numbers
             place = np.empty(len(words), np.int64)
             place[often] = np.arange(len(words))
-            words, token = words[often], place[token]
-            c = np.bincount(token, np.repeat(~held, size), len(words)).astype(np.uint32)
-            bucket = words.astype(np.uint16)
-            blob = _pack(ids, missing, held, size.astype(np.uint32), bucket, token.astype(np.uint16 if len(words) <= 1 << 16 else np.uint32))
+            token = place[token]
+            narrow = np.uint16 if len(words) <= 1 << 16 else np.uint32
+            blob = _pack(ids, missing, held, size.astype(np.uint32), often.astype(narrow), token.astype(narrow))
             n = int(size.sum())
             columns = [pa.array([number]), pa.array([-1], pa.int32()), pa.array([blob], pa.binary()), pa.array([_pack(words, c)], pa.binary()), pa.array([n]), pa.array([int(size[~held].sum())])]
             yield pa.RecordBatch.from_arrays(columns, ["slice", "shard", "blob", "words", "tokens", "learned"])
             number += 1
+            del raw, begin, end, h, words, token, often, place
+            trim()
+
+
+def _word_shard(words: np.ndarray, shards: int) -> np.ndarray:
+    """Shards are ranges of the hash, so a slice's sorted words lie in the order of their shards."""
+    return (((words >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
 
 
 def _ask_words(shards: int) -> Callable:
@@ -128,8 +139,8 @@ def _ask_words(shards: int) -> Callable:
         for b in batches:
             for s, blob in zip(b.column("slice").to_pylist(), b.column("blob")):
                 words, c = _unpack(blob.as_py())
-                k = words.astype(np.uint16) % shards
-                yield _rows([(s, int(i), _pack(words[k == i], c[k == i])) for i in np.unique(k)])
+                ks, at = np.unique(_word_shard(words, shards), return_index=True)
+                yield _rows([(s, int(k), _pack(np.diff(words[x:y], prepend=np.uint64(0)), c[x:y])) for k, x, y in zip(ks, at, [*at[1:], len(words)])])
 
     return run
 
@@ -137,7 +148,7 @@ def _ask_words(shards: int) -> Callable:
 def _answer_words(shards: int) -> Callable:
     def f(shard: int, rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         asked = [_unpack(b) for _, b in rows]
-        words, _, back = _distinct(np.concatenate([a[0] for a in asked]))
+        words, _, back = _distinct(np.concatenate([np.cumsum(a[0], dtype=np.uint64) for a in asked]))
         c = np.bincount(back, np.concatenate([a[1] for a in asked])).astype(np.int64)
         number = np.empty(len(c), np.int64)
         number[np.argsort(-c, kind="stable")] = 2 + shard + shards * np.arange(len(c))  # frequent words get small numbers
@@ -156,16 +167,13 @@ def _answer_words(shards: int) -> Callable:
 class _Slice:
     """A slice with the answers of the word shards: its distinct trigrams in the order of its questions."""
 
-    def __init__(self, blob: bytes, answers: list[bytes], shards: int, word_shards: int, total: int, kinds: int, class_tokens: int = CLASS_TOKENS) -> None:
-        self.ids, self.missing, self.held, size, bucket, token = _unpack(blob)
-        count, number = np.zeros(len(bucket), np.int64), np.zeros(len(bucket), np.int64)
-        k = bucket % word_shards
-        for i, a in zip(np.unique(k), answers, strict=True):
-            count[k == i], number[k == i] = _unpack(a)
+    def __init__(self, blob: bytes, answers: list[bytes], shards: int, total: int, kinds: int, class_tokens: int = CLASS_TOKENS) -> None:
+        self.ids, self.missing, self.held, size, often, token = _unpack(blob)
+        count, number = (np.concatenate(x).astype(np.int64)[often] for x in zip(*map(_unpack, answers)))  # answers lie in the order of the hashes
         self.size, self.first = size.astype(np.int64), np.concatenate([[0], np.cumsum(size[:-1], dtype=np.int64)])
-        self.count = count[token]
         log = np.log10((count + 0.5) / (total + 0.5 * (kinds + 1))) if total else np.zeros(len(count))
-        self.base = log[token]
+        self.base = np.add.reduceat(log[token], self.first)
+        self.known = np.add.reduceat((count > 0)[token].astype(np.int64), self.first)
 
         # unknown words are one word; the last number is that of a text's start
         words, one, same = _distinct(number)
@@ -254,35 +262,57 @@ class _Slice:
             p[self.divided] += back3[self.divided_context] * p2[self.divided_pair]
         logs = np.log10(p)
         add = lambda x: np.add.reduceat(x, self.first)
-        return [self.size, add((self.count > 0).astype(np.int64)), add(self.base), add(logs[self.entry])]
+        return [self.size, self.known, self.base, add(logs[self.entry])]
 
 
 def _answer_trigrams(shard: int, rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Codes for each slice's trigrams.  Arrays go as soon as they have served, since a shard's questions are the most that a task holds."""
     asked = [_unpack(b) for _, b in rows]
     for a in asked:
         a[0] = np.cumsum(a[0], dtype=np.uint32)
         a[4] = a[4][_distinct(a[2])[2]]
-    v, nth, w, runs, code, u3, c3 = (np.concatenate([a[i] for a in asked]) for i in range(7))
     sizes = [len(a[5]) for a in asked]
     more = _answer_pairs([a[7:] for a in asked])
+    joined = lambda i: np.concatenate([a[i] for a in asked])
+    v, nth, w, runs, code, u3, c3 = map(joined, range(7))
+    slices_ = [s for s, _ in rows]
+    rows.clear()
     del asked
-    contexts, _, context = _distinct((v.astype(np.uint64) << np.uint64(32)) | nth)
+    whole = nth == 0
+    _, _, context = _distinct((v.astype(np.uint64) << np.uint64(32)) | nth)
+    del v, nth
+    context = context.astype(np.uint32)
     pair, one, of = _distinct((context.astype(np.uint64) << np.uint64(32)) | w)
-    v, w, divided = context[one], w[one], nth[one] > 0
+    v2, w2, divided = context[one].astype(np.int64), w[one], ~whole[one]
     base = np.where(divided, 0, probability(code[one]))  # a divided word's answers are without P(w | v)
-    context, whole = np.repeat(context, runs), np.repeat(nth == 0, runs)
-    triple, _, back = _distinct((np.repeat(of, runs) << 32) | u3)
-    c3, b3, u3 = np.bincount(back, c3, len(triple)), triple >> 32, triple & 0xFFFFFFFF
-    c2 = np.bincount(b3, c3, len(pair))
+    n_pairs = len(pair)
+    of = np.repeat(of.astype(np.uint32), runs)
+    asked_context, asked_whole = (np.repeat(context, runs), np.repeat(whole, runs)) if any(more) else (None, None)
+    del pair, one, code, w, context, whole, runs
+    triple, _, back = _distinct((of.astype(np.int64) << 32) | u3)
+    del of
+    back = back.astype(np.uint32)
+    c3 = np.bincount(back, c3, len(triple)).astype(np.uint32)
+    asked_u = u3 if any(more) else None
+    b3, u3 = (triple >> 32).astype(np.uint32), (triple & 0xFFFFFFFF).astype(np.uint32)
+    del triple
+    c2 = np.bincount(b3, c3, n_pairs)
     seen, dense = c2 > 0, np.cumsum(c2 > 0) - 1
     full = c3 > 0
-    trie = Trie(Trie.build(v[seen], w[seen], c2[seen], base[seen], dense[b3[full]], u3[full], c3[full], divided[seen]))
-    codes = quantised(trie.score(u3, v[b3], w[b3], base[b3]))[back]
+    trie = Trie(Trie.build(v2[seen], w2[seen], c2[seen], base[seen], dense[b3[full]], u3[full], c3[full], divided[seen]))
+    del full, c3, c2, dense, seen
+    trim()
+    codes = np.empty(len(u3), np.uint16)
+    for x in range(0, len(u3), _STEP):
+        b = b3[x : x + _STEP]
+        codes[x : x + _STEP] = quantised(trie.score(u3[x : x + _STEP], v2[b], w2[b], base[b]))
+    del u3, b3
+    codes = codes[back]
     at = 0
-    for (s, _), n, m in zip(rows, sizes, more):
+    for s, n, m in zip(slices_, sizes, more):
         if m:
-            mine = at + np.flatnonzero(~whole[at : at + n])
-            contexts, _, _ = _distinct((context[mine] << 32) | u3[back[mine]])
+            mine = at + np.flatnonzero(~asked_whole[at : at + n])
+            contexts, _, _ = _distinct((asked_context[mine].astype(np.int64) << 32) | asked_u[mine])
             m = [quantised(trie.back(contexts & 0xFFFFFFFF, contexts >> 32)), *m]
         yield _rows([(s, shard, _pack(codes[at : at + n], *m))])
         at += n
@@ -316,7 +346,7 @@ def score(docs: DataFrame, shard_tokens: int = SHARD_TOKENS, class_tokens: int =
     cut = spark.read.parquet(f"{folder}/slices")
     tokens, total = cut.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("learned"), F.lit(0))).first()
     shards = max(1, -(-tokens // shard_tokens))
-    word_shards = max(1, min(shards // 4, 1 << 16))
+    word_shards = max(1, shards // 4)
     words = cut.select("slice", "shard", F.col("words").alias("blob"))
     cut = cut.select("slice", "shard", "blob")
 
@@ -326,12 +356,12 @@ def score(docs: DataFrame, shard_tokens: int = SHARD_TOKENS, class_tokens: int =
     known = cut.unionByName(words.select("slice", "shard", "blob"))
 
     def ask(s: int, rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        one = _Slice(rows[0][1], [b for _, b in rows[1:]], shards, word_shards, total, kinds, class_tokens)
+        one = _Slice(rows[0][1], [b for _, b in rows[1:]], shards, total, kinds, class_tokens)
         yield from (_rows([(s, k, b)]) for k, b in one.questions())
 
     def finish(s: int, rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         mine = [b for k, b in rows if k < word_shards]
-        one = _Slice(mine[0], mine[1:], shards, word_shards, total, kinds, class_tokens)
+        one = _Slice(mine[0], mine[1:], shards, total, kinds, class_tokens)
         size, n_known, base, logs = one.results([b for k, b in rows if k >= word_shards])
         ids = pa.array(one.ids, mask=one.missing)
         columns = [ids, pa.array(one.held), pa.array(size), pa.array(n_known), pa.array(np.full(len(size), total, np.int64)), pa.array(base), pa.array(logs)]

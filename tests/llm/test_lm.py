@@ -77,11 +77,11 @@ def test_hot_words_are_divided():
 
     r = np.random.default_rng(1)
     token, size = r.integers(0, 9, 4000).astype(np.uint16), np.full(40, 100, np.uint32)
-    blob = _pack(np.arange(40), np.zeros(40, bool), np.arange(40) % 5 == 1, size, np.zeros(9, np.uint16), token)
+    blob = _pack(np.arange(40), np.zeros(40, bool), np.arange(40) % 5 == 1, size, np.arange(9, dtype=np.uint16), token)
     out = []
     for shards, times in ((1, 40_000), (7, 40_000), (7, 1)):
         c = np.bincount(token, minlength=9) * times
-        s = _Slice(blob, [_pack(c, np.arange(2, 11, dtype=np.uint32))], shards, 1, 4000 * times, 9)
+        s = _Slice(blob, [_pack(c, np.arange(2, 11, dtype=np.uint32))], shards, 4000 * times, 9)
         asked = list(s.questions())
         answers = [b.column("blob")[0].as_py() for k, q in asked for b in _answer_trigrams(k, [(0, q)])]
         assert sum(_unpack(q)[6].sum() for _, q in asked) == 3200 and (_unpack(asked[0][1])[1].max() > 0) == (times > 1)
@@ -111,8 +111,8 @@ def test_divided_words_over_slices():
     c = np.bincount(np.concatenate(tokens), minlength=n)
     out = []
     for most in (10**9, 30):
-        blobs = [_pack(np.arange(len(z)), np.zeros(len(z), bool), np.zeros(len(z), bool), np.array(z, np.uint32), np.zeros(n, np.uint16), t.astype(np.uint16)) for t, z in zip(tokens, sizes)]
-        slices = [_Slice(b, [_pack(c, np.arange(2, n + 2, dtype=np.uint32))], 5, 1, int(c.sum()), n, most) for b in blobs]
+        blobs = [_pack(np.arange(len(z)), np.zeros(len(z), bool), np.zeros(len(z), bool), np.array(z, np.uint32), np.arange(n, dtype=np.uint16), t.astype(np.uint16)) for t, z in zip(tokens, sizes)]
+        slices = [_Slice(b, [_pack(c, np.arange(2, n + 2, dtype=np.uint32))], 5, int(c.sum()), n, most) for b in blobs]
         asked = sorted((k, i, q) for i, s in enumerate(slices) for k, q in s.questions())
         answers = [(i, b) for k in range(5) for batch in _answer_trigrams(k, [(i, q) for j, i, q in asked if j == k]) for i, b in zip(batch.column("slice").to_pylist(), batch.column("blob").to_pylist())]
         out.append(np.concatenate([s.results([b for j, b in answers if i == j])[3] for i, s in enumerate(slices)]))
