@@ -92,3 +92,45 @@ def integer_mode(c: Column) -> Column:
     """The most frequent whole part over zero, of equals the least; 1 if there is none."""
     whole = c.cast("int")
     return F.coalesce(F.mode(F.when(whole > 0, whole), True), F.lit(1))
+
+
+def corrected_warning(c: Column, test: Column) -> Column:
+    """A label with -WARN where a test holds."""
+    return F.when(F.coalesce(test, F.lit(False)), F.concat(c, F.lit("-WARN"))).otherwise(c)
+
+
+def guppy_position(length: Column, samples: Column, chunk_start: Column) -> Column:
+    """A chunk's distance from the tail's end by the tail's own number of samples; centre start + 50, two decimals."""
+    return F.bround(length - F.try_divide(length * (chunk_start + 50), samples), 2)
+
+
+def tail_type(call: Column) -> Column:
+    return F.when(call == "A", "polyA").when(call == "T", "polyT").otherwise("unidentified")
+
+
+def cdna_code(decorated: Column, blank: Column, length: Column) -> Column:
+    """The reason code of a cDNA read; a short tail goes before all else."""
+    return F.when(length < 10, "IRL").when(blank, "MPU").when(decorated, "YAY").otherwise("MAU")
+
+
+def safe_id(c: Column) -> Column:
+    return F.regexp_replace(c, "[^A-Za-z0-9]", "_")
+
+
+def best_match(sequence: Column, primer: str, begin: int, end: int) -> Column:
+    """struct(position, distance, matched) of the first best window of a primer's length in a stretch (places from 1)."""
+    n = len(primer)
+    starts = F.sequence(F.lit(begin), F.greatest(F.least(F.lit(end), F.length(sequence)) - n + 1, F.lit(begin)))
+    each = F.transform(starts, lambda i: F.struct(F.levenshtein(F.lit(primer), F.substring(sequence, i, F.lit(n))).alias("distance"), i.alias("position")))
+    best = F.array_min(each)
+    return F.struct(best["position"].alias("position"), best["distance"].alias("distance"), F.substring(sequence, best["position"], F.lit(n)).alias("matched"))
+
+
+def oriented_primers(sequence: Column, call: Column, front: str, rear: str, window: int = 150) -> Column:
+    """The best matches of both primers for the chosen layout; anything but T is read as A."""
+    swap = str.maketrans("ACGTN", "TGCAN")
+    rc = lambda x: x.translate(swap)[::-1]
+    bottom = F.right(sequence, F.lit(window))
+    a = F.struct(best_match(sequence, front, 1, window).alias("top"), best_match(bottom, rc(rear), 1, window).alias("bottom"))
+    t = F.struct(best_match(sequence, rear, 1, window).alias("top"), best_match(bottom, rc(front), 1, window).alias("bottom"))
+    return F.when(call == "T", t).otherwise(a)

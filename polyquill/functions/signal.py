@@ -68,10 +68,7 @@ def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, np.diff(np.append(start, len(x))), x[start]
 
 
-def chunks(x: np.ndarray, moves: np.ndarray, size: int = 100, least: int = 5, seed: int = 123) -> list[tuple[int, np.ndarray]]:
-    """(start from 1, samples) of a chunk centred on each run of at least ``least`` equal moves; what lies outside is drawn from the five most frequent values."""
-    moves = np.array(moves)
-    moves[-3:] = 0
+def _centred(x: np.ndarray, moves: np.ndarray, size: int, least: int, often: int, seed: int) -> list[tuple[int, np.ndarray]]:
     start, length, value = runs(moves)
     r, out = np.random.default_rng(seed), []
     for s, n, v in zip(start, length, value):
@@ -79,11 +76,18 @@ def chunks(x: np.ndarray, moves: np.ndarray, size: int = 100, least: int = 5, se
             first = int(s) + 1 + n // 2 - size // 2
             at = np.arange(first, first + size)
             inside = (at >= 1) & (at <= len(x))
-            fill = r.choice(most_frequent(x, 5), size)
+            fill = r.choice(most_frequent(x, often), size)
             out.append((int(first), np.where(inside, np.asarray(x, float)[np.clip(at - 1, 0, len(x) - 1)], fill)))
     return out
 
 
+def chunks(x: np.ndarray, moves: np.ndarray, size: int = 100, least: int = 5, seed: int = 123) -> list[tuple[int, np.ndarray]]:
+    """(start from 1, samples) of a chunk centred on each run of at least ``least`` equal moves; what lies outside is drawn from the five most frequent values."""
+    moves = np.array(moves)
+    moves[-3:] = 0
+    return _centred(x, moves, size, least, 5, seed)
+
+
 def overlapping(x: np.ndarray, segment: int, overlap: int, seed: int = 123) -> list[np.ndarray]:
     """Segments that overlap; what the last ones lack is drawn from the ten most frequent values."""
     step, x, r = segment - overlap, np.asarray(x, float), np.random.default_rng(seed)
@@ -91,6 +95,50 @@ def overlapping(x: np.ndarray, segment: int, overlap: int, seed: int = 123) -> l
     return [np.concatenate([p, r.choice(often, segment - len(p))]) for p in parts]
 
 
+def training_moves(x: np.ndarray, **how) -> np.ndarray:
+    """Pseudomoves for training sets: gaps filled as ever, then the first five and the last six are zero."""
+    out = pseudomoves(x, **how)
+    out[:5] = 0
+    out[len(out) - min(6, len(out)) :] = 0
+    return out
+
+
+def longest_run(x: np.ndarray, value: int | None = None) -> int:
+    """Length of the longest run of a value, or of any but 0."""
+    _, length, values = runs(x)
+    fits = values != 0 if value is None else values == value
+    return int(length[fits].max()) if fits.any() else 0
+
+
+def guppy_chunks(x: np.ndarray, moves: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Chunks without the last three moves set to zero; those without any move are left out."""
+    moves = np.asarray(moves)
+    out = []
+    for first, values in _centred(x, moves, 100, 5, 5, 123):
+        inside = moves[max(first - 1, 0) : first + 99]
+        if inside.any():
+            out.append((first, values))
+    return out
+
+
+def signed_chunks(value: int):
+    """Chunks for training whose own pseudomoves have a run of at least four of a value and that begin inside the signal."""
+
+    def cut(x: np.ndarray, moves: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        found = _centred(x, np.asarray(moves), 100, 4, 3, 123)
+        return [(first, values) for first, values in found if first >= 0 and longest_run(pseudomoves(values), value) >= 4]
+
+    return cut
+
+
+def pure_chunks(x: np.ndarray, moves: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Overlapping segments of a tail that nowhere has four moves in a row."""
+    busy = np.convolve(np.asarray(moves) != 0, np.ones(4), "valid") if len(moves) >= 4 else np.zeros(0)
+    if (busy >= 4).any():
+        return []
+    return [(1 + 50 * i, part) for i, part in enumerate(overlapping(x, 100, 50))]
+
+
 def gaf(x: np.ndarray, method: str = "s") -> np.ndarray:
     """Gramian angular field, scaled to 0..1 with 4 decimals: of sums of arc cosines, or of sums of arc sines for "d"."""
     x = np.asarray(x, float)
@@ -101,17 +149,27 @@ def gaf(x: np.ndarray, method: str = "s") -> np.ndarray:
     return np.round((g - g.min()) / wide if wide else np.zeros_like(g), 4)
 
 
-def stacked_gaf(x: np.ndarray) -> np.ndarray:
+def stacked_gaf(x: np.ndarray, size: int = 100) -> np.ndarray:
+    """Both fields of a chunk of the length that the classifier takes."""
+    if len(x) != size:
+        raise ValueError(f"a chunk has {size} samples")
     return np.stack([gaf(x, "s"), gaf(x, "d")], axis=-1)
 
 
-def density_mode(x: np.ndarray, points: int = 512) -> float:
-    """Where a Gaussian kernel density (rule-of-thumb bandwidth) is highest."""
+def density(x: np.ndarray, points: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """A Gaussian kernel density over evenly spaced places (rule-of-thumb bandwidth)."""
     x = np.asarray(x, float)
     sd, iqr = x.std(ddof=1) if len(x) > 1 else 0.0, np.subtract(*np.quantile(x, [0.75, 0.25]))
     h = 0.9 * (min(sd, iqr / 1.34) or sd or abs(x[0]) or 1.0) * len(x) ** -0.2
     grid = np.linspace(x.min() - 3 * h, x.max() + 3 * h, points)
-    return float(grid[np.argmax(sum(np.exp(-0.5 * ((grid - v) / h) ** 2) for v in x))])
+    values = sum(np.exp(-0.5 * ((grid - v) / h) ** 2) for v in x) / (len(x) * h * np.sqrt(2 * np.pi))
+    return grid, values
+
+
+def density_mode(x: np.ndarray, points: int = 512) -> float:
+    """Where the density is highest."""
+    grid, values = density(x, points)
+    return float(grid[np.argmax(values)])
 
 
 def _column(f, kind: T.DataType):
@@ -120,3 +178,24 @@ def _column(f, kind: T.DataType):
 
 winsorized, resampled, moves = (_column(f, T.ArrayType(T.LongType())) for f in (winsorize, resample, pseudomoves))
 gaf_rows = _column(lambda x: gaf(x).ravel() if len(x) else x, T.ArrayType(T.DoubleType()))
+has_run = F.pandas_udf(lambda s: pd.Series([v is not None and longest_run(np.asarray(v)) >= 5 for v in s]), T.BooleanType())
+
+
+def calibrated(signal, offset, scale):
+    """Raw samples in picoampere, as a column of arrays."""
+    return F.transform(signal, lambda x: (x + offset) * scale)
+
+
+def segment(position, tail_start, tail_end):
+    return F.when(position < tail_start, "adapter").when(position <= tail_end, "poly(A)").otherwise("transcript")
+
+
+def tail_crop(signal, tail_start, tail_end, around: int = 150):
+    """The tail with so many samples on both sides, as far as the signal goes; places from 1."""
+    low, high = F.greatest(tail_start - around, F.lit(1)), F.least(tail_end + around, F.size(signal))
+    return F.slice(signal, low.cast("int"), F.greatest(high - low + 1, F.lit(0)).cast("int"))
+
+
+def overlay(position, label, half: int = 250, scale: float = 1.0):
+    """The marked stretch around a residue's sample."""
+    return F.struct(((position - half) * scale).alias("xmin"), ((position + half) * scale).alias("xmax"), label.alias("label"))

@@ -8,8 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import integer_mode
-
 
 def _by(groups: str | Sequence[str] | None) -> list[str]:
     return [] if groups is None else [groups] if isinstance(groups, str) else list(groups)
@@ -59,13 +57,6 @@ def passed(df: DataFrame, qc: str = "qc_tag", pass_only: bool = True) -> DataFra
     raise ValueError("qc_tag must be text or a number")
 
 
-def merge(classes: DataFrame, wide: DataFrame) -> DataFrame:
-    """Reads with their residue counts; numbers that are absent become 0."""
-    joined = natural_join(classes, wide, "full")
-    numbers = [f.name for f in joined.schema if f.dataType.typeName() in ("integer", "long", "double", "float", "short")]
-    return joined.na.fill(0, numbers)
-
-
 def summarize(merged: DataFrame, by: Sequence[str], length: str, values: Sequence[str]) -> DataFrame:
     counts = {v: F.col(f"prediction_{v}") for v in values}
     total = reduce(lambda a, b: a + b, counts.values())
@@ -75,30 +66,6 @@ def summarize(merged: DataFrame, by: Sequence[str], length: str, values: Sequenc
     return merged.groupBy(*by).agg(*cols)
 
 
-def corrected_residues(classes: DataFrame, residues: DataFrame, transcript: str, length: str, position: str, kind: str, listed: Sequence = ()) -> DataFrame:
-    """Residues with the statistics of their transcript and qc_pos: Y unless the position looks like an artefact."""
-    per_read = classes.groupBy(transcript).agg(F.percentile(length, F.lit(0.05)).alias("seg_err_quart"), integer_mode(F.col(length)).alias("mode_len"), F.count("*").alias("count"))
-    per_residue = residues.groupBy(transcript, kind).agg(integer_mode(F.col(position)).alias("mode_pos"), F.percentile(position, F.lit(0.05)).alias("pos_err_quart"), F.count("*").alias("count_nonA"))
-    d = residues.join(per_read, transcript, "left").join(per_residue, [transcript, kind], "left")
-    pos, many, mode, quart, seg = F.col(position), F.col("count_nonA") > 10, F.col("mode_pos"), F.col("pos_err_quart"), F.col("seg_err_quart")
-    few = F.col("count_nonA") < 10
-    share = F.try_divide(pos, F.col(length)) * 100
-    yes = [
-        F.coalesce(F.col(transcript).isin(list(listed)), F.lit(False)) if listed else F.lit(False),
-        many & (pos > mode) & ((mode < quart) | ((mode > quart) & (pos - quart > 4))), many & (mode > seg), many & (pos > quart) & (pos > seg), few & (pos > seg),
-        many & (F.col(length) < 50) & (share < F.col("mode_len")) & (pos > quart) & (quart > 10), (F.col("count") < 10) & few, few,
-    ]
-    return d.withColumn("qc_pos", F.when(reduce(lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for c in yes]), "Y").otherwise("N"))
-
-
-def corrected_classes(classes: DataFrame, edited: DataFrame, read: str = "readname") -> DataFrame:
-    n = edited.groupBy(read).agg(F.count("*").alias("n_resid"), F.count_if(F.col("qc_pos") == "N").alias("no_qc_pos_N"))
-    d = classes.join(n, read, "left")
-    new = F.when(F.col("n_resid") == F.col("no_qc_pos_N"), "blank").when(F.col("n_resid") > F.col("no_qc_pos_N"), "decorated").otherwise(F.col("class"))
-    d = d.withColumn("corr_class", new)
-    return d.withColumn("corr_comments", F.when(F.col("class") == F.col("corr_class"), F.col("comments")).otherwise("MPU"))
-
-
 def shares(df: DataFrame, group: str, column: str) -> DataFrame:
     """Rows per value and their share of the group's."""
     n = df.groupBy(group, column).agg(F.count("*").alias("n"))

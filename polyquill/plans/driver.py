@@ -6,42 +6,23 @@ l_quantity: position, l_suppkey: transcript), l_linestatus for the two condition
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..functions import signal as K
 from ..operators import stats
 from ..operators import tables as T
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def _query(sql: str | None = None):
-    def add(f):
-        name = f.__name__
-
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
-
-        _QUERIES[name] = run
-        if sql:
-            _SQL[name] = sql
-        return f
-
-    return add
+from . import reads  # noqa: F401  (registers its queries)
+from .registry import QUERIES, SQL, Query
+from .registry import query as _query
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
 
 
 @_query("select o_orderstatus, count(*) as n from orders group by all")
@@ -83,13 +64,6 @@ def spread_residues(t):
     return _spread(t)
 
 
-@_query(f"""select coalesce(o.o_orderkey, w.l_orderkey) as l_orderkey, o_orderstatus, coalesce(o_custkey, 0) as o_custkey, l_linestatus, coalesce("prediction_A", 0) as "prediction_A",
-coalesce("prediction_N", 0) as "prediction_N", coalesce("prediction_R", 0) as "prediction_R", "nonA_residues" from (select * from orders where o_orderstatus <> 'P') o full join ({_SPREAD}) w on o.o_orderkey = w.l_orderkey""")
-def merge_tables(t):
-    reads = t("orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus", "o_custkey")
-    return T.merge(reads, _spread(t)).select("l_orderkey", "o_orderstatus", "o_custkey", "l_linestatus", "prediction_A", "prediction_N", "prediction_R", "nonA_residues")
-
-
 @_query(f"""select l_linestatus, median(o_totalprice) as polya_median, round(avg(o_totalprice), 4) as polya_mean, count(*) as counts_total, count(*) filter (a + n + r = 0) as counts_blank,
 count(*) filter (a + n + r <> 0) as "counts_nonA", sum(a + n + r)::bigint as "hits_nonA", count(*) filter (n <> 0) as "counts_N", sum(n)::bigint as "hits_N"
 from (select l_linestatus, o_totalprice, "prediction_A" a, "prediction_N" n, "prediction_R" r from ({_SPREAD}) join orders on l_orderkey = o_orderkey) group by all""")
@@ -99,19 +73,6 @@ def summarize(t):
     return out.withColumn("polya_mean", F.round("polya_mean", 4)).select("l_linestatus", "polya_median", "polya_mean", "counts_total", "counts_blank", "counts_nonA", "hits_nonA", "counts_N", "hits_N")
 
 
-# positions here end at 7, so the rule that asks for a quartile over 10 can't hold
-@_query("""with p as (select l_suppkey, quantile_cont(l_quantity, 0.05) seg, count(*) c from lineitem group by 1),
-m as (select l_suppkey, l_returnflag, arg_min(x, row(-n, x)) mp from (select l_suppkey, l_returnflag, l_linenumber x, count(*) n from lineitem group by all) group by all),
-q as (select l_suppkey, l_returnflag, quantile_cont(l_linenumber, 0.05) qt, count(*) cn from lineitem group by all),
-z as (select *, case when cn > 10 and l_linenumber > mp and (mp < qt or (mp > qt and l_linenumber - qt > 4)) or cn > 10 and mp > seg or cn > 10 and l_linenumber > qt and l_linenumber > seg
-or cn < 10 then 'Y' else 'N' end qc_pos from lineitem join p using (l_suppkey) join m using (l_suppkey, l_returnflag) join q using (l_suppkey, l_returnflag))
-select l_suppkey, l_returnflag, qc_pos, count(*) as n from z group by all""")
-def correct_residues(t):
-    li = t("lineitem")
-    return T.count_by(T.corrected_residues(li, li, "l_suppkey", "l_quantity", "l_linenumber", "l_returnflag"), "qc_pos", ["l_suppkey", "l_returnflag"])
-
-
-
 @_query("select * from events where event_type <> 'view' and value <> 0 and user_id <> 0 and value >= 10")
 def filter_summary(t):
     as_summary = t("events").withColumns({"alignment_direction": F.when(F.col("event_type") == "view", "*").otherwise("+"), "alignment_mapq": F.col("value"), "poly_tail_start": F.col("user_id"), "poly_tail_length": F.col("value")})
@@ -238,14 +199,24 @@ def _signals(t):
     return t("events").groupBy("user_id").agg(F.transform(pairs, lambda x: x["value"]).alias("signal"))
 
 
-@_query()
+_SIGNAL = "with s as (select user_id, value, row_number() over (partition by user_id order by ts, event_id, value) i, count(*) over (partition by user_id) n from events)"
+
+
+def _samples(df, column):
+    return df.select("user_id", F.posexplode(column).alias("i", "value"))
+
+
+@_query(f"""{_SIGNAL}, q as (select user_id, quantile_cont(value, 0.005) lo, quantile_cont(value, 0.995) hi from s group by 1)
+select user_id, (i - 1)::int as i, trunc(least(greatest(value, lo), hi))::bigint as value from s join q using (user_id)""")
 def winsorize(t):
-    return _signals(t).select("user_id", K.winsorized("signal").alias("signal"))
+    return _samples(_signals(t), K.winsorized("signal"))
 
 
-@_query()
+@_query(f"""{_SIGNAL}, g as (select user_id, n, ceil(0.2 * n)::bigint m from s group by all), p as (select user_id, j, case when m = 1 then 0 else j * ((n - 1)::double / (m - 1)) end x, n from g, range(0, 100000) r(j) where j < m),
+f as (select *, least(floor(x)::bigint, n - 1) k from p)
+select f.user_id, j::int as i, round_even(a.value + (x - k) * (coalesce(b.value, a.value) - a.value), 0)::bigint as value from f join s a on a.user_id = f.user_id and a.i = k + 1 left join s b on b.user_id = f.user_id and b.i = k + 2""")
 def resample(t):
-    return _signals(t).select("user_id", K.resampled("signal").alias("signal"))
+    return _samples(_signals(t), K.resampled("signal"))
 
 
 @_query()
@@ -253,6 +224,12 @@ def pseudomoves(t):
     return _signals(t).select("user_id", K.moves("signal").alias("moves"))
 
 
-@_query()
+@_query("""with e as (select vec_id, unnest(embedding)::double v, generate_subscripts(embedding, 1) i from embeddings), m as (select *, min(v) over w lo, max(v) over w hi from e window w as (partition by vec_id)),
+a as (select vec_id, i, acos(greatest(-1, least(1, 2 * (v - lo) / (hi - lo) - 1))) x from m), g as (select p.vec_id, (p.i - 1) * count(*) over (partition by p.vec_id, p.i) + q.i - 1 as i, cos(p.x + q.x) v from a p join a q using (vec_id)),
+h as (select *, min(v) over w lo, max(v) over w hi from g window w as (partition by vec_id)) select vec_id, count(*)::int as n, round(sum(round((v - lo) / (hi - lo), 4)), 4) as total, round(sum(round((v - lo) / (hi - lo), 4) * (i % 1009)), 4) as weighted from h group by 1""")
 def gaf(t):
-    return t("embeddings").select("vec_id", K.gaf_rows("embedding").alias("gaf"))
+    """Sums over each field's entries, plain and weighted by place."""
+    g = t("embeddings").select("vec_id", K.gaf_rows("embedding").alias("g"))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    weighted = F.transform("g", lambda x, i: x * (i % 1009))
+    return g.select("vec_id", F.size("g").alias("n"), F.round(total(F.col("g")), 4).alias("total"), F.round(total(weighted), 4).alias("weighted"))

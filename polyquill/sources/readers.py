@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import corrected_label
-from ..operators.tables import require, union_samples
+from ..operators.tables import require, tailfindr, union_samples
 
 
 def table(spark: SparkSession, source: str | DataFrame) -> DataFrame:
@@ -62,5 +62,79 @@ def sam(spark: SparkSession, path: str) -> DataFrame:
     return good.groupBy("read_id").agg(F.min_by(F.struct(*[c for c in good.columns if c != "read_id"]), F.struct("pos", "flag")).alias("r")).select("read_id", "r.*")
 
 
+def tail_lengths(spark: SparkSession, source: str | DataFrame) -> tuple[DataFrame, str]:
+    """The table and its kind by its columns: nanopolish, or tailfindr's direct-RNA output, which is converted."""
+    df = table(spark, source)
+    names = set(df.columns)
+    if "qc_tag" in names:
+        return df, "nanopolish"
+    if {"read_id", "tail_start", "tail_end", "samples_per_nt", "tail_length"} <= names:
+        return tailfindr(df), "tailfindr_drs"
+    if "tail_is_valid" in names:
+        raise ValueError("cDNA output of tailfindr doesn't fit; direct-RNA output is needed")
+    raise ValueError("the table is neither nanopolish nor direct-RNA tailfindr output")
+
+
+def read_config(text: str) -> list[dict]:
+    """Samples of a YAML or JSON configuration, each with a group (ungrouped by default)."""
+    import json
+
+    try:
+        import yaml
+
+        found = yaml.safe_load(text)
+    except ImportError:
+        found = json.loads(text)
+    return [{"group": "ungrouped", "sample_name": name, **(given or {})} for name, given in (found or {}).get("samples", {}).items()]
+
+
+def read_configured(spark: SparkSession, samples: list[dict], reader=read_classes, path: str = "class_path") -> tuple[DataFrame | None, list[str]]:
+    """The union of the samples that can be read, and messages for the others."""
+    good, problems = [], []
+    for s in samples:
+        try:
+            reader(spark, s[path])  # resolves path and columns
+            good.append(s)
+        except Exception as e:  # one bad sample doesn't end the others
+            problems.append(f"{s.get('sample_name')}: {str(e).splitlines()[0][:200]}")
+    keys = ("sample_name", "group")
+    return (read_samples(spark, [{**{k: s[k] for k in keys if k in s}, path: s[path]} for s in good], reader, path) if good else None), problems
+
+
 def write_table(df: DataFrame, path: str) -> None:
     df.write.option("sep", "\t").option("header", True).csv(path)
+
+
+def save_outputs(outputs: dict[str, DataFrame], folder: str, prefix: str = "", now: str | None = None) -> dict[str, str]:
+    """Each table under its name, with time and prefix before it; nothing there is overwritten.  Returns the paths."""
+    from datetime import datetime
+
+    now = now or datetime.now().strftime("%Y-%m-%d_%H-%M-%S")
+    paths = {name: f"{folder}/{now}{'_' + prefix if prefix else ''}_{name}.tsv" for name in outputs}
+    for name, df in outputs.items():
+        write_table(df, paths[name])
+    return paths
+
+
+def save_cdna(outputs: dict[str, DataFrame | None], empty: DataFrame) -> dict[str, DataFrame]:
+    """The tables, empty ones for those that are missing."""
+    return {name: empty.limit(0) if df is None else df for name, df in outputs.items()}
+
+
+def write_parts(df: DataFrame, path: str, rows: int = 100_000) -> None:
+    """Files of at most so many rows, written where the rows are."""
+    df.write.option("maxRecordsPerFile", rows).option("sep", "\t").option("header", True).csv(path)
+
+
+def classified_path(path: str) -> str:
+    """Where the orientation results of a table go: beside it."""
+    return f"{path.rsplit('.', 1)[0]}_classified.tsv"
+
+
+def ready_folder(spark: SparkSession, path: str) -> None:
+    """Raises if a folder has anything in it; makes it where it isn't there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(target) and len(system.listStatus(target)):
+        raise ValueError(f"{path} isn't empty")
+    system.mkdirs(target)
