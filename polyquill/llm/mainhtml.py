@@ -1,18 +1,21 @@
 """Main text of web pages from flat text blocks and a decision tree over shallow features.
 
-A page is cut into flat blocks at block-level tags; scripts, styles, comments and markup leave nothing.  Features of a
-block are its word count, link density, text per enclosing tag kinds (article, navigation, form, ...) and heading level, and
-word count and link density of the previous and next block.  The tree is grown (Gini) on a small labelled table that is
-made from fixed page templates, with words drawn at random, so its size is fixed.
-
-Defined results: null or empty html gives an empty text; repeated pages are treated alike; character references are
-decoded; white space inside a block becomes one space; an empty table gives no rows.
+A page is cut into flat blocks at block-level tags; scripts, styles, comments and markup leave nothing.  Features of a block are
+its word count and link density, those of the block before and after it, whether it is a heading or an item or ends like a sentence,
+what enclosing tags (or, where pages mark them so, class names) say, and whether it lies outside the part that a page marks as
+its content.  The tree is grown (Gini) on a small labelled table that is made from fixed page templates of several layouts (marked
+content, plain body, tables, menus, forms, asides and comments inside the article), with words drawn at random, so its size is fixed.
+
+Defined results: null or empty html gives an empty text; repeated pages, and rows with a null page_id or url, are treated alike; character references are
+decoded; white space inside a block becomes one space; an empty table gives no rows; markup that no parser takes is read as text without its tags,
+so that no page can end a job; other columns of the table don't matter.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -21,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import shipped
+
 # Tags that begin and end a block, tags without text, and tags and names that speak of a block's role.
 BLOCK = "address article aside blockquote body br caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 SILENT = "script style noscript template svg canvas iframe object audio video head textarea".split()
@@ -36,58 +41,89 @@ _ROLES = {k: re.compile(v, re.I) for k, v in ROLES.items()}
 _SPACES = re.compile(r"\s+")
 
 
+_STAYS = {"br", "option", "label", "legend", "caption", "summary", "html", "head", "body"}  # don't end an open paragraph
+_IN_HEAD = {"title", "style", "script", "noscript", "template", "head", "html", "meta", "link", "base"}
+_TAGS = re.compile(r"<[^>]*>")
+
+
 class Blocks(HTMLParser):
-    """Collects (text, words, linked words, roles, tag) of each block with text."""
+    """Collects (text, words, linked words, roles, tag) of each block with text.  Open tags and roles are counted, so the work doesn't grow with the depth."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.out: list[tuple[str, int, int, frozenset, str]] = []
         self.open: list[tuple[str, frozenset]] = []
+        self.tags: Counter[str] = Counter()
+        self.roles: Counter[str] = Counter()
+        self.blocks: list[str] = []
         self.silent = self.links = 0
         self.parts: list[tuple[str, bool]] = []
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        return self.parse_bogus_comment(i)
+
     def flush(self) -> None:
         text = _SPACES.sub(" ", "".join(t for t, _ in self.parts)).strip()
         if text:
             linked = sum(len(t.split()) for t, in_link in self.parts if in_link)
-            roles = frozenset().union(*(r for _, r in self.open)) if self.open else frozenset()
-            tag = next((t for t, _ in reversed(self.open) if t in BLOCK), "body")
-            self.out.append((text, len(text.split()), linked, roles, tag))
+            self.out.append((text, len(text.split()), linked, frozenset(r for r, n in self.roles.items() if n > 0), self.blocks[-1] if self.blocks else "body"))
         self.parts = []
 
+    def push(self, tag: str, roles: frozenset) -> None:
+        self.open.append((tag, roles))
+        self.tags[tag] += 1
+        self.roles.update(roles)
+        if tag in BLOCK:
+            self.blocks.append(tag)
+        self.silent += tag in SILENT
+        self.links += tag == "a"
+
+    def pop(self) -> str:
+        tag, roles = self.open.pop()
+        self.tags[tag] -= 1
+        self.roles.subtract(roles)
+        if tag in BLOCK:
+            self.blocks.pop()
+        self.silent -= tag in SILENT
+        self.links -= tag == "a"
+        return tag
+
+    def close_to(self, tag: str) -> None:
+        while self.open and self.pop() != tag:
+            pass
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.tags["head"] > 0 and tag in BLOCK and tag not in _IN_HEAD:  # the head's end may be left out
+            self.close_to("head")
         if tag in BLOCK:
             self.flush()
+            if self.tags["p"] > 0 and tag not in _STAYS:  # so may a paragraph's
+                self.close_to("p")
         if tag in VOID:
             return
-        if tag == "p" and any(t == "p" for t, _ in self.open):  # a paragraph ends the one before
-            self.close_to("p")
         given = dict(attrs)
         names = f"{given.get('class') or ''} {given.get('id') or ''} {given.get('role') or ''}"
         roles = {k for k, r in _ROLES.items() if r.search(tag) or r.search(names)} - ({"content"} if tag == "body" else set())
+        if tag == "header" and self.roles["content"] > 0:  # an article's own head
+            roles.discard("chrome")
+        if roles - {"content"}:
+            roles.discard("content")
         if "hidden" in given or "display:none" in (given.get("style") or "").replace(" ", ""):
             roles.add("notice")
-        self.open.append((tag, frozenset(roles)))
-        self.silent += tag in SILENT
-        self.links += tag == "a"
-
-    def close_to(self, tag: str) -> None:
-        while self.open:
-            t, _ = self.open.pop()
-            self.silent -= t in SILENT
-            self.links -= t == "a"
-            if t == tag:
-                return
+        self.push(tag, frozenset(roles))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
             self.flush()
-        if any(t == tag for t, _ in self.open):
-            if tag not in BLOCK and tag not in SILENT:  # inline: only within the block around it
-                inner = [t for t, _ in self.open[::-1]]
-                if any(t in BLOCK for t in inner[: inner.index(tag)]):
+        if self.tags[tag] <= 0:
+            return
+        if tag not in BLOCK and tag not in SILENT:  # inline: only within the block around it
+            for t, _ in reversed(self.open):
+                if t == tag:
+                    break
+                if t in BLOCK:
                     return
-            self.close_to(tag)
+        self.close_to(tag)
 
     def handle_data(self, data: str) -> None:
         if not self.silent:
@@ -96,31 +132,46 @@ class Blocks(HTMLParser):
 
 def blocks(html: str | None) -> list[tuple[str, int, int, frozenset, str]]:
     parser = Blocks()
-    parser.feed(html or "")
-    parser.close()
+    try:
+        parser.feed(html or "")
+        parser.close()
+    except Exception:  # what the parser can't take is read as text without its tags
+        parser.handle_data(_TAGS.sub(" ", parser.rawdata))
     parser.flush()
     return parser.out
 
 
-FEATURES = ["words", "links", "before_words", "before_links", "after_words", "after_links", *ROLES, "heading", "item", "stop"]
+FEATURES = ["words", "links", "before_words", "before_links", "after_words", "after_links", "heading", "item", "stop", *ROLES, "outside"]
 
 
 def features(found: list[tuple[str, int, int, frozenset, str]]) -> np.ndarray:
     x = np.zeros((len(found), len(FEATURES)))
     for i, (text, words, linked, roles, tag) in enumerate(found):
         x[i, 0], x[i, 1] = words, linked / words
-        x[i, 6 : 6 + len(ROLES)] = [r in roles for r in ROLES]
-        x[i, -3:] = tag[0] == "h" and tag[1:].isdigit(), tag in ("li", "td", "th", "dd", "dt"), text[-1] in ".!?:;\"'”»)"
+        x[i, 6:9] = tag[0] == "h" and tag[1:].isdigit(), tag in ("li", "td", "th", "dd", "dt"), text[-1] in ".!?:;\"'”»)"
+        x[i, 9 : 9 + len(ROLES)] = [r in roles for r in ROLES]
     x[1:, 2:4] = x[:-1, 0:2]
     x[:-1, 4:6] = x[1:, 0:2]
+    content = x[:, 9 + list(ROLES).index("content")]
+    x[:, -1] = (content == 0) & content.any()
     return x
 
 
-def labelled_pages(n: int = 60, seed: int = 5) -> list[tuple[str, set[str]]]:
+def labelled_pages(n: int = 260, seed: int = 5) -> list[tuple[str, set[str]]]:
     """(html, its good blocks) from templates."""
     r = random.Random(seed)
     word = lambda: "".join(r.choice("abcdeghilmnoprstu") for _ in range(r.randint(1, 9)))
-    text = lambda a, b: (" ".join(word() for _ in range(r.randint(a, b)))).capitalize() + "."
+    words = lambda a, b: " ".join(word() for _ in range(r.randint(a, b))).capitalize()
+    text = lambda a, b: words(a, b) + "."
+    link = lambda: f"<a href='/x'>{word()}{r.choice(['', '', '.', ','])}</a>"
+    links = lambda k: "".join(f"<li>{link()}</li>" for _ in range(k))
+    noise = [
+        lambda: f"<nav><ul>{links(5)}</ul></nav>", lambda: f"<div class=menu>{link()} {link()}</div>", lambda: f"<div class=ad>{text(3, 40)}</div>", lambda: f"<aside><h3>{words(1, 4)}</h3><p>{text(3, 60)}</p></aside>",
+        lambda: f"<div class=cookie-banner><p>{text(4, 60)}</p></div>", lambda: f"<form><label>{words(1, 3)}</label><p>{text(2, 40)}</p><button>{word()}</button></form>", lambda: f"<div class=sidebar><p>{text(3, 60)}</p>{link()}</div>",
+        lambda: f"<div class=comments><h3>{words(1, 3)}</h3><p>{text(3, 90)}</p><p>{text(3, 90)}</p></div>", lambda: f"<section id=comments><div class=comment>{text(3, 90)}</div></section>", lambda: f"<div class=related>{link()} {link()}</div>",
+        lambda: f"<div class=share>{link()}</div>", lambda: f"<ul>{links(4)}</ul>", lambda: f"<div>{link()} {link()} {link()}</div>",
+        lambda: "".join(f"<div>{word()} {' '.join(link() for _ in range(r.randint(2, 8)))}</div>" for _ in range(r.randint(3, 6))), lambda: "".join(f"<p>{link()} {word()} {' '.join(link() for _ in range(r.randint(2, 8)))}</p>" for _ in range(r.randint(3, 6))),  # rows of links that no name marks
+    ]
     out = []
     for _ in range(n):
         good: set[str] = set()
@@ -129,23 +180,42 @@ def labelled_pages(n: int = 60, seed: int = 5) -> list[tuple[str, set[str]]]:
             good.add(t)
             return t
 
-        link = lambda: f"<a href='/x'>{word()}</a>"
-        inside, outside = r.choice([("article", "article"), ("div class=content", "div"), ("main", "main"), ("div id=post", "div"), ("div", "div")])
-        para = lambda: r.choice(["<p>{}</p>", "<p>{}<br>", "<div>{}</div>", "<p><b>{}</p>"]).format(keep(text(2, 90)))
-        listing = f"<ul>{''.join(f'<li>{keep(text(2, 20))}</li>' for _ in range(3))}</ul>" if r.random() < 0.5 else ""
-        extra = [
-            f"<nav><ul>{''.join(f'<li>{link()}</li>' for _ in range(5))}</ul></nav>", f"<div class=menu>{link()} {link()}</div>", f"<header><div>{text(2, 9)}</div></header>", f"<div class=ad>{text(3, 30)}</div>",
-            f"<aside><p>{text(3, 40)}</p></aside>", f"<div class=cookie-banner><p>{text(4, 40)}</p></div>", f"<form><label>{word()}</label><p>{text(2, 20)}</p><button>{word()}</button></form>", f"<div class=sidebar><p>{text(3, 50)}</p>{link()}</div>",
-        ]
-        after = [f"<div class=comments><p>{text(3, 60)}</p><p>{text(3, 60)}</p></div>", f"<footer>&copy; {word()} {text(2, 9)}</footer>", f"<section id=comments><div class=comment>{text(3, 60)}</div></section>", f"<div class=related>{link()} {link()}</div>"]
-        title = keep(text(3, 10))
-        within = r.choice(["", "", f"<div class=ad>{text(3, 30)}</div>", f"<div class=share>{link()}</div>"])
-        body = f"<{inside}><h1>{title}</h1>{para()}{para()}{within}<h2>{keep(word())}</h2>{listing}{''.join(para() for _ in range(r.randint(0, 4)))}</{outside}>"
-        out.append((f"<html><body>{''.join(r.sample(extra, 4))}{body}{''.join(r.sample(after, 2))}</body></html>", good))
+        def linked() -> str:  # a sentence of which a part, or nearly all, is a link
+            a, b, stop = words(1, 12), word(), r.choice(["", "."])
+            if r.random() < 0.5:
+                return f"<p>{a} <a href='/y'>{b}</a>{stop}</p>" if keep(f"{a} {b}{stop}") else ""
+            return f"<p>{b} <a href='/y'>{a}</a>{stop}</p>" if keep(f"{b} {a}{stop}") else ""
+
+        def para() -> str:
+            kind = r.random()
+            if kind < 0.3:
+                return linked()
+            return r.choice(["<p>{}</p>", "<p>{}</p>", "<p>{}<br>", "<div>{}</div>", "<p><b>{}</p>", "<blockquote>{}</blockquote>"]).format(keep(text(2, 90)))
+
+        def more() -> str:
+            kind = r.random()
+            if kind < 0.3:
+                return f"<ul>{''.join(f'<li>{keep(text(2, 20))}</li>' for _ in range(3))}</ul>"
+            if kind < 0.5:
+                return f"<table><tr><th>{keep(words(1, 3))}</th><td>{keep(words(1, 4))}</td></tr></table>"
+            return f"<h2>{keep(words(1, 6))}</h2>{para()}" if kind < 0.8 else para()
+
+        layout = r.choice(["<article>{}</article>", "<main>{}</main>", "<div class=content>{}</div>", "<div id=post>{}</div>", "<div>{}</div>", "{}", "{}"])
+        parts = [f"<h1>{keep(words(2, 10))}</h1>", para(), para(), *(more() for _ in range(r.randint(0, 5)))]
+        if layout != "{}":
+            for _ in range(r.randint(0, 3)):  # noise inside the article
+                parts.insert(r.randint(1, len(parts)), r.choice(noise)())
+        before = [r.choice(noise)() for _ in range(r.randint(0, 3))]
+        if layout[:5] in ("<arti", "<main") and r.random() < 0.5:  # marked content: what lies outside isn't
+            before.append(f"<p>{text(3, 40)}</p>")
+        head = f"<header><div>{words(1, 9)}</div></header>" if r.random() < 0.5 else ""
+        foot = f"<footer>&copy; {word()} {words(2, 9)}</footer>" if r.random() < 0.6 else ""
+        after = [r.choice(noise)() for _ in range(r.randint(0, 3))]
+        out.append((f"<html><body>{head}{''.join(before)}{layout.format(''.join(parts))}{''.join(after)}{foot}</body></html>", good))
     return out
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 7, least: int = 3):
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 10, least: int = 4):
     """A decision tree by Gini impurity: a share of good, or (feature, cut, low, high)."""
     share = float(y.mean()) if len(y) else 0.0
     if not depth or share in (0.0, 1.0):
@@ -191,13 +261,14 @@ def extract(html: str | None, tree) -> str:
 
 def report(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    model = pages.sparkSession.sparkContext.broadcast(train())
+    model = shipped(pages.sparkSession, train())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = model()
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 part = b.slice(at, 64)
-                texts = [extract(h, model.value) for h in part.column("html").to_pylist()]
+                texts = [extract(h, tree) for h in part.column("html").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")

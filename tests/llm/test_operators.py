@@ -223,8 +223,77 @@ def test_chunks_are_whole():
     assert chunks.gear(raw, at)[at[4] + 49] == h
 
 
-def test_html():
-    tree = mainhtml.train()
-    page = "<html><body><nav><a href=x>Home</a></nav><article><h1>A &amp; B</h1><p>Some   words that\nform a paragraph of the text.</p></article><div class=comments><p>First post by a reader of it.</p></div><footer>&copy; me</footer></body></html>"
-    assert mainhtml.extract(page, tree) == "A & B\n\nSome words that form a paragraph of the text."
-    assert mainhtml.extract(None, tree) == mainhtml.extract("", tree) == ""
+def test_items_that_share_an_id_and_clashing_columns(spark):
+    a = "one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([("x", a), ("x", "red green blue"), (None, "only this")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, f"{a} red green blue", "h", b"w"), (None, "see only this", "h", b"w"), (3, "", "h", b"w")], "doc_id long, text string, _hits string, _Items binary")
+    got = {r.doc_id: r for r in decontam.report(docs, bench).collect()}
+    assert (got[1].n_items, got[1].n_hit, got[1].items) == (1, 13, ["x"]) and got[None].items == [""] and got[3].n_words == 0
+    found, (marks, *_) = decontam.hits(docs, bench)
+    assert {r["_hits"] for r in found.collect()} == {"h"} and marks not in docs.columns
+    assert decontam.report(docs.where("false"), bench).count() == 0
+    assert not any(r.contaminated for r in decontam.report(docs, bench.where("false")).collect())
+    d, _, spans = pii.with_spans(docs.withColumn("_spans", docs["text"]), pii.train(spark))
+    assert d.where(f"size({spans}) = 0").count() == 3 and "_spans" in d.columns and spans != "_spans"
+
+
+def test_hashes_tell_crafted_words_apart(spark):
+    """Two words that collide in every polynomial hash modulo 2**64."""
+    a = "a"
+    for _ in range(10):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    texts = [f"{a} {a[::-1]} x y z q", f"{b} {b[::-1]} x2 y2 z2 q2"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([("i", a)], "item_id string, text string")
+    assert [r.contaminated for r in decontam.report(docs, bench).orderBy("doc_id").collect()] == [True, False]
+    assert [r.component_id for r in minhash.near_duplicates(docs).orderBy("doc_id").collect()] == [0, 1]
+
+
+def test_bytes_are_compared():
+    from polyquill.llm.textkit import eights, same_bytes, utf8
+    import pyarrow as pa
+
+    raw, at = utf8(pa.array(["abcdefghijk", "abcdefghijX", "abc", "abcdefgh"]))
+    size, e = np.diff(at), eights(raw)
+    same = lambda i, j: bool(same_bytes(e, at[i : i + 1], size[i : i + 1], e, at[j : j + 1], size[j : j + 1])[0])
+    assert [[same(i, j) for j in range(4)] for i in range(4)] == [[i == j for j in range(4)] for i in range(4)]
+
+
+def test_token_ids_of_odd_texts():
+    import public_tokenizers
+    import pyarrow as pa
+
+    from polyquill.llm.wordids import WordIds
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        words = WordIds(f.read())
+    r = np.random.default_rng(3)
+    signs = list("aAzZjJ09 '’sStT!?<|>řßK\n\t.,-") + ["\u0338", "\u0301", "\u030c", "\u0085", "\x1c", "\U0001f600", "<|endoftext|>", "<|ENDOFTEXT|>", "'re", "İ", "ﬁ"]
+    texts = ["".join(r.choice(signs, int(r.integers(0, 30)))) for _ in range(4000)] + ["", "x" * 3000, " ".join(map(str, range(3000)))]
+    for _ in range(2):  # the second time from memory
+        ids, first = words.encode(pa.array([*texts, None], pa.string()), 1)
+        for i, t in enumerate([*texts, ""]):
+            assert ids[first[i] : first[i + 1]].tolist() == [*words.tokenizer.encode(t, add_special_tokens=False).ids, 1], t
+
+
+def test_code_travels_to_executors(tmp_path):
+    """Models and functions reach workers that have no copy of the package."""
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from polyquill.llm import decontam, mainhtml, quality_crf
+docs = spark.createDataFrame([(i, f"some words of text {{i}} here") for i in range(8)], "doc_id long, text string")
+labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int")
+print("rows", len(decontam.report(docs, docs.selectExpr("cast(doc_id as string) item_id", "text")).collect()), len(quality_crf.report(docs, labels).collect()))
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 8 8" in out.stdout, out.stderr[-2000:]
