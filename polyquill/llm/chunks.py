@@ -7,11 +7,13 @@ HISTORY - 1 + 2 * (WINDOW - 1) of its bytes: every passage of 265 bytes has a ru
 counted by a 96-bit digest; the least doc_id with it owns it, there the first place.  A run of successive chunks that
 all occur elsewhere and has at least ``RUN_BYTES`` bytes is a repeated passage; in it, the chunks owned by another place are surplus.
 
-Digests with at least a ``1 / HOT_PARTS`` share of all chunks number at most ``HOT_PARTS``, so they are broadcast; all other digests
+Digests with at least a ``1 / HOT_PARTS`` share of all chunks number at most ``HOT_PARTS`` (20000), so they are broadcast; all other digests
 have less than that share and are joined by shuffle.
 
 Defined results: a null or empty text has no chunks and all counts 0; rows that repeat a doc_id count as
-more places of one document; an empty table gives no rows.
+more places of one document; a row with a null doc_id is a document of its own by its text's hash (rows with one text are one), which owns a chunk only where no
+doc_id does and isn't listed as an owner (doc_ids must be under 2**62); of places with one digest the least doc_id, there the first, owns it; an empty table gives no rows; other
+columns don't matter to ``report`` and stay in ``without_repeats``.
 """
 
 from __future__ import annotations
@@ -20,13 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import HOT_PARTS, cut, free_names
 from .textkit import Hasher, mix, slices, utf8
 
-HISTORY, WINDOW, MOST, RUN_BYTES, HOT_PARTS = 20, 64, 512, 120, 1000  # WINDOW is a power of two
+HISTORY, WINDOW, MOST, RUN_BYTES = 20, 64, 512, 120  # WINDOW is a power of two
 
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 
@@ -66,6 +68,14 @@ def borders(raw: np.ndarray, at: np.ndarray, window: int = WINDOW, most: int = M
     return ends, np.bincount(doc[ends - 1], minlength=len(at) - 1)
 
 
+_NO_ID = 1 << 62
+
+
+def _key(docs: DataFrame) -> Column:
+    """The doc_id, or a number over all doc_ids made of the text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID).bitwiseOR(F.xxhash64("text").bitwiseAND(_NO_ID - 1)))
+
+
 def chunked(docs: DataFrame) -> DataFrame:
     """doc_id, place (nth in the high 32 bits, first byte in the low), size (bytes) and the digest d1, d2 of every chunk of docs (doc_id, text)."""
 
@@ -78,13 +88,13 @@ def chunked(docs: DataFrame) -> DataFrame:
                 first = np.concatenate([[0], np.cumsum(counts)])
                 begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
                 h = hasher.spans(raw, begins, ends)
-                h2 = hasher.spans(raw ^ np.uint8(0x5A), begins, ends)
+                h2 = hasher.spans(raw, begins, ends, seed=1)
                 doc = np.repeat(np.arange(batch.num_rows), counts)
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").take(pa.array(doc)), pa.array(((np.arange(len(ends)) - first[doc]) << 32) | (begins - at[doc])), pa.array((ends - begins).astype(np.int32)), pa.array(h.astype(np.int64)), pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)),
                 ], ["doc_id", "place", "size", "d1", "d2"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, place long, size int, d1 long, d2 int")
+    return docs.select(_key(docs).alias("doc_id"), "text").mapInArrow(run, "doc_id long, place long, size int, d1 long, d2 int")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
@@ -112,10 +122,33 @@ def repeated(docs: DataFrame) -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     """Per document: its bytes, bytes in repeated passages and surplus bytes, and the first doc_ids of its surplus chunks."""
     found = repeated(docs)
-    by_doc = found.groupBy("doc_id").agg(
+    elsewhere = F.col("surplus") & (F.col("owner") != F.col("doc_id")) & (F.col("owner") < _NO_ID)
+    by_doc = found.groupBy(F.col("doc_id").alias("key")).agg(
         F.count("*").alias("n_repeated"), F.sum("size").alias("repeated_bytes"), F.sum(F.when(F.col("surplus"), F.col("size")).otherwise(0)).alias("surplus_bytes"),
-        F.array_sort(F.collect_set(F.when(F.col("surplus") & (F.col("owner") != F.col("doc_id")), F.col("owner")))).alias("owners"),
+        F.array_sort(F.collect_set(F.when(elsewhere, F.col("owner")))).alias("owners"),
     )
-    size = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    size = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key(docs).alias("key"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return size.join(by_doc, "doc_id", "left").select("doc_id", "n_bytes", zero("n_repeated"), zero("repeated_bytes"), zero("surplus_bytes"), F.coalesce("owners", F.array().cast("array<long>")).alias("owners"), (F.coalesce("repeated_bytes", F.lit(0)) > 0).alias("has_repeats"))
+    return size.join(by_doc, "key", "left").select("doc_id", "n_bytes", zero("n_repeated"), zero("repeated_bytes"), zero("surplus_bytes"), F.coalesce("owners", F.array().cast("array<long>")).alias("owners"), (F.coalesce("repeated_bytes", F.lit(0)) > 0).alias("has_repeats"))
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs with the surplus chunks of repeated passages cut out of their texts; doc_ids must be unique.  A text's cuts number no more than its chunks."""
+    key, cuts = free_names(docs.columns, "_key", "_cuts")
+    surplus = repeated(docs).where("surplus").groupBy(F.col("doc_id").alias(key)).agg(F.array_sort(F.collect_list(F.struct("at", "size"))).alias(cuts))
+    joined = docs.withColumn(key, _key(docs)).join(surplus, key, "left").drop(key)
+    names = list(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            for i, gone in enumerate(b.column(cuts).to_pylist()):
+                if gone:
+                    raw, parts, at = texts[i].encode(), [], 0
+                    for c in gone:
+                        parts.append(raw[at : c["at"]])
+                        at = c["at"] + c["size"]
+                    texts[i] = b"".join([*parts, raw[at:]]).decode("utf-8", "ignore")  # a chunk may end inside a character
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in names], names)
+
+    return joined.mapInArrow(run, docs.schema)

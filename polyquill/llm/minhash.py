@@ -14,7 +14,9 @@ group meets in one task whole and no list of all pairs is made.  At a similarity
 bands with a probability under 1e-6, at 0.80 with one of 5e-5.
 
 Defined results: a null, empty or blank text has no set and is linked with nothing; rows that share a doc_id
-are linked by their own texts; an empty table gives no rows.
+are linked by their own texts, and rows repeated whole are all marked kept (``one_of_each`` leaves one of them); a row with a null doc_id is linked
+with nothing, has a null component_id and is kept; the order of equal candidates doesn't matter, as all are confirmed; other columns don't matter;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import components, cut
+from .shared import components, cut, free_names
 from .textkit import Hasher, lower_ascii, mix, odd_constants, slices, space_words, utf8, windows, word_spans
 
 SHINGLE, PERMUTATIONS, ROWS, BITS, BLOCK, MARGIN = 5, 125, 5, 2, 1024, 5.0
@@ -217,8 +219,9 @@ def grouped(docs: DataFrame, percent: int = 85) -> DataFrame:
     ids = found.join(classes.select("node", "rid"), "node").groupBy("root").agg(F.min("rid").alias("component_id"))
     by_class = classes.select("d1", "d2", "rid", "node").join(found.join(ids, "root"), "node", "left")
     by_class = by_class.select("d1", "d2", F.coalesce("component_id", "rid").alias("component_id"), F.coalesce("root", "node").alias("grp"))
+    own_id = F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
     with_set = signed.where("n_shingles > 0").select("doc_id", "text_hash", "n_shingles", "d1", "d2").join(by_class, ["d1", "d2"])
-    own = with_set.select("doc_id", "text_hash", "n_shingles", "component_id", "grp")
+    own = with_set.select("doc_id", "text_hash", "n_shingles", own_id, "grp")
     without = signed.where("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("grp"))
     return own.unionByName(without)
 
@@ -226,7 +229,7 @@ def grouped(docs: DataFrame, percent: int = 85) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """Per document of docs (doc_id, text): n_shingles, component_id (least doc_id reachable by links) and kept."""
     found = grouped(docs, percent).select("doc_id", "n_shingles", "component_id")
-    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def one_of_each(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -234,10 +237,11 @@ def one_of_each(docs: DataFrame, percent: int = 85) -> DataFrame:
     found = grouped(docs.where(F.col("doc_id").isNotNull()), percent).where("grp is not null")
     keys = found.groupBy("grp", "doc_id", "text_hash").agg(F.count("*").alias("n"))
     first = keys.groupBy("grp").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.sum("n").alias("rows")).where("rows > 1")
-    keys = keys.join(first, "grp").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "n", (F.struct("doc_id", "text_hash") == F.col("first")).alias("is_first"))
-    keys = cut(keys.where("not is_first or n > 1"))
-    same = (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    _id, _hash, _nth = free_names(docs.columns, "_id", "_hash", "_nth")
+    keys = keys.join(first, "grp").select(F.col("doc_id").alias(_id), F.col("text_hash").alias(_hash), "n", (F.struct("doc_id", "text_hash") == F.col("first")).alias("is_first"))
+    keys = cut(keys.where("not is_first or n > 1").select(_id, _hash, "is_first"))
+    same = (docs["doc_id"].cast("long") == F.col(_id)) & (F.xxhash64(docs["text"]) == F.col(_hash))
     # of equal keys the row with the least hash of all columns
-    nth = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.xxhash64(*docs.columns)))
-    again = docs.join(keys.where("is_first"), same).withColumn("_nth", nth).where("_nth = 1")
+    nth = F.row_number().over(Window.partitionBy(_id, _hash).orderBy(F.xxhash64(*(docs[c] for c in docs.columns))))
+    again = docs.join(keys.where("is_first").select(_id, _hash), same).withColumn(_nth, nth).where(F.col(_nth) == 1)
     return docs.join(keys, same, "left_anti").unionByName(again.select(*docs.columns))

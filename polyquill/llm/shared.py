@@ -52,28 +52,37 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A key with at least this share of all rows is hot.  There are at most so many of them, so they may be broadcast; any other key has less than that share.
+HOT_PARTS = 20_000
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node in edges (a, b: long): root is the least node of its connected component.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014), which need O(log^2 n) rounds.  All
     grouping is by minimum, so a node with very many edges is combined before it is shuffled; no adjacency
-    list is ever built.  Each round is cut with a checkpoint.
+    list is ever built.  A node with many edges, such as the hub of a star, gets its minimum by broadcast (at most
+    ``HOT_PARTS`` such nodes), so its edges stay where they are.  Each round is cut with a checkpoint.
     """
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    sums = [F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % F.lit(1 << 40)).alias("s")]
+    size = e.agg(*sums).first()
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("k")).select("a", F.least("a", "m").alias("m"), (F.col("k") * HOT_PARTS >= 2 * size.n).alias("hot"))
         # large star: every larger neighbour of a node points at the node's least neighbour
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        larger = both.where("b > a")
+        hot = F.broadcast(least.where("hot").select("a", "m"))
+        cold = larger.join(hot.select("a"), "a", "left_anti").join(least.where("not hot").select("a", "m"), "a")
+        large = larger.join(hot, "a").unionByName(cold).select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small star: every smaller neighbour, and the node, point at the least one
         large = large.where("a <> b").distinct()
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         new = cut(small.unionByName(small_least.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
-        sums = [F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % F.lit(1 << 40)).alias("s")]
-        same = e.agg(*sums).first() == new.agg(*sums).first()
+        before, size = size, new.agg(*sums).first()
         e = new
-        if same:
+        if before == size:
             break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")

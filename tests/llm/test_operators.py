@@ -297,3 +297,34 @@ print("rows", len(decontam.report(docs, docs.selectExpr("cast(doc_id as string)
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "rows 8 8" in out.stdout, out.stderr[-2000:]
+
+
+def test_repeats_of_rows_without_an_id(spark):
+    t = _text(41, 80)
+    rows = [(None, t, "k"), (3, t, "k"), (None, _text(42, 80), "k"), (None, _text(43, 80), "k"), (None, _text(43, 80), "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key string")
+    got = {(r.doc_id, r.n_bytes, r.surplus_bytes > 0, r.has_repeats, tuple(r.owners)) for r in chunks.report(docs).collect()}
+    size = lambda x: len(x.encode())
+    assert got == {(None, size(t), True, True, (3,)), (3, size(t), False, True, ()), (None, size(_text(42, 80)), False, False, ()), (None, size(_text(43, 80)), True, True, ())}
+    a, b = _text(44, 60), _text(45, 60)
+    docs = spark.createDataFrame([(1, f"{PASSAGE}", 1.5), (2, f"{a} {PASSAGE} {b}", 2.5), (3, None, 0.5), (4, "é" * 300, 0.1)], "doc_id long, text string, x double")
+    left = {r.doc_id: r for r in chunks.without_repeats(docs).collect()}
+    assert left[1].text == PASSAGE and left[2].text.startswith(a[:60]) and left[2].text.endswith(b[-60:]) and len(left[2].text) < len(a) + len(b) + 80 and left[3].text is None and left[2].x == 2.5
+
+
+def test_duplicates_of_rows_without_an_id(spark):
+    import corpus_pipeline
+
+    t = _text(51)
+    docs = spark.createDataFrame([(None, t, 1), (None, t, 2), (7, t, 3), (8, t, 4), (8, t, 4)], "doc_id long, text string, _id int")
+    got = [(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()]
+    assert sorted(got, key=str) == sorted([(None, None, True)] * 2 + [(7, 7, True)] + [(8, 7, False)] * 2, key=str)
+    assert sorted(r["_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [1, 2, 3]
+
+
+def test_components_of_stars_and_chains(spark):
+    from polyquill.llm.shared import components
+
+    edges = [(0, i) for i in range(1, 300)] + [(1000 + i, 1001 + i) for i in range(40)] + [(299, 5000), (5000, 4000)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in [*range(300), 4000, 5000]}, **{1000 + i: 1000 for i in range(41)}}
