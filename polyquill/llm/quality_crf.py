@@ -2,7 +2,8 @@
 
 The score of a text is the mean of P(good line), by forward-backward, weighted with the lines' bytes.
 Defined results: a text without words (null, empty or blank) scores the share of good texts among those learned from;
-a table without labels of both kinds scores every text with lines by the untrained chain.
+a table without labels of both kinds scores every text with lines by the untrained chain; a row with a null doc_id isn't held out;
+repeated rows score alike; an empty table gives no rows; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -41,6 +42,6 @@ def scores(docs: DataFrame, crf: Crf, threshold: float = 0.7) -> DataFrame:
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores of all documents by a model that learned from those not held out (crc32 of the id modulo 4 is not 2)."""
-    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     crf = train(docs, labels.where(~held), "quality")
     return scores(docs, crf).withColumn("held_out", held).select("doc_id", "held_out", "score", "predicted", "n_lines")

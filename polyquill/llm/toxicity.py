@@ -1,14 +1,14 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A logistic model over hashed words (presence, not counts) is trained in numpy on confirmed toxic texts (P) and
-texts taken as unlabelled (U).  With the class prior pi and the loss l, the risk is
-pi * E_P[l(+)] + max(0, E_U[l(-)] - pi * E_P[l(-)]); where the second part falls under zero, the step goes against its
-gradient (Kiryo et al., 2017).  The prior is the share of toxic texts among the labelled training rows.  Training texts are at
-most ``SAMPLE_ROWS`` labelled rows by hash of doc_id; scoring covers all.  The score's offset puts 0.5 at the
-F1-best cut of cross-fitted training scores.
-
-Defined results: a null or empty text has no words and scores the model's offset; repeated rows score alike; without
-confirmed toxic rows every score is 0; an empty table gives no rows.
+A logistic model over the presence of hashed words and of six-byte pieces of words is trained in numpy on confirmed toxic texts (P) and on
+texts taken as unlabelled (U): documents without a label, and the labelled training rows without regard to their labels.
+With the class prior pi and the loss l, the risk is pi * E_P[l(+)] + max(0, E_U[l(-)] - pi * E_P[l(-)]); where the second part falls under zero,
+the step goes against its gradient (Kiryo et al., 2017).  The prior is the share of toxic texts among the labelled training rows.  Only the ``FEATURES``
+features whose presence differs most between P and U have a weight.  Training texts are at most ``SAMPLE_ROWS`` labelled and ``UNLABELLED_ROWS`` unlabelled ones by hash of
+doc_id; scoring covers all.  Decay and the offset, which puts 0.5 at the F1-best cut, are chosen on labelled training rows by cross-fitting.
+
+Defined results: a null or empty text has no words and scores the model's offset; repeated rows, and rows with a null doc_id (not held out), score alike; without
+confirmed toxic rows every score is 0; of equal features the lower number has the weight, of equal cuts the higher; an empty table gives no rows; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -17,26 +17,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import Hasher, alnum_words, lower_ascii, slices, utf8, word_spans
+from .textkit import _BASE, Hasher, alnum_words, eights, lower_ascii, mix, slices, utf8, word_spans
 
-SAMPLE_ROWS, BITS, STEPS, RATE, DECAYS, LEAST_ROWS = 6000, 18, 200, 0.05, (1e-3, 3e-3, 1e-2), 3
+SAMPLE_ROWS, UNLABELLED_ROWS, BITS, PIECE, FEATURES = 6000, 500, 20, 6, 3000
+STEPS, RATE, DECAYS, LEAST_ROWS = 200, 0.05, (3e-4, 1e-3, 3e-3), 4
 
 
 def hashed(texts: pa.Array, hasher: Hasher) -> list[np.ndarray]:
-    """The distinct feature numbers of each text's words."""
+    """The distinct feature numbers of each text: its words, and the pieces of its longer words."""
     raw, at = utf8(texts)
     raw = lower_ascii(raw)
     begin, end, first = word_spans(raw, at, alnum_words())
-    h = hasher.spans(raw, begin, end)
-    slot = lambda x: (x >> np.uint64(64 - BITS)).astype(np.int32)
-    out = []
-    for a, b in zip(first[:-1], first[1:]):
-        w = h[a:b]
-        out.append(np.unique(slot(w)))
-    return out
+    size = np.maximum(end - begin - PIECE + 1, 0)
+    size[end - begin == PIECE] = 0  # the word itself is a feature
+    place = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+    text = np.repeat(np.arange(len(at) - 1), np.diff(first))
+    pieces = mix((eights(raw)[place] & np.uint64((1 << 8 * PIECE) - 1)) + _BASE)
+    slot = (np.concatenate([hasher.spans(raw, begin, end), pieces]) >> np.uint64(64 - BITS)).astype(np.int64)
+    key = np.unique((np.concatenate([text, np.repeat(text, size)]) << BITS) | slot)
+    return np.split((key & ((1 << BITS) - 1)).astype(np.int32), np.searchsorted(key, np.arange(1, len(at) - 1) << BITS))
 
 
 def _matrix(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -60,44 +62,78 @@ def _descend(doc: np.ndarray, col: np.ndarray, n: int, k: int, value: np.ndarray
     return theta
 
 
-def fit(rows: list[np.ndarray], positive: np.ndarray, prior: float, folds: int = 4) -> tuple[np.ndarray, float]:
-    """Weights and offset; positive marks P, all rows are U.  The decay and the cut are chosen on scores from folds that didn't train on them."""
-    w = np.zeros(1 << BITS)
+class _Table:
+    """Rows of features with their columns numbered densely."""
+
+    def __init__(self, rows: list[np.ndarray]) -> None:
+        self.n = len(rows)
+        self.doc, col = _matrix(rows)
+        self.slots, self.col = np.unique(col, return_inverse=True)
+
+    def model(self, keep: np.ndarray, positive: np.ndarray, prior: float, decays: tuple[float, ...]) -> list[np.ndarray]:
+        """For each decay the weights of all columns, and the offset, learned from the rows that ``keep`` marks: columns are chosen on these alone."""
+        width = len(self.slots)
+        inside = keep[self.doc]
+        doc, col = (np.cumsum(keep) - 1)[self.doc[inside]], self.col[inside]
+        count, hits, n, n_pos = np.bincount(col, minlength=width), np.bincount(col, positive[self.doc[inside]], width), int(keep.sum()), max(int(positive[keep].sum()), 1)
+        share = count / n
+        far = np.abs(hits / n_pos - share) / np.sqrt(share * (1 - share) / n_pos + 1e-9)
+        far[count < LEAST_ROWS] = -1
+        best = np.sort(np.argsort(-far, kind="stable")[: min(FEATURES, int((far >= 0).sum()))])
+        place = np.full(width, -1)
+        place[best] = np.arange(len(best))
+        use = place[col] >= 0
+        value = np.log((n + 1) / (count[best] + 1)) / 2
+        out = []
+        for decay in decays:
+            theta = _descend(doc[use], place[col[use]], n, len(best), value, positive[keep], prior, decay)
+            w = np.zeros(width + 1)
+            w[best], w[-1] = theta[:-1] * value, theta[-1]
+            out.append(w)
+        return out
+
+    def scores(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.doc, w[self.col], self.n) + w[-1]
+
+
+def fit(rows: list[np.ndarray], positive: np.ndarray, prior: float, labelled: np.ndarray | None = None, folds: int = 4) -> tuple[np.ndarray, float]:
+    """Weights and offset; positive marks P, all rows are U, and labelled those whose label is known, from which decay and cut are chosen by scores of
+    folds that didn't train on them."""
+    weights = np.zeros(1 << BITS)
     if not positive.any():
-        return w, -50.0
-    doc, col = _matrix(rows)
-    slots, col = np.unique(col, return_inverse=True)
-    n = len(rows)
-    often = np.bincount(col, minlength=len(slots)) >= LEAST_ROWS
-    doc, col = doc[often[col]], (np.cumsum(often) - 1)[col[often[col]]]
-    slots, k = slots[often], int(often.sum())
-    value = np.log((n + 1) / (np.bincount(col, minlength=k) + 1)) / 2
-    of, best = np.arange(n) % folds, None
-    for decay in DECAYS:
-        s = np.zeros(n)
-        for f in range(folds):
-            inside = of[doc] != f
-            keep = np.flatnonzero(of != f)
-            place = np.zeros(n, np.int64)
-            place[keep] = np.arange(len(keep))
-            theta = _descend(place[doc[inside]], col[inside], len(keep), k, value, positive[keep], prior, decay)
-            s[of == f] = (np.bincount(doc, theta[col] * value[col], n) + theta[-1])[of == f]
-        order = np.argsort(-s, kind="stable")
-        f1 = 2 * np.cumsum(positive[order]) / (np.arange(1, n + 1) + positive.sum())
+        return weights, -50.0
+    labelled = np.ones(len(rows), bool) if labelled is None else labelled
+    table, of = _Table(rows), np.where(labelled, (np.cumsum(labelled) - 1) % folds, -1)
+    s = np.zeros((len(DECAYS), len(rows)))
+    for f in range(folds):
+        for i, w in enumerate(table.model(of != f, positive & (of != f), prior, DECAYS)):
+            s[i, of == f] = table.scores(w)[of == f]
+    best = None
+    for i in range(len(DECAYS)):
+        known, truth = s[i, labelled], positive[labelled]
+        order = np.argsort(-known, kind="stable")
+        f1 = 2 * np.cumsum(truth[order]) / (np.arange(1, len(known) + 1) + truth.sum())
         at = int(np.argmax(f1))
-        cut = (s[order[at]] + s[order[at + 1]]) / 2 if at + 1 < n else s[order[at]] - 1
+        cut = (known[order[at]] + known[order[at + 1]]) / 2 if at + 1 < len(known) else known[order[at]] - 1
         if best is None or f1[at] > best[0]:
-            best = (f1[at], decay, cut)
+            best = (f1[at], DECAYS[i], cut)
     _, decay, cut = best
-    theta = _descend(doc, col, n, k, value, positive, prior, decay)
-    w[slots] = theta[:-1] * value
-    return w, float(theta[-1] - cut)
+    w = table.model(np.ones(len(rows), bool), positive, prior, (decay,))[0]
+    weights[table.slots] = w[:-1]
+    return weights, float(w[-1] - cut)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, float]:
-    """Learns from at most ``rows`` labelled texts: those marked toxic are P, all of them are U."""
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, unlabelled_rows: int = UNLABELLED_ROWS, everyone: DataFrame | None = None) -> tuple[np.ndarray, float]:
+    """Learns from at most ``rows`` labelled texts, of which those marked toxic are P, and ``unlabelled_rows`` texts that have no row in ``everyone`` (all
+    labels; by default ``labels``): together they are U."""
+    named = lambda d: d.where(F.col("doc_id").isNotNull()).select("doc_id")
     picked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("y"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
+    # by hash, four times as many documents as are wanted; those of them that have a label go
+    some = named(docs).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(4 * unlabelled_rows)
+    marked = named(labels if everyone is None else everyone).join(F.broadcast(some), "doc_id", "left_semi").distinct()
+    free = some.join(F.broadcast(marked), "doc_id", "left_anti").where(~_held(F.col("doc_id"))).distinct()
+    free = free.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(unlabelled_rows).select("doc_id", F.lit(-1).alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -105,10 +141,17 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[
             for batch in slices(whole):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(hashed(batch.column("text"), hasher), pa.list_(pa.int32()))], ["doc_id", "y", "f"])
 
-    got = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, f array<int>").toPandas().sort_values("doc_id", kind="stable")
-    positive = got["y"].to_numpy().astype(bool)
+    chosen = F.broadcast(picked.unionByName(free))
+    found = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, f array<int>").toPandas()
+    got = found.sort_values(["doc_id", "y"], kind="stable")
+    y = got["y"].to_numpy()
+    known = y[y >= 0]
     feats = [np.asarray(f, np.int32) for f in got["f"]]
-    return fit(feats, positive, float(np.clip(positive.mean() if len(positive) else 0.1, 0.01, 0.9)))
+    return fit(feats, y == 1, float(np.clip(known.mean() if len(known) else 0.1, 0.01, 0.9)), y >= 0)
+
+
+def _held(doc_id: Column) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
 def scores(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
@@ -129,5 +172,5 @@ def scores(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores of all documents by a model that learned from those not held out (crc32 of the id modulo 5 is not 0)."""
-    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
-    return scores(docs, train(docs, labels.where(~held))).select("doc_id", held.alias("held_out"), "score", "predicted")
+    held = _held(F.col("doc_id"))
+    return scores(docs, train(docs, labels.where(~held), everyone=labels)).select("doc_id", held.alias("held_out"), "score", "predicted")
