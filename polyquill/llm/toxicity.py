@@ -3,12 +3,12 @@
 A logistic model over the presence of hashed words and of six-byte pieces of words is trained in numpy on confirmed toxic texts (P) and on
 texts taken as unlabelled (U): documents without a label, and the labelled training rows without regard to their labels.
 With the class prior pi and the loss l, the risk is pi * E_P[l(+)] + max(0, E_U[l(-)] - pi * E_P[l(-)]); where the second part falls under zero,
-the step goes against its gradient (Kiryo et al., 2017).  The prior is the share of toxic texts among the labelled training rows.  Only the ``FEATURES``
-features whose presence differs most between P and U have a weight.  Training texts are at most ``SAMPLE_ROWS`` labelled and ``UNLABELLED_ROWS`` unlabelled ones by hash of
-doc_id; scoring covers all.  Decay and the offset, which puts 0.5 at the F1-best cut, are chosen on labelled training rows by cross-fitting.
+the step goes against its gradient (Kiryo et al., 2017).  The prior is the share of toxic texts among the labelled training rows.  Only the
+features whose presence differs most between P and U have a weight, as many as the best of ``FEATURES``.  Training texts are at most ``SAMPLE_ROWS`` labelled and ``UNLABELLED_ROWS`` unlabelled ones by hash of
+doc_id; scoring covers all.  Decay, number of features and the offset, which puts 0.5 at the F1-best cut, are chosen on labelled training rows by cross-fitting.
 
 Defined results: a null or empty text has no words and scores the model's offset; repeated rows, and rows with a null doc_id (not held out), score alike; without
-confirmed toxic rows every score is 0; of equal features the lower number has the weight, of equal cuts the higher; an empty table gives no rows; other columns don't matter.
+confirmed toxic rows every score is 0; of equal features the lower number has the weight, of equal choices the fewer features, then the lesser decay, of equal cuts the higher; an empty table gives no rows; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .textkit import _BASE, Hasher, alnum_words, eights, lower_ascii, mix, slices, utf8, word_spans
 
-SAMPLE_ROWS, UNLABELLED_ROWS, BITS, PIECE, FEATURES = 6000, 500, 20, 6, 3000
+SAMPLE_ROWS, UNLABELLED_ROWS, BITS, PIECE, FEATURES = 6000, 500, 20, 6, (150, 500, 3000)
 STEPS, RATE, DECAYS, LEAST_ROWS = 200, 0.05, (3e-4, 1e-3, 3e-3), 4
 
 
@@ -70,8 +70,8 @@ class _Table:
         self.doc, col = _matrix(rows)
         self.slots, self.col = np.unique(col, return_inverse=True)
 
-    def model(self, keep: np.ndarray, positive: np.ndarray, prior: float, decays: tuple[float, ...]) -> list[np.ndarray]:
-        """For each decay the weights of all columns, and the offset, learned from the rows that ``keep`` marks: columns are chosen on these alone."""
+    def model(self, keep: np.ndarray, positive: np.ndarray, prior: float, choices: list[tuple[int, float]]) -> list[np.ndarray]:
+        """For each choice (number of features, decay) the weights of all columns, and the offset, learned from the rows that ``keep`` marks: columns are chosen on these alone."""
         width = len(self.slots)
         inside = keep[self.doc]
         doc, col = (np.cumsum(keep) - 1)[self.doc[inside]], self.col[inside]
@@ -79,13 +79,14 @@ class _Table:
         share = count / n
         far = np.abs(hits / n_pos - share) / np.sqrt(share * (1 - share) / n_pos + 1e-9)
         far[count < LEAST_ROWS] = -1
-        best = np.sort(np.argsort(-far, kind="stable")[: min(FEATURES, int((far >= 0).sum()))])
-        place = np.full(width, -1)
-        place[best] = np.arange(len(best))
-        use = place[col] >= 0
-        value = np.log((n + 1) / (count[best] + 1)) / 2
+        order = np.argsort(-far, kind="stable")[: int((far >= 0).sum())]
         out = []
-        for decay in decays:
+        for features, decay in choices:
+            best = np.sort(order[:features])
+            place = np.full(width, -1)
+            place[best] = np.arange(len(best))
+            use = place[col] >= 0
+            value = np.log((n + 1) / (count[best] + 1)) / 2
             theta = _descend(doc[use], place[col[use]], n, len(best), value, positive[keep], prior, decay)
             w = np.zeros(width + 1)
             w[best], w[-1] = theta[:-1] * value, theta[-1]
@@ -97,28 +98,29 @@ class _Table:
 
 
 def fit(rows: list[np.ndarray], positive: np.ndarray, prior: float, labelled: np.ndarray | None = None, folds: int = 4) -> tuple[np.ndarray, float]:
-    """Weights and offset; positive marks P, all rows are U, and labelled those whose label is known, from which decay and cut are chosen by scores of
+    """Weights and offset; positive marks P, all rows are U, and labelled those whose label is known, from which features, decay and cut are chosen by scores of
     folds that didn't train on them."""
     weights = np.zeros(1 << BITS)
     if not positive.any():
         return weights, -50.0
     labelled = np.ones(len(rows), bool) if labelled is None else labelled
     table, of = _Table(rows), np.where(labelled, (np.cumsum(labelled) - 1) % folds, -1)
-    s = np.zeros((len(DECAYS), len(rows)))
+    choices = [(k, d) for k in FEATURES for d in DECAYS]
+    s = np.zeros((len(choices), len(rows)))
     for f in range(folds):
-        for i, w in enumerate(table.model(of != f, positive & (of != f), prior, DECAYS)):
+        for i, w in enumerate(table.model(of != f, positive & (of != f), prior, choices)):
             s[i, of == f] = table.scores(w)[of == f]
     best = None
-    for i in range(len(DECAYS)):
+    for i, choice in enumerate(choices):
         known, truth = s[i, labelled], positive[labelled]
         order = np.argsort(-known, kind="stable")
         f1 = 2 * np.cumsum(truth[order]) / (np.arange(1, len(known) + 1) + truth.sum())
         at = int(np.argmax(f1))
         cut = (known[order[at]] + known[order[at + 1]]) / 2 if at + 1 < len(known) else known[order[at]] - 1
         if best is None or f1[at] > best[0]:
-            best = (f1[at], DECAYS[i], cut)
-    _, decay, cut = best
-    w = table.model(np.ones(len(rows), bool), positive, prior, (decay,))[0]
+            best = (f1[at], choice, cut)
+    _, choice, cut = best
+    w = table.model(np.ones(len(rows), bool), positive, prior, [choice])[0]
     weights[table.slots] = w[:-1]
     return weights, float(w[-1] - cut)
 
