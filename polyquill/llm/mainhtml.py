@@ -46,6 +46,17 @@ _IN_HEAD = {"title", "style", "script", "noscript", "template", "head", "html",
 _TAGS = re.compile(r"<[^>]*>")
 
 
+_KNOWN: dict[tuple[str, str], frozenset] = {}  # tags and names met before; emptied when it has 10000
+
+
+def roles_of(tag: str, names: str) -> frozenset:
+    if (tag, names) not in _KNOWN:
+        if len(_KNOWN) >= 10_000:
+            _KNOWN.clear()
+        _KNOWN[tag, names] = frozenset(k for k, r in _ROLES.items() if (r.search(tag) or r.search(names)) and (k, tag) != ("content", "body"))
+    return _KNOWN[tag, names]
+
+
 class Blocks(HTMLParser):
     """Collects (text, words, linked words, roles, tag) of each block with text.  Open tags and roles are counted, so the work doesn't grow with the depth."""
 
@@ -103,7 +114,7 @@ class Blocks(HTMLParser):
             return
         given = dict(attrs)
         names = f"{given.get('class') or ''} {given.get('id') or ''} {given.get('role') or ''}"
-        roles = {k for k, r in _ROLES.items() if r.search(tag) or r.search(names)} - ({"content"} if tag == "body" else set())
+        roles = set(roles_of(tag, names))
         if tag == "header" and self.roles["content"] > 0:  # an article's own head
             roles.discard("chrome")
         if roles - {"content"}:
@@ -253,10 +264,16 @@ def classify(tree, x: np.ndarray) -> np.ndarray:
     return np.where(low, classify(tree[2], x), classify(tree[3], x)) if len(x) else np.zeros(0, bool)
 
 
+def extract_all(pages: list[str | None], tree) -> list[str]:
+    """The texts of pages, whose blocks are classified together."""
+    found = [blocks(h) for h in pages]
+    x = [features(f) for f in found if f]
+    good = iter(classify(tree, np.concatenate(x)).tolist() if x else [])
+    return ["\n\n".join([b[0] for b in f if next(good)]) for f in found]
+
+
 def extract(html: str | None, tree) -> str:
-    found = blocks(html)
-    good = classify(tree, features(found)) if found else []
-    return "\n\n".join(b[0] for b, g in zip(found, good) if g)
+    return extract_all([html], tree)[0]
 
 
 def report(pages: DataFrame) -> DataFrame:
@@ -268,7 +285,7 @@ def report(pages: DataFrame) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 part = b.slice(at, 64)
-                texts = [extract(h, tree) for h in part.column("html").to_pylist()]
+                texts = extract_all(part.column("html").to_pylist(), tree)
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
