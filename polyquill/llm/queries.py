@@ -73,6 +73,24 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversations import report
+
+    return report(_table(spark, sf_dir, "conversations"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import report
+
+    return report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import report
+
+    return report(_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,7 +98,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_elias_fano_lm, op2_quality_crf, op3_html_main_text, op4_best_fit_packing, op5_toxicity, op6_pii, op7_substring_dedup, op8_benchmark_decontamination, op9_quality_rules, op10_minhash, pipeline]
+    found = [op1_elias_fano_lm, op2_quality_crf, op3_html_main_text, op4_best_fit_packing, op5_toxicity, op6_pii, op7_substring_dedup, op8_benchmark_decontamination, op9_quality_rules, op10_minhash, op11_conversation_repair, pipeline]
     return {f.__name__: f for f in found}
 
 
