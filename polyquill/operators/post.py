@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import integer_mode, position_bin
+from .scale import placed
 from .stats import adjusted, fisher
 from .tables import _by, natural_join, passed, require
 
@@ -228,9 +229,10 @@ def first_of_each(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
 
 
 def neighbours(df: DataFrame, key: str) -> DataFrame:
-    """Each read's previous and next one; for a browsed selection of reads, not whole tables."""
-    w = Window.orderBy(key)
-    return df.withColumns({"previous": F.lag(key).over(w), "next": F.lead(key).over(w)})
+    """Each read's previous and next one in the order of the key over the whole table: places come from range partitions, and neighbours are joined by place."""
+    d = placed(df, key, place="_place", part="_part").drop("_part")
+    other = lambda step, name: d.select((F.col("_place") + step).alias("_place"), F.col(key).alias(name))
+    return d.join(other(1, "previous"), "_place", "left").join(other(-1, "next"), "_place", "left").drop("_place")
 
 
 def chosen(df: DataFrame, equal: Mapping[str, object] | None = None, among: Mapping[str, Sequence] | None = None, between: Mapping[str, tuple] | None = None, residues: DataFrame | None = None, residue: str | None = None, read: str = "readname") -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scale import attached, placed, running, stored
+
 
 def fisher(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Two-sided p of the table ((a, b), (c, d)): the mass of the tables with its margins that are no likelier.
@@ -47,10 +49,12 @@ def fisher(a: Column, b: Column, c: Column, d: Column) -> Column:
 def adjusted(df: DataFrame, p: str, out: str = "padj") -> DataFrame:
     """Benjamini-Hochberg over one row per test; null p stays null and doesn't count.
 
-    The windows have no partition: tests are per transcript, some 10^5 rows of a few columns in any species, however many reads there are.
-    """
-    by_p = Window.orderBy(F.col(p).asc_nulls_last())
-    rank = F.rank().over(by_p) + F.count("*").over(Window.partitionBy(p)) - 1
-    scaled = df.withColumn("_q", F.col(p) * F.count(p).over(Window.partitionBy(F.lit(1))) / rank)
-    from_top = Window.orderBy(F.col(p).desc_nulls_last()).rangeBetween(Window.unboundedPreceding, 0)
-    return scaled.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("_q").over(from_top)))).drop("_q")
+    The distinct values are placed in order by range partitions; how many tests have at most each value, and the least scaled value from it on, are running
+    values over those.  No task sees all tests, and a value that many tests share (1, most often) is joined back by broadcast."""
+    tests = stored(df)
+    values = placed(tests.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_n")), "_p", place="_place", part="_part")
+    total = values.agg(F.sum("_n")).first()[0] or 0
+    ranked = running(values, "_n", "_rank", place="_place", part="_part").withColumn("_q", F.col("_p") * total / F.col("_rank"))
+    least = running(ranked, "_q", "_least", "min", backwards=True, place="_place", part="_part")
+    table = least.select(F.col("_p").alias(p), F.col("_n"), F.least(F.lit(1.0), "_least").alias(out))
+    return attached(tests, table, [p], "_n", total)
