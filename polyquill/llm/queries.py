@@ -98,9 +98,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_elias_fano_lm, op2_quality_crf, op3_html_main_text, op4_best_fit_packing, op5_toxicity, op6_pii, op7_substring_dedup, op8_benchmark_decontamination, op9_quality_rules, op10_minhash, op11_conversation_repair, op12_license_scan, pipeline]
+    found = [op1_elias_fano_lm, op2_quality_crf, op3_html_main_text, op4_best_fit_packing, op5_toxicity, op6_pii, op7_substring_dedup, op8_benchmark_decontamination, op9_quality_rules, op10_minhash, op11_conversation_repair, op12_license_scan, op13_collocations, pipeline]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .collocations import SQL
+
+    return {"op13_collocations": SQL}
