@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import components, cut, free_names
-from .textkit import Hasher, lower_ascii, mix, odd_constants, slices, space_words, utf8, windows, word_spans
+from .textkit import Hasher, chained, lower_ascii, mix, odd_constants, slices, space_words, utf8, windows, word_spans
 
 SHINGLE, PERMUTATIONS, ROWS, BITS, BLOCK, MARGIN = 5, 125, 5, 2, 1024, 5.0
 
@@ -46,8 +46,7 @@ def shingle_sets(raw: np.ndarray, at: np.ndarray, hasher: Hasher) -> list[np.nda
         if n >= SHINGLE:
             out.append(np.unique(grams[gram_first[i] : gram_first[i + 1]]))
         elif n:
-            k = odd_constants(int(n), 1000 + int(n))
-            out.append(mix((h[first[i] : first[i + 1]] * k).sum(dtype=np.uint64, keepdims=True)))
+            out.append(chained([h[j : j + 1] for j in range(first[i], first[i + 1])], 1000 + int(n)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out

@@ -102,30 +102,62 @@ def eights(raw: np.ndarray) -> np.ndarray:
 _KEEP = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
 
 
+#: Ranges hashed at once, so that the state stays in the cache.
+_AT_ONCE = 8192
+# The words that SipHash's state begins with.
+_START = [0x736F6D6570736575, 0x646F72616E646F6D, 0x6C7967656E657261, 0x7465646279746573]
+
+
+def _turn(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def _rounds(v: list[np.ndarray], n: int) -> None:
+    for _ in range(n):
+        v[0] += v[1]
+        v[2] += v[3]
+        v[1] = _turn(v[1], 13) ^ v[0]
+        v[3] = _turn(v[3], 16) ^ v[2]
+        v[0] = _turn(v[0], 32) + v[3]
+        v[2] += v[1]
+        v[3] = _turn(v[3], 21) ^ v[0]
+        v[1] = _turn(v[1], 17) ^ v[2]
+        v[2] = _turn(v[2], 32)
+
+
 class Hasher:
-    """64-bit hashes of byte ranges: blocks of eight bytes, and the length, go through a chain of non-linear mixing steps.
+    """64-bit hashes of byte ranges: SipHash-2-4 with a key from the seed, and BLAKE2b for ranges of over 256 bytes.
 
-    No fixed pair of different ranges collides by algebra, as it does for polynomials modulo 2**64; a range of at most eight
-    bytes has a hash of its own among those of its length.
+    Four words of state take up each block of eight bytes, so no block can undo another's difference, as it can where one word is chained.
     """
 
     def spans(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
         size = end - begin
         blocks = eights(raw)
-        start = mix(np.uint64([seed]) + _BASE)[0]
-        h = mix((size.astype(np.uint64) + start) * _BASE)
-        live, at = np.arange(len(size)), 0
-        if len(size) and int(size.max()) > _BLOCKWISE:
-            key = int(start).to_bytes(8, "little")
-            for i in np.flatnonzero(size > _BLOCKWISE):
-                h[i] = np.frombuffer(hashlib.blake2b(raw[begin[i] : end[i]].tobytes(), digest_size=8, key=key).digest(), np.uint64)[0]
-            live = np.flatnonzero(size <= _BLOCKWISE)
-        while len(live := live[size[live] > at]):
-            block = blocks[begin[live] + at] & _KEEP[np.minimum(size[live] - at, 8)]
-            h[live] = mix((h[live] ^ block) * _BASE + np.uint64(at + 1))
-            at += 8
+        key = mix(np.uint64([seed, seed + 1]) * _BASE + _BASE)
+        h = np.empty(len(size), np.uint64)
+        for i in np.flatnonzero(size > _BLOCKWISE):
+            h[i] = np.frombuffer(hashlib.blake2b(raw[begin[i] : end[i]].tobytes(), digest_size=8, key=key.tobytes()).digest(), np.uint64)[0]
+        whole = np.where(size <= _BLOCKWISE, size >> 3, -1)
+        for n in np.flatnonzero(np.bincount(whole + 1)[1:]) if len(size) else []:
+            of = np.flatnonzero(whole == n)
+            for lo in range(0, len(of), _AT_ONCE):
+                some = of[lo : lo + _AT_ONCE]
+                h[some] = self._sip(blocks, begin[some], size[some], int(n), key)
         return h
 
+    @staticmethod
+    def _sip(blocks: np.ndarray, begin: np.ndarray, size: np.ndarray, n: int, key: np.ndarray) -> np.ndarray:
+        v = [np.full(len(begin), np.uint64(c) ^ key[i % 2]) for i, c in enumerate(_START)]
+        for j in range(n + 1):
+            block = blocks[begin + 8 * j] if j < n else (blocks[begin + 8 * n] & _KEEP[size & 7]) | ((size & 255).astype(np.uint64) << np.uint64(56))
+            v[3] ^= block
+            _rounds(v, 2)
+            v[0] ^= block
+        v[2] ^= np.uint64(255)
+        _rounds(v, 4)
+        return v[0] ^ v[1] ^ v[2] ^ v[3]
+
 
 def same_bytes(a: np.ndarray, a_begin: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_begin: np.ndarray, b_size: np.ndarray) -> np.ndarray:
     """Whether range i of one text has the bytes of range i of another; a and b are the ``eights`` of the texts."""
@@ -152,15 +184,22 @@ def odd_constants(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
 
 
+def chained(parts: list[np.ndarray], seed: int) -> np.ndarray:
+    """One hash of several in a row, by steps that aren't linear."""
+    k = odd_constants(len(parts) + 1, seed)
+    out = np.full(len(parts[0]), k[-1])
+    for h, c in zip(parts, k):
+        out = mix((out ^ h) * c)
+    return out
+
+
 def windows(h: np.ndarray, first: np.ndarray, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each n words in a row of one text, and of each text the first window's number."""
     of = np.repeat(np.arange(len(first) - 1), np.diff(first))
     if len(h) < n:
         return np.zeros(0, np.uint64), np.zeros(len(first), np.int64)
-    k, m = odd_constants(n, seed), len(h) - n + 1
-    out = np.zeros(m, np.uint64)
-    for j in range(n):
-        out += h[j : j + m] * k[j]
+    m = len(h) - n + 1
+    out = chained([h[j : j + m] for j in range(n)], seed)
     whole = of[:m] == of[n - 1 :]
     count = np.maximum(np.diff(first) - n + 1, 0)
-    return mix(out)[whole], np.concatenate([[0], np.cumsum(count)])
+    return out[whole], np.concatenate([[0], np.cumsum(count)])

@@ -250,6 +250,62 @@ def test_hashes_tell_crafted_words_apart(spark):
     assert [r.component_id for r in minhash.near_duplicates(docs).orderBy("doc_id").collect()] == [0, 1]
 
 
+def _chain_pairs(n):
+    """Pairs of 16 byte words that collide in a hash which chains one 64-bit word through bijections, as the first one here did."""
+    from polyquill.llm.textkit import _BASE, mix
+
+    one = np.uint64(1)
+    start = mix(np.uint64([0]) + _BASE)[0]
+    r, found = np.random.default_rng(8), []
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+    blocks = letters[r.integers(0, 26, (200_000, 8))].copy().view("<u8").ravel()
+    state = mix((mix((np.uint64([16]) + start) * _BASE)[0] ^ blocks) * _BASE + one)
+    for i in range(0, len(blocks) - 1, 2):  # the second blocks differ by what undoes the difference of the states
+        second = np.frombuffer(b"abcdefgh", "<u8")[0]
+        other = np.uint64(second ^ state[i] ^ state[i + 1])
+        found.append((blocks[i].tobytes() + second.tobytes(), blocks[i + 1].tobytes() + other.tobytes()))
+        if len(found) == n:
+            return found
+
+
+def test_hashes_tell_pairs_of_a_chain_apart():
+    from polyquill.llm.textkit import Hasher, windows
+
+    for a, b in _chain_pairs(500):
+        raw = np.frombuffer(a + b, np.uint8)
+        h = Hasher().spans(raw, np.array([0, 16]), np.array([16, 32]))
+        assert h[0] != h[1]
+    h = np.random.default_rng(1).integers(0, 2**63, 6).astype(np.uint64)
+    k = np.uint64(12345)  # sums of multiples would not notice that one word's hash takes over what another's loses
+    assert windows(h, np.array([0, 5]), 5, 5)[0][0] != windows(np.append(h[:3] + k, h[3:]), np.array([0, 5]), 5, 5)[0][0]
+
+
+def test_hashes_are_siphash():
+    """The public test vector: key 00..0f, message 00..0e."""
+    from polyquill.llm.textkit import Hasher, eights
+
+    raw = np.arange(15, dtype=np.uint8)
+    key = np.frombuffer(bytes(range(16)), "<u8")
+    assert int(Hasher._sip(eights(raw), np.array([0]), np.array([15]), 1, key)[0]) == 0xA129CA6149BE45E5
+
+
+def test_token_ids_where_all_hashes_collide(monkeypatch):
+    """Ids follow the bytes, even with a hash that tells only lengths apart."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    from polyquill.llm import wordids
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        words = wordids.WordIds(f.read())
+    monkeypatch.setattr(wordids.Hasher, "spans", lambda self, raw, begin, end, seed=0: (end - begin).astype(np.uint64) + np.uint64(1))
+    texts = ["the cat sat on the mat", "red dog and new hat, é É è!", "The THE the 12 34", "lgxbtyjqaabbdeaa tgonhjizycxxxzfx"]
+    for _ in range(2):
+        ids, first = words.encode(pa.array(texts), 1)
+        for i, t in enumerate(texts):
+            assert ids[first[i] : first[i + 1]].tolist() == [*words.tokenizer.encode(t, add_special_tokens=False).ids, 1]
+
+
 def test_bytes_are_compared():
     from polyquill.llm.textkit import eights, same_bytes, utf8
     import pyarrow as pa
