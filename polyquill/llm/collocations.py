@@ -31,7 +31,7 @@ from .textkit import Hasher, lower_ascii, mix, odd_constants, slices, trim, utf8
 
 LEAST, SHARE, TOP, LONGEST = 30, 80, 2000, 4
 #: Text of a shard; bits of the filter of frequent pairs.
-SHARD_BYTES, FILTER_BITS = 8_000_000, 27
+SHARD_BYTES, FILTER_BITS = 1_500_000, 27
 _BLOCK = 17  # the filter is gathered in blocks of so many bits
 _ENDS = np.zeros(256, bool)
 _ENDS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -67,10 +67,10 @@ class Shard:
         inside = np.zeros(len(raw) + 1, np.int8)
         np.add.at(inside, begin, 1)
         np.add.at(inside, end, -1)
-        packed = raw[np.cumsum(inside[:-1]).astype(bool)]
+        packed = raw[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]
         words = pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(offsets), pa.py_buffer(packed)]).dictionary_encode()
         self.words, self.word = words.dictionary, words.indices.to_numpy().astype(np.int64)
-        ends = np.cumsum(_ENDS[raw])[begin] if n else np.zeros(0, np.int64)
+        ends = np.cumsum(_ENDS[raw], dtype=np.int32)[begin] if n else np.zeros(0, np.int64)
         new = np.ones(n, bool)
         new[1:] = (ends[1:] != ends[:-1]) | (of[1:] != of[:-1])
         starts = np.flatnonzero(new)
@@ -156,8 +156,8 @@ def _counter(lengths: tuple[int, ...], bits: Callable[[], np.ndarray] | None, to
                     shard.likely(known)
                 found = shard.counts(lengths)
                 del shard
-                for i in range(0, found.num_rows, 100_000):
-                    yield found.slice(i, 100_000)
+                for i in range(0, found.num_rows, 50_000):
+                    yield found.slice(i, 50_000)
                 del found
                 trim()
 
