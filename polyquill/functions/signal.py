@@ -61,6 +61,58 @@ def pseudomoves(x: np.ndarray, lag: int = 100, threshold: float = 3.5, seed: int
     return fill_gaps(out[lag:])
 
 
+def pseudomoves_of(signals: list[np.ndarray], lag: int = 100, threshold: float = 3.5, seed: int = 123, draws: np.ndarray | None = None) -> list[np.ndarray]:
+    """``pseudomoves`` of many signals of whole numbers at once: one step of time serves all rows, and a ring of the last samples keeps their number, sum and sum of squares.
+
+    ``draws`` are ``lag`` places (0 to 29) of the pool that a baseline starts from; without them they are drawn by the seed."""
+    order = sorted((i for i in range(len(signals)) if len(signals[i])), key=lambda i: -len(signals[i]))
+    out = [np.zeros(len(x), np.int64) for x in signals]
+    if not order:
+        return out
+    draws = np.random.default_rng(seed).choice(30, lag) if draws is None else np.asarray(draws)
+    size = np.array([len(signals[i]) for i in order])
+    n, rows = int(size[0]), len(order)
+    pool = np.full((rows, 30), np.nan)
+    x = np.zeros((n, rows))  # time first, so that a step is contiguous
+    for k, i in enumerate(order):
+        own = np.asarray(signals[i], float)
+        often = most_frequent(own, 20)
+        pool[k, : len(often)], pool[k, 20 : 20 + min(10, len(own))] = often, own[:10]
+        x[: len(own), k] = own
+    shift = x[0].copy()  # sums of squares stay small
+    x -= shift
+    begin = pool[:, draws].T - shift
+    there = ~np.isnan(begin)
+    ring = np.where(there, begin, 0.0)  # of the last lag samples; one more once the first has come
+    ring = np.concatenate([ring, np.zeros((1, rows))])
+    there = np.concatenate([there, np.zeros((1, rows), bool)])
+    count, total, squares = there.sum(axis=0).astype(float), ring.sum(axis=0), (ring**2).sum(axis=0)
+    last, last_there = ring[lag - 1].copy(), there[lag - 1].copy()
+    moves = np.zeros((n, rows), np.int8)
+    at = lag  # the ring's place that is replaced next
+    live = np.searchsorted(-size, -np.arange(n), "left")  # rows that still have samples
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for t in range(n):
+            m = int(live[t])
+            y, c, s, q = x[t, :m], count[:m], total[:m], squares[:m]
+            over = c * y - s
+            # |y - mean| > threshold * sd, with both sides times the count
+            far = (over * over * (c - 1) > threshold * threshold * c * (c * q - s * s)) & (c > 1)
+            moves[t, :m] = np.where(far, np.sign(over), 0)
+            value, is_there = np.where(far, last[:m], y), np.where(far, last_there[:m], True)
+            old, old_there = ring[at, :m].copy(), there[at, :m].copy()
+            ring[at, :m], there[at, :m] = np.where(is_there, value, 0.0), is_there
+            count[:m] = c + is_there - old_there
+            new = ring[at, :m]
+            total[:m], squares[:m] = s + new - old, q + new * new - old * old
+            last[:m], last_there[:m] = new, is_there
+            at = (at + 1) % (lag + 1)
+    moves[:5] = 0
+    for k, i in enumerate(order):
+        out[i] = fill_gaps(moves[: size[k], k].astype(np.int64))
+    return out
+
+
 def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, length and value of each run."""
     x = np.asarray(x)
@@ -156,6 +208,21 @@ def stacked_gaf(x: np.ndarray, size: int = 100) -> np.ndarray:
     return np.stack([gaf(x, "s"), gaf(x, "d")], axis=-1)
 
 
+def gaf_of(chunks: np.ndarray) -> np.ndarray:
+    """Both fields of each of many chunks of one length: (n, size, size, 2)."""
+    x = np.asarray(chunks, float)
+    low, high = x.min(axis=1, keepdims=True), x.max(axis=1, keepdims=True)
+    wide = np.where(high > low, high - low, 1.0)
+    y = np.where(high > low, np.clip(2 * (x - low) / wide - 1, -1, 1), 0.0)
+    fields = []
+    for angle, of in ((np.arccos, np.cos), (np.arcsin, np.sin)):
+        a = angle(y)
+        g = of(a[:, :, None] + a[:, None, :])
+        low, high = g.min(axis=(1, 2), keepdims=True), g.max(axis=(1, 2), keepdims=True)
+        fields.append(np.round(np.where(high > low, (g - low) / np.where(high > low, high - low, 1.0), 0.0), 4))
+    return np.stack(fields, axis=-1)
+
+
 def density(x: np.ndarray, points: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """A Gaussian kernel density over evenly spaced places (rule-of-thumb bandwidth)."""
     x = np.asarray(x, float)
@@ -176,7 +243,16 @@ def _column(f, kind: T.DataType):
     return F.pandas_udf(lambda s: pd.Series([None if v is None else f(np.asarray(v)) for v in s]), kind)
 
 
-winsorized, resampled, moves = (_column(f, T.ArrayType(T.LongType())) for f in (winsorize, resample, pseudomoves))
+clipped = _column(lambda x: winsorize(x, 0.002, 0.998), T.ArrayType(T.LongType()))
+winsorized, resampled = (_column(f, T.ArrayType(T.LongType())) for f in (winsorize, resample))
+
+
+def _moves(s: pd.Series) -> pd.Series:
+    found = pseudomoves_of([np.zeros(0) if v is None else np.asarray(v, float) for v in s])
+    return pd.Series([None if v is None else m for v, m in zip(s, found)])
+
+
+moves = F.pandas_udf(_moves, T.ArrayType(T.LongType()))
 gaf_rows = _column(lambda x: gaf(x).ravel() if len(x) else x, T.ArrayType(T.DoubleType()))
 has_run = F.pandas_udf(lambda s: pd.Series([v is not None and longest_run(np.asarray(v)) >= 5 for v in s]), T.BooleanType())
 

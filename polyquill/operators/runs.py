@@ -7,14 +7,20 @@ to class numbers 0 to 3; it is loaded where it runs.  The fields never leave the
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import signal as K
-from ..functions.scalar import at_end, class_of, comment_code, guppy_code
+from ..functions.matching import type_statistics, with_tail_type
+from ..functions.scalar import at_end, cdna_code, class_of, comment_code, guppy_code
+from ..sources.bam import tailed_reads
+from ..sources.stages import Run, made_of
+from .post import first_of_each
+from .scale import stored
 from .tables import dorado_passed, require
 
 # The classifier's numbers and their residues.
@@ -40,8 +46,9 @@ def dorado_summary(summary: DataFrame, qc: bool = True) -> DataFrame:
 
 def tail_signals(summary: DataFrame, signals: DataFrame) -> DataFrame:
     """read_id and tail_signal: the tail cut from each raw signal, winsorised and resampled to a fifth; empty where the bounds don't fit."""
-    wanted = summary.where("poly_tail_length > 10 and poly_tail_start > 0").select("read_id", "poly_tail_start", "poly_tail_end")
-    d = wanted.join(signals.select("read_id", "signal"), "read_id")
+    # the summary's side is made the table in memory: signals from a store then stay in their buckets, unsorted and unmoved
+    wanted = summary.where("poly_tail_length > 10 and poly_tail_start > 0").select("read_id", "poly_tail_start", "poly_tail_end").hint("shuffle_hash")
+    d = signals.select("read_id", "signal").join(wanted, "read_id")
     a, b = F.col("poly_tail_start"), F.col("poly_tail_end")
     fits = (a > 0) & (a < b) & (b <= F.size("signal"))
     cut = F.when(fits, F.slice("signal", a + 1, F.when(fits, b - a).otherwise(0))).otherwise(F.array().cast(d.schema["signal"].dataType))
@@ -64,6 +71,61 @@ def chunk_rows(tails: DataFrame, moves: Callable = K.pseudomoves, chunks: Callab
     return tails.select(read, signal).mapInPandas(run, f"{read} string, chunk_idx int, chunkname string, chunk_sequence array<double>, chunk_start_pos int, chunk_end_pos int")
 
 
+#: What becomes of a tail: chunks, none as no move stands out, none as moves don't last, or an error.
+STATES = ("chunked", "zeromoved", "nonpseudomoved", "failed")
+CLASSIFIED = "chunk_idx int, chunkname string, chunk_start_pos int, chunk_end_pos int, prediction int, state string, problem string"
+
+
+def classified_chunks(tails: DataFrame, load: Callable[[], Callable[[np.ndarray], np.ndarray]], chunks: Callable = K.chunks, read: str = "read_id", signal: str = "tail_signal", most: int = 256) -> DataFrame:
+    """Everything that is computed from tails, in one pass: a row per chunk with its class, and for a read without chunks one row that says why.
+
+    A batch's moves are found together and its chunks are classified together, at most so many at once.  If a batch fails its reads are tried one by one, so that a bad signal, or
+    one that the model can't take, costs its own read only: state ``failed``, and the error as ``problem``.  An error of loading the model ends the job."""
+    columns = [read, *(c.split()[0] for c in CLASSIFIED.split(", "))]
+    moves_of, fields_of, longest = K.pseudomoves_of, K.gaf_of, K.longest_run
+
+    def cut(names: list, signals: list) -> list[tuple]:
+        out = []
+        for name, x, moves in zip(names, signals, moves_of(signals)):
+            found = chunks(x, moves) if len(x) else []
+            if not found:
+                state = "zeromoved" if not np.any(moves) else "nonpseudomoved" if longest(moves) < 5 else "chunked"
+                out.append((name, 0, None, None, None, None, state, None))
+            out += [(name, i, f"{name}_{i}", start, start + len(v) - 1, v, "chunked", None) for i, (start, v) in enumerate(found, 1)]
+        return out
+
+    def classed(rows: list[tuple], classify: Callable) -> list[tuple]:
+        held, called = [i for i, r in enumerate(rows) if r[5] is not None], {}
+        for at in range(0, len(held), most):
+            part = held[at : at + most]
+            found = np.asarray(classify(fields_of(np.stack([rows[i][5] for i in part])))).astype(int)
+            if len(found) != len(part):
+                raise ValueError("the model gave another number of classes than it got chunks")
+            called.update(zip(part, found.tolist()))
+        return [(*r[:5], called.get(i), *r[6:]) for i, r in enumerate(rows)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        classify = load()
+        for b in batches:
+            names = b[read].tolist()
+            try:
+                rows = classed(cut(names, [np.zeros(0) if v is None else np.asarray(v, float) for v in b[signal]]), classify)
+            except Exception:
+                rows = []
+                for name, v in zip(names, b[signal]):
+                    try:
+                        rows += classed(cut([name], [np.zeros(0) if v is None else np.asarray(v, float)]), classify)
+                    except Exception as e:
+                        rows.append((name, 0, None, None, None, None, "failed", f"{type(e).__name__}: {e}"[:500]))
+            yield pd.DataFrame(rows, columns=columns).astype({"chunk_start_pos": "Int32", "chunk_end_pos": "Int32", "prediction": "Int32"})
+
+    return tails.select(read, signal).mapInPandas(run, f"{read} string, {CLASSIFIED}")
+
+
+def _good(classified: DataFrame) -> DataFrame:
+    return classified.where("chunkname is not null")
+
+
 def predictions(chunks: DataFrame, load: Callable[[], Callable[[np.ndarray], np.ndarray]], most: int = 256) -> DataFrame:
     """chunkname and prediction: angular fields of at most so many chunks at once go through the loaded model."""
     field = K.stacked_gaf  # the function alone goes to executors, not its module
@@ -121,6 +183,29 @@ def dorado_outputs(predicted: DataFrame, chunks: DataFrame, checked: DataFrame,
     return plain.unionByName(marked), residues
 
 
+def cdna_outputs(predicted: DataFrame, chunks: DataFrame, checked: DataFrame, known: DataFrame, qc: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(read table, residue table) of cDNA reads with their tail_type.
+
+    Every known read is blank, but decorated if it has a residue that stays, blank again (MPU) if qc takes a residue at an end from it, whatever else it has, and unclassified if its tail is short; each
+    read counts once.  Positions have two decimals."""
+    found, _ = _decoded(predicted, "read_id")
+    center, length = (F.col("chunk_start_pos") + F.col("chunk_end_pos")) / 2, F.col("poly_tail_length")
+    samples = 0.2 * (F.col("poly_tail_end") - F.col("poly_tail_start"))
+    own = checked.select("read_id", "poly_tail_length", "poly_tail_start", "poly_tail_end", "alignment_genome", "alignment_mapq", "tail_type")
+    placed = found.join(chunks.select("read_id", "chunkname", center.alias("center")), ["read_id", "chunkname"]).join(own, "read_id")
+    placed = placed.withColumn("est_nonA_pos", F.bround(length - F.try_divide(length * F.col("center"), samples), 2)).where("est_nonA_pos is not null")
+    edge = at_end(F.col("est_nonA_pos"), length) if qc else F.lit(False)
+    marks = placed.groupBy("read_id").agg(F.max(edge).alias("doubtful"), F.max(~edge).alias("good"))
+    no = F.lit(False)
+    once = first_of_each(known, "read_id", ["filename", "poly_tail_start"])
+    code = cdna_code(F.coalesce("good", no), F.coalesce("doubtful", no), length)
+    reads = once.join(marks, "read_id", "left").withColumn("comments", code).withColumn("class", class_of(F.col("comments")))
+    names = [F.col("read_id").alias("readname"), F.col("alignment_genome").alias("contig")]
+    rest = [F.col("poly_tail_length").alias("polya_length"), F.col("alignment_mapq").alias("qc_tag")]
+    residues = placed.where(~edge).select(*names, F.col("base").alias("prediction"), "est_nonA_pos", *rest, "tail_type")
+    return reads.select(*names, *rest, "class", "comments", "tail_type"), residues
+
+
 def guppy_outputs(predicted: DataFrame, chunks: DataFrame, tails: DataFrame, nanopolish: DataFrame, pass_only: bool = True, qc: bool = True) -> tuple[DataFrame, DataFrame]:
     """(read table, residue table) of the older pipeline: tails (readname, signal_length); terminal residues stay, marked -WARN if qc."""
     found, all_a = _decoded(predicted, "readname")
@@ -141,23 +226,73 @@ def guppy_outputs(predicted: DataFrame, chunks: DataFrame, tails: DataFrame, nan
 
 
 def run_dorado(summary: DataFrame, signals: DataFrame, load: Callable, qc: bool = True) -> tuple[DataFrame, DataFrame]:
-    """The whole direct-RNA run: (read table, residue table)."""
+    """The whole direct-RNA run: (read table, residue table).  Signals are worked on once; what comes of them is stored, as both tables need it."""
     original = dorado_summary(summary, qc=False)
     checked = dorado_summary(summary, qc)
-    chunks = chunk_rows(tail_signals(checked, signals))
-    return dorado_outputs(predictions(chunks, load), chunks, checked, original, qc)
+    marked = _good(stored(classified_chunks(tail_signals(checked, signals), load)))
+    return dorado_outputs(marked, marked, checked, original, qc)
+
+
+def checked_tails(run: Run, summary: DataFrame, signals: DataFrame, load: Callable, qc: bool = True, parts: int = 1, key: object = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(read table, residue table, reads without a result) of a direct-RNA run that can be ended and taken up again.
+
+    Reads are dealt to ``parts`` by their id; each part is a stage of its own, and the filtered summary another.  What a stage was made of is known by the files of summary and signals, by qc
+    and parts, and by ``key``, which should name the model.  Reads whose signal is missing, or whose signal failed, are listed with their stage and problem, and don't end the run."""
+    made = {"summary": made_of(summary), "signals": made_of(signals), "qc": qc, "parts": parts, "key": key}
+    original = dorado_summary(summary, qc=False)
+    checked = run.stage("summary", {k: made[k] for k in ("summary", "qc")}, lambda: dorado_summary(summary, qc))
+    tables = []
+    for k in range(parts):
+        own = checked.where(F.pmod(F.xxhash64("read_id"), F.lit(parts)) == k) if parts > 1 else checked
+        tables.append(run.stage(f"chunks_{k}", {**made, "part": k}, lambda own=own: classified_chunks(tail_signals(own, signals), load)))
+    marked = reduce(lambda a, b: a.unionByName(b), tables)
+    wanted = checked.where("poly_tail_length > 10 and poly_tail_start > 0").select("read_id")
+    missing = wanted.join(marked.select("read_id"), "read_id", "left_anti").select("read_id", F.lit("signal").alias("stage"), F.lit("no signal of this read").alias("problem"))
+    lost = marked.where("state = 'failed'").select("read_id", F.lit("chunks").alias("stage"), "problem").unionByName(missing)
+    counts = dict(marked.groupBy("state").agg(F.countDistinct("read_id")).collect())
+    for state in STATES[1:]:
+        if counts.get(state):
+            run.log(f"{counts[state]} reads {state}", "WARNING")
+    classes, residues = dorado_outputs(_good(marked), _good(marked), checked, original, qc)
+    return classes, residues, lost
 
 
 def run_cdna(summary: DataFrame, signals: DataFrame, calls: DataFrame, load: Callable, qc: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(read table, residue table, reads without a call) of cDNA reads: tail_type polyA or polyT by read_id comes from ``calls``; positions have two decimals."""
+    """(read table, residue table, reads without a call) of cDNA reads: tail_type polyA or polyT by read_id comes from ``calls``."""
     typed = dorado_summary(summary, qc=False).join(calls.select("read_id", "tail_type").distinct(), "read_id", "left").withColumn("tail_type", F.coalesce("tail_type", F.lit("unidentified")))
     known = typed.where("tail_type in ('polyA', 'polyT')")
-    checked = dorado_passed(known) if qc else known
-    chunks = chunk_rows(tail_signals(checked, signals))
-    classes, residues = dorado_outputs(predictions(chunks, load), chunks, checked, known, qc, digits=2, extra=["tail_type"])
+    marked = _good(stored(classified_chunks(tail_signals(known, signals), load)))
+    classes, residues = cdna_outputs(marked, marked, known, known, qc)
     return classes, residues, typed.where("tail_type = 'unidentified'")
 
 
+def run_cdna_from_bam(aligned: DataFrame, summary: DataFrame, signals: DataFrame, load: Callable, qc: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(read table, residue table, reads without a call, statistics of the calls) from alignment records (``sources.bam.read_bam``), a summary and signals.
+
+    Sequences are those of mapped primary records with a tail call; their orientation is found once and stored."""
+    reads = tailed_reads(aligned, summary).select("read_id", "sequence")
+    calls = stored(with_tail_type(reads).select("read_id", "tail_type"))
+    classes, residues, rest = run_cdna(summary, signals, calls, load, qc)
+    return classes, residues, rest, type_statistics(calls)
+
+
+def merged_statistics(polya: DataFrame | None, polyt: DataFrame | None, unidentified: DataFrame | None, residues: DataFrame | None = None) -> DataFrame:
+    """tail_type, reads, percent of all reads (two decimals) and residues for polyA, polyT and unidentified reads, and a row for the total; a missing table has no reads."""
+    some = next((d for d in (polya, polyt, unidentified, residues) if d is not None), None)
+    if some is None:
+        raise ValueError("no table is given")
+    kinds = {"polyA": polya, "polyT": polyt, "unidentified": unidentified}
+    spark = some.sparkSession
+    every = spark.createDataFrame([(k, 0, 0) for k in kinds], "tail_type string, reads long, residues long")
+    each = [d.select(F.lit(k).alias("tail_type"), F.lit(1).cast("long").alias("reads"), F.lit(0).cast("long").alias("residues")) for k, d in kinds.items() if d is not None]
+    if residues is not None:
+        each.append(residues.select("tail_type", F.lit(0).cast("long").alias("reads"), F.lit(1).cast("long").alias("residues")))
+    counts = reduce(lambda a, b: a.unionByName(b), each, every).rollup("tail_type").agg(F.sum("reads").alias("reads"), F.sum("residues").alias("residues"), F.grouping("tail_type").alias("_all"))
+    counts = counts.withColumn("tail_type", F.when(F.col("_all") == 1, "total").otherwise(F.col("tail_type"))).drop("_all")
+    total = F.max("reads").over(Window.partitionBy(F.lit(1)))  # of four rows
+    return counts.select("tail_type", "reads", F.coalesce(F.round(F.try_divide(F.col("reads"), total) * 100, 2), F.lit(0.0)).alias("percent"), "residues")
+
+
 def merge_cdna(parts: dict[str, DataFrame]) -> DataFrame:
     """Tables of polyA and polyT reads under one another; a missing tail_type is the part's name."""
     named = [d if "tail_type" in d.columns else d.withColumn("tail_type", F.lit(kind)) for kind, d in parts.items()]
@@ -181,9 +316,9 @@ def guppy_tails(reads: DataFrame, signals: DataFrame) -> DataFrame:
 
 def run_guppy(nanopolish: DataFrame, reads: DataFrame, signals: DataFrame, load: Callable, pass_only: bool = True, qc: bool = True) -> tuple[DataFrame, DataFrame]:
     """The older run; reads: what ``sources.readers.polya`` gives."""
-    tails = guppy_tails(reads, signals).where("reject_reason is null")
-    chunks = chunk_rows(tails, chunks=K.guppy_chunks, read="readname")
-    return guppy_outputs(predictions(chunks, load), chunks, tails, nanopolish, pass_only, qc)
+    tails = stored(guppy_tails(reads, signals).where("reject_reason is null"))
+    marked = _good(stored(classified_chunks(tails, load, chunks=K.guppy_chunks, read="readname")))
+    return guppy_outputs(marked, marked, tails, nanopolish, pass_only, qc)
 
 
 def training_chunks(tails: DataFrame, nucleotide: str, read: str = "read_id") -> DataFrame:

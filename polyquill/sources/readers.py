@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import corrected_label
 from ..operators.tables import require, tailfindr, union_samples
+from .stages import publish
 
 
 def table(spark: SparkSession, source: str | DataFrame) -> DataFrame:
@@ -106,14 +107,11 @@ def write_table(df: DataFrame, path: str) -> None:
 
 
 def save_outputs(outputs: dict[str, DataFrame], folder: str, prefix: str = "", now: str | None = None) -> dict[str, str]:
-    """Each table under its name, with time and prefix before it; nothing there is overwritten.  Returns the paths."""
+    """Each table under its name in a folder with time and prefix, all of them or none (``stages.publish``); nothing there is overwritten.  Returns the paths."""
     from datetime import datetime
 
     now = now or datetime.now().strftime("%Y-%m-%d_%H-%M-%S")
-    paths = {name: f"{folder}/{now}{'_' + prefix if prefix else ''}_{name}.tsv" for name in outputs}
-    for name, df in outputs.items():
-        write_table(df, paths[name])
-    return paths
+    return publish(next(iter(outputs.values())).sparkSession, outputs, folder, f"{now}{'_' + prefix if prefix else ''}")
 
 
 def save_cdna(outputs: dict[str, DataFrame | None], empty: DataFrame) -> dict[str, DataFrame]:

@@ -40,6 +40,40 @@ def test_pseudomoves(seed):
     assert K.pseudomoves(x).tolist() == plain(x)
 
 
+def _tails(n, seed):
+    r = np.random.default_rng(seed)
+    out = []
+    for i in range(n):
+        x = np.rint(r.normal(650, r.choice([0, 3, 12, 40]), r.choice([1, 2, 5, 9, 40, 120, 300, 600]))).astype(int)
+        for _ in range(r.integers(0, 4)):
+            at, wide = r.integers(0, len(x)), r.integers(1, 30)
+            x[at : at + wide] += r.choice([-200, 150, 400])
+        out.append(x)
+    return [*out, np.zeros(0, int)]
+
+
+def test_many_at_once_are_as_one_by_one_and_faster():
+    import time
+
+    tails = _tails(1000, 1)
+    began = time.perf_counter()
+    got = K.pseudomoves_of(tails)
+    took = time.perf_counter() - began
+    assert all(a.tolist() == K.pseudomoves(x).tolist() for a, x in zip(got, tails))
+    began = time.perf_counter()
+    for x in tails[:60]:
+        K.pseudomoves(x)
+    assert (time.perf_counter() - began) / 60 * 1000 > 10 * took
+    draws = np.arange(100) % 30
+    assert [m.tolist() for m in K.pseudomoves_of(tails[:20], draws=draws)] == [m.tolist() for x in tails[:20] for m in K.pseudomoves_of([x], draws=draws)]
+
+
+def test_many_fields_at_once():
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.integers(500, 900, (20, 100)), np.full((1, 100), 7)])
+    assert np.array_equal(K.gaf_of(x), np.stack([K.stacked_gaf(v) for v in x]))
+
+
 def test_the_baseline_starts_at_frequent_values_and_the_first_five_moves_are_zero():
     x = np.array([*range(500, 522)] * 5 + [900 + 7 * i for i in range(40)] + [*range(500, 522)] * 5)
     got = K.pseudomoves(x)
