@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import integer_mode, position_bin
+from .density import modes
 from .scale import placed
 from .stats import adjusted, fisher
 from .tables import _by, natural_join, passed, require
@@ -166,18 +167,40 @@ def decorated_share(classes: DataFrame, group: str, value: str = "decorated", co
     return classes.groupBy(group).agg(F.count_if(F.col(column) == value).alias("n"), F.count("*").alias("total")).withColumn("share", F.try_divide("n", "total"))
 
 
-def panel(residues: DataFrame, kind: str, position: str, length: str, width: int = 5) -> DataFrame:
-    """Per residue and bin of positions: residues in the bin, how many have a tail at least as long, their ratio, and that over the number of length bins.
-    The at-least count is a running sum over the histogram of lengths, not a self-join."""
-    rounded = lambda c: position_bin(F.bround(F.col(c), 0), width).cast("long")
-    d = residues.select(kind, rounded(position).alias("bin"), rounded(length).alias("len_bin"))
-    both = d.select(kind, F.col("bin").alias("b"), F.lit(1).alias("at"), F.lit(0).alias("of")).unionByName(d.select(kind, F.col("len_bin").alias("b"), F.lit(0).alias("at"), F.lit(1).alias("of")))
-    hist = both.where("b is not null").groupBy(kind, "b").agg(F.sum("at").alias("n"), F.sum("of").alias("n_len"))
-    from_top = Window.partitionBy(kind).orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, 0)
-    bins = F.sum(F.when(F.col("n_len") > 0, 1).otherwise(0)).over(Window.partitionBy(kind))
-    out = hist.withColumns({"n_at_least": F.sum("n_len").over(from_top), "length_bins": bins}).where("n > 0")
-    out = out.withColumn("ratio", F.try_divide("n", "n_at_least"))
-    return out.select(kind, F.col("b").alias("bin"), "n", "n_at_least", "ratio", F.try_divide("ratio", "length_bins").alias("normalised"))
+def _pooled(residues: DataFrame, kind: str, position: str, length: str, width: int, from_5_prime: bool) -> tuple[DataFrame, DataFrame]:
+    """(residues with their bins, per position bin the pooled counts of all residues)."""
+    place = F.col(position) if from_5_prime else F.col(length) - F.col(position)
+    rounded = lambda c: position_bin(F.bround(c.cast("double"), 0), width).cast("long")
+    d = residues.select(F.col(kind).alias("_kind"), rounded(place).alias("bin"), rounded(F.col(length)).alias("length_bin"))
+    both = d.select(F.col("bin").alias("b"), F.lit(1).alias("at"), F.lit(0).alias("of")).unionByName(d.select(F.col("length_bin").alias("b"), F.lit(0).alias("at"), F.lit(1).alias("of")))
+    hist = both.where("b is not null").groupBy("b").agg(F.sum("at").alias("n_bin"), F.sum("of").alias("n_len"))
+    from_top = Window.partitionBy(F.lit(1)).orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, 0)  # a row for each bin of a tail's length, some hundred
+    lengths = F.count_if(F.col("n_len") > 0).over(Window.partitionBy(F.lit(1)))
+    pooled = hist.select(F.col("b").alias("bin"), "n_bin", F.sum("n_len").over(from_top).alias("n_at_least"), lengths.alias("length_bins")).where("n_bin > 0")
+    return d, pooled.withColumn("ratio", F.try_divide("n_bin", "n_at_least"))
+
+
+def panel(residues: DataFrame, kind: str, position: str, length: str, width: int = 5, from_5_prime: bool = True) -> DataFrame:
+    """Per residue and bin of positions: its residues there (n); and of all residues pooled how many there are (n_bin), how many have a tail at least as long as the bin
+    (n_at_least), their ratio, and that over the number of bins that lengths fall into.  Positions count from the 5' end or from the 3' end."""
+    d, pooled = _pooled(residues, kind, position, length, width, from_5_prime)
+    own = d.where("bin is not null").groupBy("_kind", "bin").agg(F.count("*").alias("n"))
+    return own.join(pooled, "bin").select(F.col("_kind").alias(kind), "bin", "n", "n_bin", "n_at_least", "ratio", F.try_divide("ratio", "length_bins").alias("normalised"))
+
+
+def panel_columns(residues: DataFrame, kind: str, position: str, length: str, width: int = 5, from_5_prime: bool = True) -> DataFrame:
+    """The panel's columns: per residue and bin of tail lengths the sum of its residues' normalised ratios, with the label ``(n=..)`` of the residue."""
+    d, pooled = _pooled(residues, kind, position, length, width, from_5_prime)
+    share = pooled.select("bin", F.try_divide("ratio", "length_bins").alias("_share"))
+    heights = d.where("bin is not null and length_bin is not null").groupBy("_kind", "bin", "length_bin").agg(F.count("*").alias("_m")).join(share, "bin").groupBy("_kind", "length_bin").agg(F.sum(F.col("_m") * F.col("_share")).alias("height"))
+    labels = d.groupBy("_kind").agg(F.concat(F.lit("(n="), F.count("*").cast("string"), F.lit(")")).alias("label"))
+    return heights.join(labels, heights["_kind"].eqNullSafe(labels["_kind"])).select(heights["_kind"].alias(kind), "length_bin", "height", "label")
+
+
+def tail_types(merged: DataFrame, keep_columns: Sequence[str] = ("sample", "group", "readname", "prediction", "est_nonA_pos", "polya_length", "class", "comments", "transcript", "ensembl_transcript_id_full", "ensembl_transcript_id_short", "prediction_C", "prediction_G", "prediction_U", "nonA_residues")) -> DataFrame:
+    """Every read twice: as blank or nonA, by whether it has residues, and as total; for the distributions of lengths."""
+    own = F.when(F.col("nonA_residues").isNull(), "blank").otherwise("nonA")
+    return keep(merged, keep_columns).withColumn("type", F.explode(F.array(own, F.lit("total"))))
 
 
 def metrics(summary: DataFrame, factors: Sequence[str]) -> DataFrame:
@@ -196,7 +219,10 @@ def with_count(df: DataFrame, column: str, out: str = "n") -> DataFrame:
 
 
 def central_tendency(df: DataFrame, group: str, length: str = "polya_length") -> DataFrame:
-    return df.groupBy(group).agg(F.median(length).alias("median"), F.avg(length).alias("mean"), integer_mode(F.col(length)).alias("mode"))
+    """Median, mean and mode of lengths by group; the mode is where the density of the group's lengths is highest."""
+    rest = df.groupBy(group).agg(F.median(length).alias("median"), F.avg(length).alias("mean"))
+    top = modes(df, group, length)
+    return rest.join(top, rest[group].eqNullSafe(top[group]), "left").select(rest[group], "median", "mean", "mode")
 
 
 def type_shares(df: DataFrame, column: str = "tail_type") -> DataFrame:
@@ -216,9 +242,13 @@ def pick_list(df: DataFrame, column: str) -> DataFrame:
 
 
 def seeded_sample(df: DataFrame, groups: str | Sequence[str], key: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows of each group, the same at each run: those with the least hash of key and seed.  min_by over a bounded list, combined before the shuffle, would need n known;
-    a rank limit is pushed below the window's shuffle by the optimizer."""
-    w = Window.partitionBy(*_by(groups)).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    """n rows of each group, the same at each run and in any system with MD5: those whose digest of key, colon and seed is least.
+
+    Each task first keeps its own n rows of a group, so no more than those are shuffled; Spark does that up to a limit, which is raised where n is over it."""
+    spark, limit = df.sparkSession, "spark.sql.optimizer.windowGroupLimitThreshold"
+    if int(spark.conf.get(limit, "1000")) < n:
+        spark.conf.set(limit, str(n))
+    w = Window.partitionBy(*_by(groups)).orderBy(F.md5(F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(str(seed))).cast("binary")), key)
     return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
 
 

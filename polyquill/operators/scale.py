@@ -86,3 +86,23 @@ def attached(df: DataFrame, table: DataFrame, keys: Sequence[str], n: str, total
     rest = df.where(" or ".join(f"`{k}` is null" for k in keys)).withColumns({c: F.lit(None).cast(table.schema[c].dataType) for c in extra})
     columns = [*df.columns, *extra]
     return found.where("_hot").select(*columns).unionByName(cold.select(*columns)).unionByName(rest.select(*columns))
+
+
+def exact_quantiles(df: DataFrame, key: str, value: str, probabilities: dict[str, float]) -> DataFrame:
+    """key, n and, under the names given, exact quantiles of a number by key (interpolated between the two nearest values).
+
+    Counts of distinct values are placed in order over the whole table, so no key's values meet in one task.  Null values don't count; a null key has no row."""
+    counts = df.where(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(F.col(key).alias("_k"), F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    upto = running(placed(counts, "_k", "_v", place="_place", part="_part"), "_c", "_upto", place="_place", part="_part")
+    per_key = upto.groupBy("_k").agg(F.min(F.col("_upto") - F.col("_c")).alias("_base"), F.sum("_c").alias("_n"), F.count("*").alias("_rows"))
+    d = attached(upto, per_key, ["_k"], "_rows", upto.count())
+    after, before = F.col("_upto") - F.col("_base"), F.col("_upto") - F.col("_base") - F.col("_c")
+    marks = []
+    for name, p in probabilities.items():
+        at = (F.col("_n") - 1) * F.lit(float(p))
+        low = F.floor(at)
+        for side, i in (("lo", low), ("hi", F.least(low + 1, F.col("_n") - 1))):
+            marks.append(F.max(F.when((before <= i) & (i < after), F.col("_v"))).alias(f"_{side}_{name}"))
+        marks.append(F.max(at - low).alias(f"_part_{name}"))
+    found = d.groupBy("_k").agg(F.max("_n").alias("n"), *marks)
+    return found.select(F.col("_k").alias(key), "n", *((F.col(f"_lo_{name}") + F.col(f"_part_{name}") * (F.col(f"_hi_{name}") - F.col(f"_lo_{name}"))).alias(name) for name in probabilities))

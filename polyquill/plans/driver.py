@@ -13,6 +13,7 @@ from ..functions import signal as K
 from ..operators import stats
 from ..operators import tables as T
 from . import reads  # noqa: F401  (registers its queries)
+from .movesql import moves_sql
 from .registry import QUERIES, SQL, Query
 from .registry import query as _query
 
@@ -219,9 +220,9 @@ def resample(t):
     return _samples(_signals(t), K.resampled("signal"))
 
 
-@_query()
+@_query(f"{moves_sql('value')} select user_id, (i - 1)::int as i, move::bigint as move from filled")
 def pseudomoves(t):
-    return _signals(t).select("user_id", K.moves("signal").alias("moves"))
+    return _signals(t).select("user_id", F.posexplode(K.moves("signal")).alias("i", "move"))
 
 
 @_query("""with e as (select vec_id, unnest(embedding)::double v, generate_subscripts(embedding, 1) i from embeddings), m as (select *, min(v) over w lo, max(v) over w hi from e window w as (partition by vec_id)),

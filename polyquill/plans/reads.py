@@ -7,12 +7,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import matching as M
 from ..functions import scalar as S
 from ..functions import signal as K
+from ..operators import density as D
 from ..operators import post as P
 from ..operators import runs as R
+from ..operators import scale
 from ..operators import tables as T
 from ..sources import readers
+from .movesql import moves_sql
 from .registry import query as _query
 
 _READ = """'t' || ({k} % 40) as transcript, ({k} % 97 + 5)::double as polya_length, case when {k} % 7 = 0 then 'SUFFCLIP' else 'PASS' end as qc_tag, case when {k} % 2 = 1 then 'KO' else 'WT' end as grp"""
@@ -146,13 +150,39 @@ def decorated_share(t):
     return P.decorated_share(_classes(t), "grp")
 
 
-@_query(f"""with {_RESIDUES}, b as (select prediction, case when "est_nonA_pos" > 0 then (5 * ceil(round_even("est_nonA_pos", 0) / 5))::bigint end bin, case when polya_length > 0 then (5 * ceil(round_even(polya_length, 0) / 5))::bigint end lb from r),
-l as (select prediction, count(distinct lb) k from b group by 1), n as (select prediction, bin, count(*) n from b where bin is not null group by all), g as (select n.*, (select count(*) from b where b.prediction = n.prediction and b.lb >= n.bin) n_at_least from n)
-select prediction, bin, n, n_at_least, case when n_at_least > 0 then n / n_at_least end as ratio, case when n_at_least > 0 then n / n_at_least / k end as normalised from g join l using (prediction)""")
+def _panel_sql(position: str) -> str:
+    """Each residue's bin, how many residues share it, and how many tails, of all residues, end in no lower bin."""
+    upper = lambda x: f"case when round_even({x}, 0) > 0 then (ceil(round_even({x}, 0) / 5.0) * 5)::bigint end"
+    return f"""{_RESIDUES}, b as (select prediction, {upper(position)} as bin, {upper("polya_length")} as lb from r), at_bin as (select bin, count(*) as n_bin from b where bin is not null group by bin),
+pooled as (select a.bin, a.n_bin, (select count(*) from b where b.lb >= a.bin) as n_at_least, (select count(distinct lb) from b) as k from at_bin a)"""
+
+
+_PANEL_ROWS = "select prediction, bin, count(*) n, any_value(n_bin) n_bin, any_value(n_at_least) n_at_least, any_value(n_bin / nullif(n_at_least, 0)) ratio, any_value(n_bin / nullif(n_at_least, 0) / k) normalised from b join pooled using (bin) group by all"
+_FROM_3 = "polya_length - est_nonA_pos"
+
+
+@_query(f"with {_panel_sql('est_nonA_pos')} {_PANEL_ROWS}")
 def panel_bins(t):
     return P.panel(_residues(t), "prediction", "est_nonA_pos", "polya_length")
 
 
+@_query(f"with {_panel_sql(_FROM_3)} {_PANEL_ROWS}")
+def panel_bins_3_prime(t):
+    return P.panel(_residues(t), "prediction", "est_nonA_pos", "polya_length", from_5_prime=False)
+
+
+@_query(f"""with {_panel_sql(_FROM_3)}, h as (select prediction, lb as length_bin, round(sum(n_bin / nullif(n_at_least, 0) / k), 9) height from b join pooled using (bin) where lb is not null group by all)
+select h.*, (select '(n=' || count(*) || ')' from b where b.prediction = h.prediction) as label from h""")
+def panel_columns(t):
+    return P.panel_columns(_residues(t), "prediction", "est_nonA_pos", "polya_length", from_5_prime=False).withColumn("height", F.round("height", 9))
+
+
+@_query(f"""with {_MERGED}, u as (select *, 'total' as type from m union all select *, 'nonA' from m where "nonA_residues" is not null union all select *, 'blank' from m where "nonA_residues" is null)
+select type, count(*) n, sum(polya_length) total, count(distinct readname) reads from u group by 1""")
+def tail_types(t):
+    return P.tail_types(_merged(t)).groupBy("type").agg(F.count("*").alias("n"), F.sum("polya_length").alias("total"), F.countDistinct("readname").alias("reads"))
+
+
 @_query(f"with {_READS} select count(distinct grp) samples, count(distinct transcript) transcripts, count(*) reads, count(*) filter (class = 'blank') blank, count(*) filter (class = 'decorated') decorated from c")
 def value_boxes(t):
     return P.value_boxes(_classes(t), "grp", "transcript")
@@ -163,9 +193,36 @@ def counted_residues(t):
     return P.with_count(t("lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"), "l_returnflag")
 
 
-@_query(f"with {_READS}, v as (select grp, arg_min(x, row(-n, x)) as mode from (select grp, polya_length::int x, count(*) n from c group by all) group by 1) select grp, median(polya_length) as median, avg(polya_length) as mean, any_value(mode) as mode from c join v using (grp) group by 1")
+# A plain sum of kernels at each of the 512 places, over all values.
+_DENSITY = """f as (select event_type, count(*) n, 0.9 * least(stddev_samp(value), (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.34) * count(*) ^ -0.2 as h, min(value) lo, max(value) hi from events group by 1),
+g as (select *, i as place, lo - 3 * h + i * (hi - lo + 6 * h) / 511 as x from f, range(512) as s(i)),
+curve as (select g.event_type, g.place, g.x, sum(exp(-0.5 * ((g.x - e.value) / g.h) ^ 2)) / any_value(g.n * g.h * sqrt(2 * pi())) as density from g join events e using (event_type) group by all)"""
+
+
+@_query(f"with {_DENSITY} select event_type, place::int as place, round(x, 6) as x, round(density, 6) as density from curve where place % 8 = 0")
+def density_curves(t):
+    return D.curves(t("events"), "event_type", "value").where("place % 8 = 0").select("event_type", "place", F.round("x", 6).alias("x"), F.round("density", 6).alias("density"))
+
+
+@_query(f"with {_DENSITY}, top as (select event_type, arg_max(x, row(density, -place)) as mode from curve group by 1) select event_type, median(value) median, round(avg(value), 6) mean, round(any_value(mode), 6) as mode from events join top using (event_type) group by 1")
 def central_tendency(t):
-    return P.central_tendency(_classes(t), "grp")
+    return P.central_tendency(t("events"), "event_type", "value").select("event_type", "median", F.round("mean", 6).alias("mean"), F.round("mode", 6).alias("mode"))
+
+
+@_query("select o_orderpriority, n, round(a, 6) a, round(b, 6) b, round(c, 6) c from (select o_orderpriority, count(*) n, quantile_cont(o_totalprice, 0.05) a, quantile_cont(o_totalprice, 0.5) b, quantile_cont(o_totalprice, 0.99) c from orders group by 1)")
+def exact_quantiles(t):
+    d = scale.exact_quantiles(t("orders"), "o_orderpriority", "o_totalprice", {"a": 0.05, "b": 0.5, "c": 0.99})
+    return d.select("o_orderpriority", "n", *(F.round(c, 6).alias(c) for c in "abc"))
+
+
+@_query("select o_orderstatus, o_orderkey from (select *, row_number() over (partition by o_orderstatus order by md5(o_orderkey || ':42'), o_orderkey) as k from orders) where k <= 25")
+def seeded_sample(t):
+    return P.seeded_sample(t("orders"), "o_orderstatus", "o_orderkey", 25).select("o_orderstatus", "o_orderkey")
+
+
+@_query("select o_orderkey, lag(o_orderkey) over (order by o_orderkey) as previous, lead(o_orderkey) over (order by o_orderkey) as next from orders")
+def read_neighbours(t):
+    return P.neighbours(t("orders").select("o_orderkey"), "o_orderkey")
 
 
 @_query("select event_type, count(*) n, round(100 * count(*) / sum(count(*)) over (), 2) percent from events group by 1")
@@ -229,12 +286,60 @@ def dorado_residues(t):
     return _dorado(t)[1]
 
 
-@_query(f"with {_PLACED.replace('DIGITS', '2')} select read_id readname, base prediction, est \"est_nonA_pos\", case when read_id::bigint % 2 = 0 then 'polyA' else 'polyT' end tail_type from good")
+# All known reads take part, also those of no quality; a residue at an end makes its read blank whatever else it has.
+_CDNA = f"""{_CHUNKS}, {_ORIGINAL}, m as (select o.*, base, round_even(len - len * (a + 49.5) / (0.2 * (e - s)), 2) as est from d join o using (read_id) where base <> 'A'),
+e as (select *, est < 2 or est > len - 2 as edge from m where est is not null), k as (select read_id, bool_or(edge) as doubtful, bool_or(not edge) as good from e group by 1)"""
+_TYPE = "case when read_id::bigint % 2 = 0 then 'polyA' else 'polyT' end"
+
+
+def _cdna(t):
+    known = R.dorado_summary(_summary_table(t), qc=False).withColumn("tail_type", F.when(F.col("read_id").cast("long") % 2 == 0, "polyA").otherwise("polyT"))
+    chunks = _chunk_table(t)
+    return R.cdna_outputs(chunks.select("chunkname", "prediction"), chunks, known, known)
+
+
+@_query(f"with {_CDNA} select read_id readname, genome contig, base prediction, est \"est_nonA_pos\", len polya_length, mapq qc_tag, {_TYPE} tail_type from e where not edge")
 def cdna_residues(t):
-    typed = lambda d: d.withColumn("tail_type", F.when(F.col("read_id").cast("long") % 2 == 0, "polyA").otherwise("polyT"))
-    chunks, summary = _chunk_table(t), typed(_summary_table(t))
-    out = R.dorado_outputs(chunks.select("chunkname", "prediction"), chunks, R.dorado_summary(summary), R.dorado_summary(summary, qc=False), digits=2, extra=["tail_type"])
-    return P.keep(out[1], ["readname", "prediction", "est_nonA_pos", "tail_type", "not_there"])
+    return _cdna(t)[1]
+
+
+@_query(f"""with {_CDNA}, c as (select o.*, case when len < 10 then 'IRL' when doubtful then 'MPU' when good then 'YAY' else 'MAU' end as comments from o left join k using (read_id))
+select read_id readname, genome contig, len polya_length, mapq qc_tag, case comments when 'IRL' then 'unclassified' when 'YAY' then 'decorated' else 'blank' end as class, comments, {_TYPE} tail_type from c""")
+def cdna_reads(t):
+    return _cdna(t)[0]
+
+
+@_query(f"""with {_CDNA}, n as (select {_TYPE} tail_type, 1 reads, 0 residues from o union all select {_TYPE}, 0, 1 from e where not edge), g as (select coalesce(tail_type, 'total') tail_type, sum(reads)::bigint reads, sum(residues)::bigint residues from n group by grouping sets ((tail_type), ()))
+select tail_type, reads, round(100 * reads / max(reads) over (), 2) as percent, residues from (select * from g union all select 'unidentified', 0, 0)""")
+def cdna_statistics(t):
+    classes, residues = _cdna(t)
+    kind = lambda k: classes.where(F.col("tail_type") == k)
+    return R.merged_statistics(kind("polyA"), kind("polyT"), None, residues)
+
+
+# Reads made of the two primers with a few letters changed, digits of a digest as bases between them.
+_SEQ = """p as (select c_custkey as id, translate(md5(c_custkey::varchar) || md5(c_name), '0123456789abcdef', 'ACGTACGTACGTACGT') as body, overlay_front as f, overlay_rear as r from (select *, 'FRONT' as overlay_front, 'REAR' as overlay_rear from customer)),
+q as (select id, case id % 5 when 0 then f || body || RC_REAR when 1 then r || body || RC_FRONT when 2 then body when 3 then left(f, 15) || body || left(RC_REAR, 30) else left(r, 24) || body || RC_FRONT end as seq from p),"""
+
+
+def _orientation_sql() -> str:
+    rear = M.REAR.rstrip("T")
+    front_rc, rear_rc, whole_rc = M.reverse_complement(M.FRONT), M.reverse_complement(rear), M.reverse_complement(M.REAR)
+    hw = lambda q, target: f"least(levenshtein('{q}', {target}), list_min(list_transform(range(1, greatest(length({target}) - {len(q)} + 1, 0) + 1), lambda i: levenshtein('{q}', substr({target}, i::bigint, {len(q)})))))"
+    made = _SEQ.replace("'FRONT'", f"'{M.FRONT}'").replace("'REAR'", f"'{M.REAR}'").replace("RC_REAR", f"'{whole_rc}'").replace("RC_FRONT", f"'{front_rc}'")
+    return f"""with {made} w as (select id, seq, left(seq, 150) as top, right(seq, 150) as bottom from q),
+d as (select id, {hw(M.FRONT, 'top')} + {hw(rear_rc, 'bottom')} as v1, {hw(rear, 'top')} + {hw(front_rc, 'bottom')} as v2 from w)
+select id, case when 1 - least(v1, v2) / {len(M.FRONT) + len(rear)}.0 < 0.6 or abs(v1 - v2) <= 10 then 'unidentified' when v1 < v2 then 'polyA' else 'polyT' end as tail_type from d"""
+
+
+@_query(_orientation_sql())
+def orientation(t):
+    k, rc = F.col("c_custkey"), M.reverse_complement
+    front, rear = F.lit(M.FRONT), F.lit(M.REAR)
+    body = F.translate(F.concat(F.md5(k.cast("string").cast("binary")), F.md5(F.col("c_name").cast("binary"))), "0123456789abcdef", "ACGTACGTACGTACGT")
+    made = [F.concat(front, body, F.lit(rc(M.REAR))), F.concat(rear, body, F.lit(rc(M.FRONT))), body, F.concat(F.left(front, F.lit(15)), body, F.left(F.lit(rc(M.REAR)), F.lit(30)))]
+    sequence = F.when(k % 5 == 0, made[0]).when(k % 5 == 1, made[1]).when(k % 5 == 2, made[2]).when(k % 5 == 3, made[3]).otherwise(F.concat(F.left(rear, F.lit(24)), body, F.lit(rc(M.FRONT))))
+    return M.with_tail_type(t("customer").select(k.alias("id"), sequence.alias("sequence"))).select("id", "tail_type")
 
 
 _GUPPY = f"""{_CHUNKS}, n as (select o_orderkey::varchar readname, 'g' || (o_orderkey % 40) contig, (o_orderkey % 97 + 5)::double polya_length, case o_orderkey % 5 when 0 then 'SUFFCLIP' when 1 then 'ADAPTER' else 'PASS' end qc_tag, (307 + 4 * (o_custkey % 2))::bigint sl from orders),
@@ -291,7 +396,10 @@ def scalar_columns(t):
     )
 
 
-@_query()
+@_query(f"""{moves_sql('trunc(value)')}, tail as (select user_id, i, case when i > max(i) over (partition by user_id) - 3 then 0 else move end as move from filled),
+run as (select user_id, i, move, i - row_number() over (partition by user_id, move order by i) as k from tail), runs as (select user_id, move, min(i) as a, count(*) as n from run where move <> 0 group by user_id, move, k having count(*) >= 5),
+numbered as (select user_id::varchar as read_id, a + n // 2 - 50 as first, row_number() over (partition by user_id order by a) as k from runs)
+select read_id, k::int as chunk_idx, read_id || '_' || k as chunkname, first::int as chunk_start_pos, (first + 99)::int as chunk_end_pos from numbered""")
 def tail_chunks(t):
     pairs = F.array_sort(F.collect_list(F.struct("ts", "event_id", "value")))
     tails = t("events").groupBy(F.col("user_id").cast("string").alias("read_id")).agg(F.transform(pairs, lambda x: x["value"].cast("int")).alias("tail_signal"))
