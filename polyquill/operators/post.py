@@ -16,7 +16,7 @@ from ..functions.scalar import integer_mode, position_bin
 from .density import modes
 from .scale import placed
 from .stats import adjusted, fisher
-from .tables import _by, natural_join, passed, require
+from .tables import _by, natural_join, passed, require, two_levels, validated
 
 # Codes of a test's outcome and their texts.
 OUTCOMES = {"OK": "OK", "G_LC": "LOW COUNT FOR ONE GROUP", "B_LC": "LOW COUNTS FOR BOTH GROUPS", "G_NA": "DATA FOR ONE GROUP NOT AVAILABLE", "B_NA": "DATA FOR BOTH GROUPS NOT AVAILABLE", "ERR": "OTHER ERROR"}
@@ -61,12 +61,12 @@ def merge_tables(classes: DataFrame, residues: DataFrame, pass_only: bool = True
     return joined.na.fill(0, numbers)
 
 
-def whitelist(spark_table: DataFrame | None, species_or_list: str | Sequence[str]) -> list[str]:
-    """The transcripts of a species in a table (species, transcript), some thousands at most, or the list itself."""
+def whitelist(spark_table: DataFrame | None, species_or_list: str | Sequence[str]) -> DataFrame | list[str]:
+    """The transcripts of a species as a table, from one of (species, transcript), or the list itself."""
     if isinstance(species_or_list, str):
         if species_or_list not in SPECIES or spark_table is None:
             raise ValueError(f"a whitelist is a list or one of {', '.join(SPECIES)} with a table")
-        return [r[0] for r in spark_table.where(F.col("species") == species_or_list).select("transcript").distinct().collect()]
+        return spark_table.where(F.col("species") == species_or_list).select("transcript").distinct()
     return list(species_or_list)
 
 
@@ -83,15 +83,19 @@ def position_rule(position: Column, length: Column, listed: Column) -> Column:
     return F.when(reduce(lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for c in yes]), "Y").otherwise("N")
 
 
-def corrected_residues(classes: DataFrame, residues: DataFrame, transcript: str, length: str = "polya_length", position: str = "est_nonA_pos", kind: str = "prediction", groups: str | Sequence[str] | None = None, listed: Sequence = ()) -> DataFrame:
+def corrected_residues(classes: DataFrame, residues: DataFrame, transcript: str, length: str = "polya_length", position: str = "est_nonA_pos", kind: str = "prediction", groups: str | Sequence[str] | None = None, listed: Sequence | DataFrame = ()) -> DataFrame:
     """Distinct residues with the statistics of their (group and) transcript and qc_pos."""
     keys = [*_by(groups), transcript]
     classes, residues = classes.distinct(), residues.distinct()
     reads = classes.groupBy(*keys).agg(F.percentile(length, F.lit(0.05)).alias("seg_err_quart"), integer_mode(F.col(length)).alias("mode_len"), F.count("*").alias("count"))
     found = residues.groupBy(*keys, kind).agg(integer_mode(F.col(position)).alias("mode_pos"), F.percentile(position, F.lit(0.05)).alias("pos_err_quart"), F.count("*").alias("count_nonA"))
     edited = natural_join(natural_join(residues, found, "inner"), natural_join(classes, reads, "inner"), "left")
-    known = F.coalesce(F.col(transcript).isin(list(listed)), F.lit(False)) if listed else F.lit(False)
-    return edited.withColumn("qc_pos", position_rule(F.col(position), F.col(length), known))
+    if isinstance(listed, DataFrame):  # a table stays one: its size decides how Spark joins it
+        known = listed.select(F.col(listed.columns[0]).alias(transcript)).where(F.col(transcript).isNotNull()).distinct().withColumn("_listed", F.lit(True))
+        edited = edited.join(known, transcript, "left").select(*edited.columns, F.coalesce("_listed", F.lit(False)).alias("_listed"))
+    else:
+        edited = edited.withColumn("_listed", F.coalesce(F.col(transcript).isin(list(listed)), F.lit(False)) if listed else F.lit(False))
+    return edited.withColumn("qc_pos", position_rule(F.col(position), F.col(length), F.col("_listed"))).drop("_listed")
 
 
 def corrected_classes(classes: DataFrame, edited: DataFrame, read: str = "readname") -> DataFrame:
@@ -103,7 +107,7 @@ def corrected_classes(classes: DataFrame, edited: DataFrame, read: str = "readna
     return d.withColumn("corr_comments", F.when(F.col("class") == F.col("corr_class"), F.col("comments")).otherwise("MPU"))
 
 
-def reclassified(classes: DataFrame, residues: DataFrame, transcript: str, groups: str | Sequence[str] | None = None, listed: Sequence = ()) -> tuple[DataFrame, DataFrame]:
+def reclassified(classes: DataFrame, residues: DataFrame, transcript: str, groups: str | Sequence[str] | None = None, listed: Sequence | DataFrame = ()) -> tuple[DataFrame, DataFrame]:
     """The read table with corrected classes, and the residues that aren't doubtful."""
     edited = corrected_residues(classes, residues, transcript, groups=groups, listed=listed)
     reads = corrected_classes(classes.distinct(), edited)
@@ -111,9 +115,14 @@ def reclassified(classes: DataFrame, residues: DataFrame, transcript: str, group
     return reads.select(*columns), edited.where("qc_pos = 'Y'").drop(*_HELPERS)
 
 
-def residue_tests(merged: DataFrame, transcript: str, group: str, levels: tuple[str, str], base: str = "C", min_reads: int = 0, min_nonA_reads: int = 0, alpha: float = 0.05) -> DataFrame:
+def residue_tests(merged: DataFrame, transcript: str, group: str, levels: tuple[str, str] | None = None, base: str = "C", min_reads: int = 0, min_nonA_reads: int = 0, alpha: float = 0.05) -> DataFrame:
     """Per transcript Fisher's test of blank reads against reads with a base (``all``: any) in two groups, adjusted over transcripts.
-    One aggregate gives all counts of a transcript, so no group of reads is gathered."""
+    One aggregate gives all counts of a transcript, so no group of reads is gathered.  Without given levels the column must have two."""
+    validated(merged, numbers=[c for c in merged.columns if c.startswith("prediction_")])
+    require(merged, [transcript, group])
+    levels = two_levels(merged, group) if levels is None else levels
+    if len(set(levels)) != 2:
+        raise ValueError("two different levels are compared")
     shown = [c for c in merged.columns if c.startswith("prediction_")]
     total = reduce(lambda a, b: a + b, [F.col(c) for c in shown])
     if base != "all" and f"prediction_{base}" not in shown:

@@ -18,6 +18,33 @@ def require(df: DataFrame, names: Sequence[str]) -> None:
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
+_NUMBERS = ("byte", "short", "integer", "long", "float", "double", "decimal")
+
+
+def validated(df: DataFrame, numbers: Sequence[str] = (), texts: Sequence[str] = (), not_empty: bool = False, not_null: Sequence[str] = ()) -> DataFrame:
+    """The table, if it has these columns of these kinds, a row (if it must), and no null where none may be; otherwise an error that names all that is wrong."""
+    require(df, [*numbers, *texts, *not_null])
+    kind = {f.name: f.dataType.typeName() for f in df.schema}
+    wrong = [f"{c} must be a number, not {kind[c]}" for c in numbers if kind[c] not in _NUMBERS]
+    wrong += [f"{c} must be text, not {kind[c]}" for c in texts if kind[c] not in ("string", "varchar", "char")]
+    if not_empty and not df.take(1):
+        wrong.append("the table is empty")
+    if not_null:
+        found = df.select(*(F.col(c).isNull().alias(c) for c in not_null)).agg(*(F.coalesce(F.max(c), F.lit(False)).alias(c) for c in not_null)).first()
+        wrong += [f"{c} has nulls" for c in not_null if found[c]]
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    return df
+
+
+def two_levels(df: DataFrame, group: str) -> tuple:
+    """The two values of a grouping column, in order; an error if it hasn't exactly two."""
+    found = [r[0] for r in df.select(group).where(F.col(group).isNotNull()).distinct().limit(3).collect()]
+    if len(found) != 2:
+        raise ValueError(f"{group} must have two levels, not {'more' if len(found) > 2 else len(found)}")
+    return tuple(sorted(found))
+
+
 def count_by(df: DataFrame, column: str, groups: str | Sequence[str] | None = None) -> DataFrame:
     """Rows per class, comment, residue or quality tag, and group: n."""
     require(df, [*_by(groups), column])

@@ -215,6 +215,25 @@ def exact_quantiles(t):
     return d.select("o_orderpriority", "n", *(F.round(c, 6).alias(c) for c in "abc"))
 
 
+@_query(f"with {_RESIDUES} select readname read_id, prediction, est_nonA_pos, polya_length from r where readname = '7'")
+def one_read(t):
+    return P.one_read(_residues(t), "7").select("read_id", "prediction", "est_nonA_pos", "polya_length")
+
+
+@_query("""with p as (select l_orderkey, l_linenumber, round_even(100 + (60 - l_quantity) * 30, 0) as place, l_returnflag from lineitem) select l_orderkey, l_linenumber, (place - 250) * 0.25 as xmin, (place + 250) * 0.25 as xmax, l_returnflag as label from p""")
+def overlays(t):
+    at = S.signal_position(F.col("l_quantity"), F.lit(60.0), F.lit(100.0), F.lit(1900.0))
+    return t("lineitem").select("l_orderkey", "l_linenumber", K.overlay(at, F.col("l_returnflag"), 250, 0.25).alias("o")).select("l_orderkey", "l_linenumber", "o.*")
+
+
+@_query(f"with {_RESIDUES}, k as (select transcript, count(*) n from r group by 1 having count(*) % 2 = 0) select r.readname, prediction, transcript in (select transcript from k) as listed from r")
+def listed_transcripts(t):
+    residues = _residues(t)
+    even = residues.groupBy("transcript").agg(F.count("*").alias("n")).where("n % 2 = 0").select(F.lit("hsapiens").alias("species"), "transcript")
+    listed = P.whitelist(even, "hsapiens").withColumn("listed", F.lit(True))
+    return residues.join(listed, "transcript", "left").select("readname", "prediction", F.coalesce("listed", F.lit(False)).alias("listed"))
+
+
 @_query("select o_orderstatus, o_orderkey from (select *, row_number() over (partition by o_orderstatus order by md5(o_orderkey || ':42'), o_orderkey) as k from orders) where k <= 25")
 def seeded_sample(t):
     return P.seeded_sample(t("orders"), "o_orderstatus", "o_orderkey", 25).select("o_orderstatus", "o_orderkey")

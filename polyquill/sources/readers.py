@@ -10,13 +10,32 @@ from ..operators.tables import require, tailfindr, union_samples
 from .stages import publish
 
 
-def table(spark: SparkSession, source: str | DataFrame) -> DataFrame:
-    """A path (.csv: commas, otherwise tabs; Parquet by suffix) or a DataFrame."""
+# Types of the columns that the callers' and this library's tables have; any other column is text.
+TYPES = {
+    **dict.fromkeys(["channel", "mux", "batch_id", "num_events", "num_events_template", "sequence_length_template", "flag", "position", "alignment_genome_start", "alignment_genome_end", "alignment_strand_start", "alignment_strand_end", "alignment_length", "alignment_num_aligned", "alignment_num_correct", "alignment_num_insertions", "alignment_num_deletions", "alignment_num_substitutions", "alignment_mapq", "alignment_bed_hits", "poly_tail_length", "poly_tail_start", "poly_tail_end", "poly_tail2_start", "poly_tail2_end", "tail_start", "tail_end", "prediction_C", "prediction_G", "prediction_U"], "int"),
+    **dict.fromkeys(["start_time", "duration", "template_start", "template_duration", "mean_qscore_template", "strand_score_template", "median_template", "mad_template", "scaling_median_template", "scaling_mad_template", "alignment_strand_coverage", "alignment_identity", "alignment_accuracy", "leader_start", "adapter_start", "polya_start", "transcript_start", "read_rate", "polya_length", "est_nonA_pos", "samples_per_nt", "tail_length"], "double"),
+    **dict.fromkeys(["passes_filtering", "tail_is_valid"], "boolean"),
+}
+
+
+def table(spark: SparkSession, source: str | DataFrame, types: dict[str, str] | None = None) -> DataFrame:
+    """A path (.csv: commas, otherwise tabs; Parquet by suffix) or a DataFrame.
+
+    A delimited table's columns get their types by name (``TYPES``, and what ``types`` adds), so only its first two lines are read before the scan that is asked for: the names, and whether qc_tag is a number
+    (a mapping quality) or a text.  NA is null; a value that isn't of its column's type raises."""
     if isinstance(source, DataFrame):
         return source
     if source.endswith(".parquet"):
         return spark.read.parquet(source)
-    return spark.read.option("sep", "," if source.endswith(".csv") else "\t").option("header", True).option("inferSchema", True).csv(source)
+    sep = "," if source.endswith(".csv") else "\t"
+    reader = spark.read.option("sep", sep).option("nullValue", "NA")
+    probe = reader.option("header", True).csv(source)
+    known = {**TYPES, **(types or {})}
+    if "qc_tag" in probe.columns and "qc_tag" not in known:
+        first = probe.select("qc_tag").where("qc_tag is not null").first()
+        known["qc_tag"] = "int" if first is not None and first[0].lstrip("-").isdigit() else "string"
+    schema = ", ".join(f"`{c}` {known.get(c, 'string')}" for c in probe.columns)
+    return spark.read.option("sep", sep).option("nullValue", "NA").option("header", True).option("mode", "FAILFAST").schema(schema).csv(source)
 
 
 def _with_transcript(df: DataFrame, sample: str | None) -> DataFrame:
@@ -94,12 +113,10 @@ def read_configured(spark: SparkSession, samples: list[dict], reader=read_classe
     good, problems = [], []
     for s in samples:
         try:
-            reader(spark, s[path])  # resolves path and columns
-            good.append(s)
+            good.append((reader(spark, s[path]), {k: s[k] for k in ("sample_name", "group") if k in s}))
         except Exception as e:  # one bad sample doesn't end the others
             problems.append(f"{s.get('sample_name')}: {str(e).splitlines()[0][:200]}")
-    keys = ("sample_name", "group")
-    return (read_samples(spark, [{**{k: s[k] for k in keys if k in s}, path: s[path]} for s in good], reader, path) if good else None), problems
+    return (union_samples(good) if good else None), problems
 
 
 def write_table(df: DataFrame, path: str) -> None:

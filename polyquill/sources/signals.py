@@ -70,7 +70,9 @@ def read_fast5(spark: SparkSession, path: str, basecall_group: str = "Basecall_1
         for b in batches:
             for name, data in zip(b["filename"], b["content"]):
                 with h5py.File(io.BytesIO(bytes(data)), "r") as f:
-                    problem = fast5_problem(list(f), basecall_group, None)
+                    tags = f[next(iter(f))].get("context_tags") if len(f) else None
+                    kind = None if tags is None else tags.attrs.get("experiment_type")
+                    problem = fast5_problem(list(f), basecall_group, kind.decode() if isinstance(kind, bytes) else kind)
                     if problem:
                         raise ValueError(f"{name}: {problem}")
                     for key in f:

@@ -166,9 +166,14 @@ def test_reclassified_reads(spark):
     reads, left = P.reclassified(classes, residues, "transcript")
     by = {r.readname: (r["class"], r.comments) for r in reads.collect()}
     assert by["r0"] == ("blank", "MPU") and by["r39"] == ("decorated", "YAY") and {r.readname for r in left.collect()} == {f"r{i}" for i in range(30, 40)}
-    assert P.whitelist(spark.createDataFrame([("hsapiens", "t")], "species string, transcript string"), "hsapiens") == ["t"]
-    listed = P.reclassified(classes, residues, "transcript", listed=["t"])[0]
-    assert {r["class"] for r in listed.collect()} == {"decorated"}
+    of_species = P.whitelist(spark.createDataFrame([("hsapiens", "t"), ("hsapiens", "t"), ("mmusculus", "x")], "species string, transcript string"), "hsapiens")
+    assert [r.transcript for r in of_species.collect()] == ["t"]
+    for known in (["t"], of_species):
+        listed = P.reclassified(classes, residues, "transcript", listed=known)[0]
+        assert {r["class"] for r in listed.collect()} == {"decorated"} and listed.count() == n
+    assert P.reclassified(classes, residues, "transcript", listed=of_species.where("false"))[0].where("class = 'blank'").count() > 0
+    with pytest.raises(ValueError, match="hsapiens"):
+        P.whitelist(None, "hsapiens")
 
 
 def test_other_tables(spark):
