@@ -3,7 +3,7 @@
 A page is cut into flat blocks at block-level tags; scripts, styles, comments and markup leave nothing.  Features of a block are
 its word count and link density, those of the block before and after it, whether it is a heading or an item or ends like a sentence,
 what enclosing tags (or, where pages mark them so, class names) say, and whether it lies outside the part that a page marks as
-its content.  The tree is grown (Gini) on a small labelled table that is made from fixed page templates of several layouts (marked
+its content; further how many of its words are those of notices, and where on the page it is.  A name that has a role's word beside other words is a hint of its own.  The tree is grown (Gini) on a small labelled table that is made from fixed page templates of several layouts (marked
 content, plain body, tables, menus, forms, asides and comments inside the article), with words drawn at random, so its size is fixed.
 
 Defined results: null or empty html gives an empty text; repeated pages, and rows with a null page_id or url, are treated alike; character references are
@@ -30,14 +30,20 @@ from .shared import shipped
 BLOCK = "address article aside blockquote body br caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 SILENT = "script style noscript template svg canvas iframe object audio video head textarea".split()
 VOID = "area base br col embed hr img input link meta source track wbr".split()
-ROLES = {
-    "content": r"^(article|main)$|(^|[ _-])(article|post|entry|content|story|main|body-text)",
-    "chrome": r"^(nav|header|footer|aside)$|(^|[ _-])(nav|menu|header|footer|sidebar|breadcrumbs?|masthead|related|share|social|tags|pagination|copyright|toc)",
-    "notice": r"^dialog$|(^|[ _-])(cookies?|consent|notice|banner|alert|popup|modal|newsletter|subscribe|promo|ads?|advert\w*|sponsor\w*|gdpr|legal)([ _-]|$)",
-    "form": r"^(form|select|button|option|label|fieldset)$",
-    "comments": r"(^|[ _-])(comments?|replies|reply|disqus|responses|discussion)",
+ROLE_TAGS = {"content": "article main", "chrome": "nav header footer aside", "notice": "dialog", "form": "form select button option label fieldset"}
+ROLE_WORDS = {
+    "content": "article post entry content story main bodytext articlebody",
+    "chrome": "nav navbar navigation menu header footer sidebar breadcrumb breadcrumbs masthead related share sharing social tags pagination pager copyright toc",
+    "notice": "cookie cookies consent notice banner alert popup modal newsletter subscribe promo ad ads advert advertisement adsbygoogle sponsor sponsored gdpr",
+    "comments": "comment comments reply replies disqus responses discussion",
 }
-_ROLES = {k: re.compile(v, re.I) for k, v in ROLES.items()}
+# Words in a name that say where or how, not what; and words of notices.
+NEUTRAL = set("bar box list lists link links item items wrapper wrap container block section area widget widgets panel inner outer left right top bottom site page posts buttons button global primary secondary overlay message messages thread respond icons icon group row col column body".split())
+NOTICE_WORDS = set("cookie cookies consent subscribe newsletter advertisement advertising sponsored privacy policy copyright rights reserved terms login register abonnieren anzeige werbung datenschutz publicité confidentialité abonnez suscríbete publicidad privacidad".split())
+ROLES = [*ROLE_TAGS, "comments", "hint"]
+_TAG_ROLE = {t: k for k, v in ROLE_TAGS.items() for t in v.split()}
+_WORD_ROLE = {w: k for k, v in ROLE_WORDS.items() for w in v.split()}
+_PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])|(?<=[A-Za-z])(?=[0-9])")
 _SPACES = re.compile(r"\s+")
 
 
@@ -49,11 +55,34 @@ _TAGS = re.compile(r"<[^>]*>")
 _KNOWN: dict[tuple[str, str], frozenset] = {}  # tags and names met before; emptied when it has 10000
 
 
+def _role_of_part(part: str) -> str | None:
+    """The role that a part of a name speaks of: a role's word, or one with a neutral word after it."""
+    if part in _WORD_ROLE:
+        return _WORD_ROLE[part]
+    return next((_WORD_ROLE[part[:n]] for n in range(len(part) - 1, 2, -1) if part[:n] in _WORD_ROLE and part[n:] in NEUTRAL), None)
+
+
+def _roles_of_name(name: str) -> set[str]:
+    """Roles of one class name.  A name all of whose parts are of roles, neutral or numbers says what the block is; where other words stand beside them (social-history,
+    promo-code) it is a hint only, which words, links and neighbours can outvote."""
+    parts = [p.lower() for p in _PARTS.split(name) if p]
+    roles = [_role_of_part(p) for p in parts]
+    found = {r for r in roles if r}
+    rest = any(r is None and p not in NEUTRAL and not p.isdigit() for r, p in zip(roles, parts))
+    others = found - {"content"}
+    return {"hint"} if rest and others else others or found
+
+
 def roles_of(tag: str, names: str) -> frozenset:
     if (tag, names) not in _KNOWN:
         if len(_KNOWN) >= 10_000:
             _KNOWN.clear()
-        _KNOWN[tag, names] = frozenset(k for k, r in _ROLES.items() if (r.search(tag) or r.search(names)) and (k, tag) != ("content", "body"))
+        found = set().union(*(_roles_of_name(n) for n in names.split()))
+        if tag in _TAG_ROLE:
+            found.add(_TAG_ROLE[tag])
+        if tag == "body":
+            found.discard("content")
+        _KNOWN[tag, names] = frozenset(found)
     return _KNOWN[tag, names]
 
 
@@ -117,7 +146,7 @@ class Blocks(HTMLParser):
         roles = set(roles_of(tag, names))
         if tag == "header" and self.roles["content"] > 0:  # an article's own head
             roles.discard("chrome")
-        if roles - {"content"}:
+        if roles - {"content", "hint"}:
             roles.discard("content")
         if "hidden" in given or "display:none" in (given.get("style") or "").replace(" ", ""):
             roles.add("notice")
@@ -152,7 +181,8 @@ def blocks(html: str | None) -> list[tuple[str, int, int, frozenset, str]]:
     return parser.out
 
 
-FEATURES = ["words", "links", "before_words", "before_links", "after_words", "after_links", "heading", "item", "stop", *ROLES, "outside"]
+FEATURES = ["words", "links", "before_words", "before_links", "after_words", "after_links", "heading", "item", "stop", "notice_words", "place", *ROLES, "outside"]
+_FIRST_ROLE = FEATURES.index(ROLES[0])
 
 
 def features(found: list[tuple[str, int, int, frozenset, str]]) -> np.ndarray:
@@ -160,15 +190,17 @@ def features(found: list[tuple[str, int, int, frozenset, str]]) -> np.ndarray:
     for i, (text, words, linked, roles, tag) in enumerate(found):
         x[i, 0], x[i, 1] = words, linked / words
         x[i, 6:9] = tag[0] == "h" and tag[1:].isdigit(), tag in ("li", "td", "th", "dd", "dt"), text[-1] in ".!?:;\"'”»)"
-        x[i, 9 : 9 + len(ROLES)] = [r in roles for r in ROLES]
+        x[i, 9] = sum(w.strip(".,;:!?()").lower() in NOTICE_WORDS for w in text.split()) / words
+        x[i, _FIRST_ROLE:-1] = [r in roles for r in ROLES]
+    x[:, 10] = np.arange(len(found)) / max(len(found) - 1, 1)
     x[1:, 2:4] = x[:-1, 0:2]
     x[:-1, 4:6] = x[1:, 0:2]
-    content = x[:, 9 + list(ROLES).index("content")]
+    content = x[:, FEATURES.index("content")]
     x[:, -1] = (content == 0) & content.any()
     return x
 
 
-def labelled_pages(n: int = 260, seed: int = 5) -> list[tuple[str, set[str]]]:
+def labelled_pages(n: int = 400, seed: int = 5) -> list[tuple[str, set[str]]]:
     """(html, its good blocks) from templates."""
     r = random.Random(seed)
     word = lambda: "".join(r.choice("abcdeghilmnoprstu") for _ in range(r.randint(1, 9)))
@@ -176,7 +208,17 @@ def labelled_pages(n: int = 260, seed: int = 5) -> list[tuple[str, set[str]]]:
     text = lambda a, b: words(a, b) + "."
     link = lambda: f"<a href='/x'>{word()}{r.choice(['', '', '.', ','])}</a>"
     links = lambda k: "".join(f"<li>{link()}</li>" for _ in range(k))
+    weak = lambda: r.choice([f"{r.choice(['social', 'promo', 'related', 'header', 'alert', 'share', 'notice', 'banner', 'comment', 'tags', 'menu'])}{r.choice('-_')}{word()}{word()}", "legal"])  # noqa: E731  # a name that is a hint only
+
+    def notice() -> str:  # a short text of which some words are of notices
+        some = [word() for _ in range(r.randint(1, 10))]
+        for _ in range(r.randint(1, 3)):
+            some.insert(r.randint(0, len(some)), r.choice(sorted(NOTICE_WORDS)))
+        return " ".join(some).capitalize() + r.choice(["", ".", "."])
+
+    unmarked = [lambda: f"<div>{notice()}</div>", lambda: f"<p>{notice()}</p>", lambda: f"<div><p>{notice()}</p> {link()}</div>"]
     noise = [
+        lambda: f"<div class={weak()}>{link()} {link()}</div>", lambda: f"<section class={weak()}><ul>{links(3)}</ul></section>",
         lambda: f"<nav><ul>{links(5)}</ul></nav>", lambda: f"<div class=menu>{link()} {link()}</div>", lambda: f"<div class=ad>{text(3, 40)}</div>", lambda: f"<aside><h3>{words(1, 4)}</h3><p>{text(3, 60)}</p></aside>",
         lambda: f"<div class=cookie-banner><p>{text(4, 60)}</p></div>", lambda: f"<form><label>{words(1, 3)}</label><p>{text(2, 40)}</p><button>{word()}</button></form>", lambda: f"<div class=sidebar><p>{text(3, 60)}</p>{link()}</div>",
         lambda: f"<div class=comments><h3>{words(1, 3)}</h3><p>{text(3, 90)}</p><p>{text(3, 90)}</p></div>", lambda: f"<section id=comments><div class=comment>{text(3, 90)}</div></section>", lambda: f"<div class=related>{link()} {link()}</div>",
@@ -199,8 +241,14 @@ def labelled_pages(n: int = 260, seed: int = 5) -> list[tuple[str, set[str]]]:
 
         def para() -> str:
             kind = r.random()
-            if kind < 0.3:
+            if kind < 0.25:
                 return linked()
+            if kind < 0.35:
+                return f"<p class='{weak()}'>{keep(text(2, 90))}</p>"
+            if kind < 0.45:
+                return f"<div class='{weak()}'><p>{keep(text(6, 90))}</p><p>{keep(text(2, 60))}</p></div>"
+            if kind < 0.5:
+                return f"<p>{keep(words(12, 40) + ' ' + r.choice(sorted(NOTICE_WORDS)) + ' ' + text(8, 40))}</p>"
             return r.choice(["<p>{}</p>", "<p>{}</p>", "<p>{}<br>", "<div>{}</div>", "<p><b>{}</p>", "<blockquote>{}</blockquote>"]).format(keep(text(2, 90)))
 
         def more() -> str:
@@ -212,16 +260,22 @@ def labelled_pages(n: int = 260, seed: int = 5) -> list[tuple[str, set[str]]]:
             return f"<h2>{keep(words(1, 6))}</h2>{para()}" if kind < 0.8 else para()
 
         layout = r.choice(["<article>{}</article>", "<main>{}</main>", "<div class=content>{}</div>", "<div id=post>{}</div>", "<div>{}</div>", "{}", "{}"])
-        parts = [f"<h1>{keep(words(2, 10))}</h1>", para(), para(), *(more() for _ in range(r.randint(0, 5)))]
+        title = f"<h1>{keep(words(2, 10))}</h1>"
+        marked = layout[:5] in ("<arti", "<main") or "class=" in layout or "id=" in layout
+        parts = [title if r.random() < 0.8 else f"<div class='{weak()} {weak()}'>{title}</div>", para(), para(), *(more() for _ in range(r.randint(0, 5)))]
         if layout != "{}":
             for _ in range(r.randint(0, 3)):  # noise inside the article
                 parts.insert(r.randint(1, len(parts)), r.choice(noise)())
-        before = [r.choice(noise)() for _ in range(r.randint(0, 3))]
-        if layout[:5] in ("<arti", "<main") and r.random() < 0.5:  # marked content: what lies outside isn't
+        if marked and r.random() < 0.5:  # an article's own words of this kind are its text
+            parts.insert(r.choice([len(parts), r.randint(1, len(parts))]), f"<p>{keep(notice())}</p>")
+        before, after = ([r.choice(noise)() for _ in range(r.randint(0, 3))] for _ in "ab")
+        for side in (before, after):
+            if r.random() < 0.4:
+                side.insert(r.randint(0, len(side)), r.choice(unmarked)())
+        if marked and layout[:2] != "<d" and r.random() < 0.5:  # marked content: what lies outside isn't
             before.append(f"<p>{text(3, 40)}</p>")
         head = f"<header><div>{words(1, 9)}</div></header>" if r.random() < 0.5 else ""
         foot = f"<footer>&copy; {word()} {words(2, 9)}</footer>" if r.random() < 0.6 else ""
-        after = [r.choice(noise)() for _ in range(r.randint(0, 3))]
         out.append((f"<html><body>{head}{''.join(before)}{layout.format(''.join(parts))}{''.join(after)}{foot}</body></html>", good))
     return out
 

@@ -21,6 +21,12 @@ def tree():
     (f"<p>{P}<div class=comments><p>bad bad</p></div><p>{P}", [P, P]),
     (f"<html><head><title>x</title><h1>Head line</h1><p>{P}", ["Head line", P]),
     (f"<div>x <a>a b</a> <a>c d</a></div><div>y <a>a b</a> <a>c d</a></div><div>z <a>a b</a> <a>c d</a></div><div>w <a>a b</a> <a>c d</a></div><h1>Head line</h1><p>{P}</p><p>{P}</p>", ["Head line", P, P]),
+    (f"<article><h1>T</h1><p class='promo-code'>{P}</p><div class='social-history'><p>{P}</p><p>{P}</p></div></article>", ["T", P, P, P]),
+    (f"<article><h1>T</h1><section class=legal><p>{P}</p><p>{P}</p></section><div class='related-work'><p>{P}</p></div></article>", ["T", P, P, P]),
+    (f"<article><div class='alert-level header-image'><h1>Title of it</h1></div><p>{P}</p></article>", ["Title of it", P]),
+    (f"<div>We use cookies on this site.</div><div><h1>Head line</h1><p>{P}</p><p>{P}</p></div><div>Subscribe to our newsletter</div>", ["Head line", P, P]),
+    (f"<article><h1>T</h1><p>{P} {P} Every site now asks its readers for consent to cookies before they read. {P}</p><div class='comment-list'><p>{P}</p></div><div class=navbar><a>x y</a></div></article>", ["T", f"{P} {P} Every site now asks its readers for consent to cookies before they read. {P}"]),
+    (f"<article><h1>T</h1><p>{P}</p><p>All rights reserved.</p></article><footer>&copy; me</footer>", ["T", P, "All rights reserved."]),
     ("<script>var t = '</p>';</script><style>p{}</style><!-- no --><article><p>a&nbsp;&#228;&bogus; b</p></article>", ["a ä&bogus; b"]),
 ])
 def test_layouts(tree, html, text):
