@@ -1,6 +1,6 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A logistic model over the presence of hashed words and of six-byte pieces of words is trained in numpy on confirmed toxic texts (P) and on
+A logistic model over the presence of hashed words, of six-byte pieces of words, and of stems that several words of a text share, is trained in numpy on confirmed toxic texts (P) and on
 texts taken as unlabelled (U): documents without a label, and the labelled training rows without regard to their labels.
 With the class prior pi and the loss l, the risk is pi * E_P[l(+)] + max(0, E_U[l(-)] - pi * E_P[l(-)]); where the second part falls under zero,
 the step goes against its gradient (Kiryo et al., 2017).  The prior is the share of toxic texts among the labelled training rows.  Only the
@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 
 from .textkit import _BASE, Hasher, alnum_words, eights, lower_ascii, mix, slices, utf8, word_spans
 
-SAMPLE_ROWS, UNLABELLED_ROWS, BITS, PIECE, FEATURES = 6000, 500, 20, 6, (150, 500, 3000)
+SAMPLE_ROWS, UNLABELLED_ROWS, BITS, PIECE, FEATURES = 6000, 3000, 20, 6, (150, 500, 3000)
 STEPS, RATE, DECAYS, LEAST_ROWS = 200, 0.05, (3e-4, 1e-3, 3e-3), 4
 
 
 def hashed(texts: pa.Array, hasher: Hasher) -> list[np.ndarray]:
-    """The distinct feature numbers of each text: its words, and the pieces of its longer words."""
+    """The distinct feature numbers of each text: its words, the pieces of its longer words, and the stems (first ``PIECE`` bytes) that two or more different longer words of it share."""
     raw, at = utf8(texts)
     raw = lower_ascii(raw)
     begin, end, first = word_spans(raw, at, alnum_words())
@@ -36,8 +36,15 @@ def hashed(texts: pa.Array, hasher: Hasher) -> list[np.ndarray]:
     place = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
     text = np.repeat(np.arange(len(at) - 1), np.diff(first))
     pieces = mix((eights(raw)[place] & np.uint64((1 << 8 * PIECE) - 1)) + _BASE)
-    slot = (np.concatenate([hasher.spans(raw, begin, end), pieces]) >> np.uint64(64 - BITS)).astype(np.int64)
-    key = np.unique((np.concatenate([text, np.repeat(text, size)]) << BITS) | slot)
+    word = hasher.spans(raw, begin, end)
+    long = np.flatnonzero(size)
+    stem = eights(raw)[begin[long]] & np.uint64((1 << 8 * PIECE) - 1)
+    order = np.lexsort((word[long], stem, text[long]))  # different words of a stem lie together
+    t, st, w = text[long][order], stem[order], word[long][order]
+    same = (t[1:] == t[:-1]) & (st[1:] == st[:-1])
+    shared = np.flatnonzero(same & (w[1:] != w[:-1]))
+    slot = (np.concatenate([word, pieces, mix(st[shared] + _BASE + _BASE)]) >> np.uint64(64 - BITS)).astype(np.int64)
+    key = np.unique((np.concatenate([text, np.repeat(text, size), t[shared]]) << BITS) | slot)
     return np.split((key & ((1 << BITS) - 1)).astype(np.int32), np.searchsorted(key, np.arange(1, len(at) - 1) << BITS))
 
 
@@ -45,9 +52,9 @@ def _matrix(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows) if rows else np.zeros(0, np.int32)
 
 
-def _descend(doc: np.ndarray, col: np.ndarray, n: int, k: int, value: np.ndarray, positive: np.ndarray, prior: float, decay: float) -> np.ndarray:
+def _descend(doc: np.ndarray, col: np.ndarray, n: int, k: int, value: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float, decay: float) -> np.ndarray:
     """Adam on the non-negative risk: k weights and an offset."""
-    p, u = positive / max(positive.sum(), 1), np.full(n, 1 / n)
+    p, u = positive / max(positive.sum(), 1), unlabelled / max(unlabelled.sum(), 1)
     theta, m, v = np.zeros(k + 1), np.zeros(k + 1), np.zeros(k + 1)
     theta[-1] = np.log(prior / (1 - prior))
     for step in range(1, STEPS + 1):
@@ -70,13 +77,14 @@ class _Table:
         self.doc, col = _matrix(rows)
         self.slots, self.col = np.unique(col, return_inverse=True)
 
-    def model(self, keep: np.ndarray, positive: np.ndarray, prior: float, choices: list[tuple[int, float]]) -> list[np.ndarray]:
+    def model(self, keep: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float, choices: list[tuple[int, float]]) -> list[np.ndarray]:
         """For each choice (number of features, decay) the weights of all columns, and the offset, learned from the rows that ``keep`` marks: columns are chosen on these alone."""
         width = len(self.slots)
         inside = keep[self.doc]
         doc, col = (np.cumsum(keep) - 1)[self.doc[inside]], self.col[inside]
-        count, hits, n, n_pos = np.bincount(col, minlength=width), np.bincount(col, positive[self.doc[inside]], width), int(keep.sum()), max(int(positive[keep].sum()), 1)
-        share = count / n
+        hits, n, n_pos = np.bincount(col, positive[self.doc[inside]], width), int(keep.sum()), max(int(positive[keep].sum()), 1)
+        in_u = np.bincount(col, unlabelled[self.doc[inside]], width)
+        count, share = np.bincount(col, minlength=width), in_u / max(int(unlabelled[keep].sum()), 1)
         far = np.abs(hits / n_pos - share) / np.sqrt(share * (1 - share) / n_pos + 1e-9)
         far[count < LEAST_ROWS] = -1
         order = np.argsort(-far, kind="stable")[: int((far >= 0).sum())]
@@ -87,7 +95,7 @@ class _Table:
             place[best] = np.arange(len(best))
             use = place[col] >= 0
             value = np.log((n + 1) / (count[best] + 1)) / 2
-            theta = _descend(doc[use], place[col[use]], n, len(best), value, positive[keep], prior, decay)
+            theta = _descend(doc[use], place[col[use]], n, len(best), value, positive[keep], unlabelled[keep], prior, decay)
             w = np.zeros(width + 1)
             w[best], w[-1] = theta[:-1] * value, theta[-1]
             out.append(w)
@@ -97,18 +105,19 @@ class _Table:
         return np.bincount(self.doc, w[self.col], self.n) + w[-1]
 
 
-def fit(rows: list[np.ndarray], positive: np.ndarray, prior: float, labelled: np.ndarray | None = None, folds: int = 4) -> tuple[np.ndarray, float]:
-    """Weights and offset; positive marks P, all rows are U, and labelled those whose label is known, from which features, decay and cut are chosen by scores of
+def fit(rows: list[np.ndarray], positive: np.ndarray, prior: float, labelled: np.ndarray | None = None, unlabelled: np.ndarray | None = None, folds: int = 4) -> tuple[np.ndarray, float]:
+    """Weights and offset; positive marks P, unlabelled U (by default all rows), and labelled those whose label is known, from which features, decay and cut are chosen by scores of
     folds that didn't train on them."""
     weights = np.zeros(1 << BITS)
     if not positive.any():
         return weights, -50.0
     labelled = np.ones(len(rows), bool) if labelled is None else labelled
+    unlabelled = np.ones(len(rows), bool) if unlabelled is None else unlabelled
     table, of = _Table(rows), np.where(labelled, (np.cumsum(labelled) - 1) % folds, -1)
     choices = [(k, d) for k in FEATURES for d in DECAYS]
     s = np.zeros((len(choices), len(rows)))
     for f in range(folds):
-        for i, w in enumerate(table.model(of != f, positive & (of != f), prior, choices)):
+        for i, w in enumerate(table.model(of != f, positive & (of != f), unlabelled, prior, choices)):
             s[i, of == f] = table.scores(w)[of == f]
     best = None
     for i, choice in enumerate(choices):
@@ -120,7 +129,7 @@ def fit(rows: list[np.ndarray], positive: np.ndarray, prior: float, labelled: np
         if best is None or f1[at] > best[0]:
             best = (f1[at], choice, cut)
     _, choice, cut = best
-    w = table.model(np.ones(len(rows), bool), positive, prior, [choice])[0]
+    w = table.model(np.ones(len(rows), bool), positive, unlabelled, prior, [choice])[0]
     weights[table.slots] = w[:-1]
     return weights, float(w[-1] - cut)
 
@@ -144,7 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, unlabelle
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(hashed(batch.column("text"), hasher), pa.list_(pa.int32()))], ["doc_id", "y", "f"])
 
     chosen = F.broadcast(picked.unionByName(free))
-    found = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, f array<int>").toPandas()
+    found = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, f array<int>")
+    found = found.orderBy(F.xxhash64("doc_id"), "doc_id", "y", "f").limit(rows + unlabelled_rows).toPandas()  # also where ids repeat
     got = found.sort_values(["doc_id", "y"], kind="stable")
     y = got["y"].to_numpy()
     known = y[y >= 0]
