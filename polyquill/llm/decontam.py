@@ -8,11 +8,11 @@ zero, the block's hash selects a bucket of patterns; those whose word hashes agr
 The search runs in lanes: texts are cut into overlapping runs of words and numpy moves all lanes of a batch
 at once, each by its own shift.  No rows are shuffled.  The patterns are broadcast in blocks of at most
 ``BLOCK_BYTES`` of benchmark text; a larger benchmark takes more passes over the documents, never a larger
-broadcast.
+broadcast, and what a pass has found is stored before the next, so that a task holds one block's tables however many there are.
 
 Defined results: a null or empty text has no words (n_words 0, not contaminated); a null or empty item
 has no windows; items that share an item_id count once, and a null item_id is the empty string; repeated documents, and rows with a null
-doc_id, give a row each; an empty benchmark hits nothing, empty documents give no rows; other columns of documents stay, whatever their names.
+doc_id, give a row each; texts of any length are searched whole; an empty benchmark hits nothing, empty documents give no rows; other columns of documents stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import free_names, shipped
+from .shared import cut, free_names, shipped
 from .textkit import Hasher, alnum_words, eights, lower_ascii, odd_constants, same_bytes, slices, utf8, word_spans
 
 WINDOW = 10
@@ -174,6 +174,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int
     schema = T.StructType([*docs.schema.fields, T.StructField(added[0], T.BinaryType()), T.StructField(added[1], T.ArrayType(T.StringType())), T.StructField(added[2], T.LongType())])
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     for k in range(blocks):
+        if k:
+            out = cut(out)
         rows = benchmark.where(block == k).select(F.col("item_id").cast("string").alias("item_id"), "text").collect()  # about BLOCK_BYTES of text
         ids = [r[0] or "" for r in rows]
         out = out.mapInArrow(_pass(shipped(spark, (patterns(ids, [r[1] for r in rows], window), ids)), names, text, added), schema)

@@ -3,7 +3,7 @@
 The trie is keyed by the nearer context word: level 1 holds the words v; level 2 the successors w of each v and the words u
 before it; level 3, for every context (u, v), the successors w as their rank among the successors of v (context-relative
 numbers, which are small).  Every level is one monotone sequence: the member of range r is stored as r * universe + value, so a search
-inside a range is one successor search in the whole sequence.  Probabilities and back-off weights are 16-bit codes.
+inside a range is one successor search in the whole sequence.  Probabilities and back-off weights are codes of 12 bits, kept in 16.
 """
 
 from __future__ import annotations

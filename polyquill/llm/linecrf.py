@@ -7,6 +7,10 @@ over the neighbouring lines.  State 1 is a good (content) line, state 0 a bad (b
 Training maximises the regularised likelihood of line labels over a bounded sample of labelled texts,
 every line having its text's label; the chain's transitions then learn how labels persist.  All recursions run
 over a whole batch of texts at once.
+
+Defined results: a null, empty or blank text has no lines; labels with a null doc_id or value don't count; texts that share a labelled doc_id are each learned from, as far as the
+bounds allow, and a doc_id with two labels with both; of equal hashes the lesser doc_id, label and number of lines goes first; a very long text is learned from whole or, beyond the bound of lines, not
+at all; without labels the untrained chain is the model; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -221,13 +225,13 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS, lines: int = SAMPLE_LINES) -> Crf:
-    """Fits to at most ``rows`` labelled texts, each whole, of at most ``lines`` lines together (a text beyond that is left out); labels with null keys or values don't count."""
+    """Fits to at most ``rows`` labelled texts (rows of docs), each whole, of at most ``lines`` lines together (a text beyond that is left out); labels with null keys or values don't count."""
     picked = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("good"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id", "good").limit(rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "good", "text")
     read = cut(sample.mapInArrow(_extract, "doc_id long, good int, n long, f binary").withColumn("row", F.monotonically_increasing_id()))
     taken, left = [], lines
-    for r in read.select("row", "n").orderBy(F.xxhash64("doc_id"), "doc_id", "good", "n", "row").collect():
+    for r in read.select("row", "n").orderBy(F.xxhash64("doc_id"), "doc_id", "good", "n", "row").limit(rows).collect():  # also where ids repeat
         if r.n <= left:
             taken.append((r.row,))
             left -= r.n

@@ -15,7 +15,7 @@ doesn't change the model.  The number of shards follows the tokens, so a task's
 broadcast or collected but four totals.
 
 Defined results: null and empty texts have the end token alone; a row whose doc_id is null is learned from; repeated rows are
-scored alike, a row each; an empty table gives no rows; without training texts every token has probability 1.
+scored alike, a row each; a text of any length is one text; an empty table gives no rows; without training texts every token has probability 1; other columns don't matter.
 """
 
 from __future__ import annotations

@@ -4,7 +4,7 @@ A document is its token ids and an end id.  Only documents longer than a sequenc
 and a rest.  What matters for packing is how many pieces each length has: that histogram has at most ``capacity``
 rows whatever the corpus, so the search runs on it.
 
-The incumbent is best-fit decreasing on the histogram.  If it isn't at the lower bound ceil(tokens / capacity),
+The incumbent is best-fit decreasing on the histogram.  If it isn't at the lower bound (``least_bins``),
 branch and bound completes bins around the largest length left: it enumerates undominated fillings (maximal ones in
 which no piece, and no pair, can give way to one larger piece), tries those of least waste first, takes each as many
 times as the counts allow, and cuts a branch whose waste exceeds what a better solution than the incumbent may waste.
@@ -13,7 +13,8 @@ times as the counts allow, and cuts a branch whose waste exceeds what a better s
 The solution is a list of (filling, times).  Pieces of a length are numbered in the cluster (counts per salted
 bucket, then a number within the bucket) and look up their sequence by number.  The driver sees only the histogram.
 
-Defined results: a null or empty text is one piece, its end id; repeated rows are packed each; an empty table gives no rows.
+Defined results: a null or empty text is one piece, its end id; repeated rows, and rows with a null doc_id, are packed each; a text of any length is cut into as many pieces as it needs; of equally good fillings
+the first in order counts, and which of equally long pieces goes where follows their doc_id, piece and checksum; an empty table gives no rows; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -135,11 +136,33 @@ def fillings(c: Counts, largest: int, capacity: int, most: int = FILLINGS, steps
     return (kept or ordered)[:most]
 
 
+def least_bins(left: np.ndarray, capacity: int) -> int:
+    """A lower bound of the number of bins: the best of dual feasible functions (Fekete and Schepers, 2001).
+
+    Lengths under e count nothing and those over capacity - e a whole bin; then, for k, a length counts as many k-ths of a bin as it has whole (k + 1)-ths of the capacity, or its own share where that is a whole
+    number of them.  k = 1 counts pieces over half a bin, k = 2 over a third, and so on; without either the bound is ceil(tokens / capacity)."""
+    lengths = np.flatnonzero(left).astype(np.int64)
+    lengths = lengths[lengths > 0]
+    if not len(lengths):
+        return 0
+    n = left[lengths].astype(np.int64)
+    edges = np.concatenate([[0], lengths[lengths <= capacity // 2] + 0])
+    best = 0
+    for e in np.unique(edges):
+        x = np.where(lengths < e, 0, np.where(lengths > capacity - e, capacity, lengths)) if e else lengths
+        best = max(best, int(-(-(x * n).sum() // capacity)))
+        k = np.arange(1, 13)[:, None]
+        parts = (k + 1) * x
+        share = np.where(parts % capacity == 0, k * x, parts // capacity * capacity)  # in capacity * k-ths
+        best = max(best, int((-(-(share * n).sum(axis=1) // (capacity * k[:, 0]))).max()))
+    return best
+
+
 def solve(left: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
     """(filling, times) that together use every piece; left[n] is the number of pieces of length n."""
     bins = lambda s: sum(n for _, n in s)
     total = int((np.arange(len(left)) * left).sum())
-    bound = -(-total // capacity)
+    bound = least_bins(left, capacity)
     best = best_fit(left, capacity)
     budget = [nodes]
 

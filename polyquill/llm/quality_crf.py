@@ -3,7 +3,7 @@
 The score of a text is the mean of P(good line), by forward-backward, weighted with the lines' bytes.
 Defined results: a text without words (null, empty or blank) scores the share of good texts among those learned from;
 a table without labels of both kinds scores every text with lines by the untrained chain; a row with a null doc_id isn't held out;
-repeated rows score alike; an empty table gives no rows; other columns don't matter.
+repeated rows score alike, and equal scores are equally predicted (0.7 itself is 1); texts of any length are scored whole; an empty table gives no rows; other columns don't matter.
 """
 
 from __future__ import annotations

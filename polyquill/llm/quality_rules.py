@@ -5,7 +5,8 @@ at least ``CONTENT_SHARE`` of its line bytes and it doesn't fail the base rules
 half of its words in repeated 3-word windows).
 
 Defined results: a text without words (null, empty or blank) has all counts 0, fails the base rules and isn't kept;
-repeated rows are judged alike; an empty table gives no rows.
+repeated rows, and rows with a null doc_id, are judged alike; of two labellings of equal weight the one with boilerplate at the last line where they differ
+counts, and a share of exactly ``CONTENT_SHARE`` is kept; texts of any length are labelled whole; other columns stay, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .linecrf import _HEAD, _SYMBOLS, Crf, Lines, features, read_lines
-from .shared import shipped
+from .shared import free_names, shipped
 from .textkit import Hasher, mix, slices, windows
 
 CONTENT_SHARE, MIN_WORDS, MAX_REPEAT_PERCENT = 0.5, 50, 50
@@ -52,10 +53,19 @@ def counts(x: Lines) -> dict[str, np.ndarray]:
     }
 
 
-def judge(docs: DataFrame, crf: Crf, text: str = "text", prefix: str = "") -> DataFrame:
-    """docs with the counts, base_failed, content_share (share of bytes in content lines) and kept; prefix for their names."""
+JUDGED = (*COUNTS, "base_failed", "content_share", "kept")
+
+
+def judge(docs: DataFrame, crf: Crf, text: str = "text") -> DataFrame:
+    """docs with the counts, base_failed, content_share (share of bytes in content lines) and kept, under new names where docs has these."""
+    return judged(docs, crf, text)[0]
+
+
+def judged(docs: DataFrame, crf: Crf, text: str = "text") -> tuple[DataFrame, dict[str, str]]:
+    """``judge``, and what each of its columns is called."""
     model = shipped(docs.sparkSession, crf)
     names = list(docs.columns)
+    called = dict(zip(JUDGED, free_names(names, *JUDGED)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, crf = Hasher(), model()
@@ -68,8 +78,8 @@ def judge(docs: DataFrame, crf: Crf, text: str = "text", prefix: str = "") -> Da
                 share = np.bincount(x.doc, size * state, batch.num_rows) / np.maximum(np.bincount(x.doc, size, batch.num_rows), 1)
                 failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])
                 new = [*(pa.array(c[k], pa.int64()) for k in COUNTS), pa.array(failed), pa.array(share), pa.array(~failed & (share >= CONTENT_SHARE))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), *new], [*names, *(prefix + k for k in (*COUNTS, "base_failed", "content_share", "kept"))])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), *new], [*names, *called.values()])
 
     kinds = [T.LongType()] * 5 + [T.BooleanType(), T.DoubleType(), T.BooleanType()]
-    added = [T.StructField(prefix + k, t) for k, t in zip((*COUNTS, "base_failed", "content_share", "kept"), kinds)]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    added = [T.StructField(k, t) for k, t in zip(called.values(), kinds)]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added])), called

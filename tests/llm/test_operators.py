@@ -384,3 +384,93 @@ def test_components_of_stars_and_chains(spark):
     edges = [(0, i) for i in range(1, 300)] + [(1000 + i, 1001 + i) for i in range(40)] + [(299, 5000), (5000, 4000)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in [*range(300), 4000, 5000]}, **{1000 + i: 1000 for i in range(41)}}
+
+
+def test_columns_that_clash_with_the_rules_names(spark, labels):
+    words = " ".join(f"w{i}." for i in range(80))
+    docs = spark.createDataFrame([(1, words, 5, True, "a"), (1, None, 6, None, "b"), (None, "", 7, False, "c")], "doc_id long, text string, n_words int, kept boolean, _q_kept string")
+    found, called = quality_rules.judged(docs, train(docs, labels))
+    assert len(set(found.columns)) == len(found.columns) and called["kept"] == "kept_"
+    assert {(r.n_words, r[called["n_words"]]) for r in found.collect()} == {(5, 80), (6, 0), (7, 0)}
+
+
+def test_repeated_ids_stay_within_the_bounds(spark):
+    docs = spark.createDataFrame([(1, f"some words of text {i}.\nand a second line", 1) for i in range(300)], "doc_id long, text string, k int")
+    marks = spark.createDataFrame([(1, 1, 1), (1, 0, 0)], "doc_id long, quality int, toxic int")
+    assert train(docs, marks, rows=20).weight is not None
+    weights, offset = toxicity.train(docs, marks, rows=20, unlabelled_rows=5)
+    assert len(weights) and np.isfinite(offset)
+
+
+def test_more_benchmark_than_one_block(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 300)
+    items = [(f"i{k}", _text(200 + k, 14)) for k in range(12)]
+    docs = spark.createDataFrame([(k, f"{_text(300 + k, 30)} {items[k][1]} {_text(400 + k, 30)}") for k in range(12)] + [(50, _text(500, 60)), (51, items[3][1] + " x " + items[9][1])], "doc_id long, text string")
+    got = {r.doc_id: r["items"] for r in decontam.report(docs, spark.createDataFrame(items, "item_id string, text string")).collect()}
+    assert got == {**{k: [f"i{k}"] for k in range(12)}, 50: [], 51: ["i3", "i9"]}
+
+
+def test_packing_equals_the_optimum_of_small_cases():
+    def optimum(lengths, capacity):
+        best = len(lengths)
+
+        def place(i, bins):
+            nonlocal best
+            if len(bins) >= best:
+                return
+            if i == len(lengths):
+                best = len(bins)
+                return
+            for room in sorted(set(bins)):
+                if room >= lengths[i]:
+                    rest = list(bins)
+                    rest.remove(room)
+                    place(i + 1, [*rest, room - lengths[i]])
+            place(i + 1, [*bins, capacity - lengths[i]])
+
+        place(0, [])
+        return best
+
+    r = np.random.default_rng(11)
+    for _ in range(150):
+        capacity = int(r.integers(8, 40))
+        lengths = sorted(r.integers(1, capacity + 1, int(r.integers(1, 10))).tolist(), reverse=True)
+        left = np.bincount(lengths, minlength=capacity + 1)
+        found = packing.solve(left, capacity)
+        used = np.zeros(capacity + 1, int)
+        for filling, times in found:
+            assert sum(filling) <= capacity
+            np.add.at(used, list(filling), times)
+        assert (used == left).all()
+        n, want = sum(t for _, t in found), optimum(lengths, capacity)
+        assert packing.least_bins(left, capacity) <= want == n, (lengths, capacity)
+    assert packing.least_bins(np.zeros(9, int), 8) == 0 and packing.least_bins(np.bincount([2049] * 7, minlength=4097), 4096) == 7 and packing.least_bins(np.bincount([1366] * 7, minlength=4097), 4096) == 4
+
+
+def test_the_whole_pipeline(spark, tmp_path, labels):
+    """Five stages over a table with nulls, empties, repeats and clashing names, against what each stage is for."""
+    import corpus_pipeline
+
+    good = lambda k: "\n".join(". ".join(_text(1000 + 10 * k + j, 12).split(" ")[i] + " the" for i in range(12)) + "." for j in range(8))
+    leak = _text(900, 30)
+    texts = [(i, good(i)) for i in range(12)] + [(20, good(3)), (21, good(4) + " end"), (22, good(5) + "\n" + leak), (30, None), (31, ""), (32, "short"), (None, good(7) + " null"), (33, good(8) + "\nwrite to someone.here@example.org now")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", True, 1) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars int, _q_kept string, kept boolean, n_words int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("b", leak)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(12)] + [(30, 0, 0), (31, 0, 0), (32, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    stage, kept = docs, []
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        stage = f(spark, stage, str(tmp_path))
+        assert stage.columns == docs.columns
+        kept.append({r.doc_id for r in stage.collect()})
+    assert not kept[0] & {30, 31, 32} and kept[0] >= set(range(12)) | {20, 21, 22, 33, None}
+    assert 20 not in kept[1] and 21 not in kept[1] and kept[1] >= set(range(12)) | {None}
+    assert 22 not in kept[2] and kept[2] == kept[1] - {22}
+    assert kept[3] == kept[2] and all("someone.here@" not in r.text for r in stage.collect())
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in rows} == kept[3] and all(r.offset + r.length <= 4096 for r in rows)
+    empty = tmp_path / "empty"
+    docs.where("false").write.parquet(str(empty / "documents.parquet"))
+    spark.createDataFrame([], "item_id string, text string").write.parquet(str(empty / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(empty / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
