@@ -18,6 +18,7 @@ from ..functions import signal as K
 from ..functions.matching import type_statistics, with_tail_type
 from ..functions.scalar import at_end, cdna_code, class_of, comment_code, guppy_code
 from ..sources.bam import tailed_reads
+from ..sources.readers import polya
 from ..sources.stages import Run, made_of
 from .post import first_of_each
 from .scale import stored
@@ -47,7 +48,7 @@ def dorado_summary(summary: DataFrame, qc: bool = True) -> DataFrame:
 def tail_signals(summary: DataFrame, signals: DataFrame) -> DataFrame:
     """read_id and tail_signal: the tail cut from each raw signal, winsorised and resampled to a fifth; empty where the bounds don't fit."""
     # the summary's side is made the table in memory: signals from a store then stay in their buckets, unsorted and unmoved
-    wanted = summary.where("poly_tail_length > 10 and poly_tail_start > 0").select("read_id", "poly_tail_start", "poly_tail_end").hint("shuffle_hash")
+    wanted = summary.where(_TAILED).select("read_id", "poly_tail_start", "poly_tail_end").hint("shuffle_hash")
     d = signals.select("read_id", "signal").join(wanted, "read_id")
     a, b = F.col("poly_tail_start"), F.col("poly_tail_end")
     fits = (a > 0) & (a < b) & (b <= F.size("signal"))
@@ -233,6 +234,29 @@ def run_dorado(summary: DataFrame, signals: DataFrame, load: Callable, qc: bool
     return dorado_outputs(marked, marked, checked, original, qc)
 
 
+def _chunk_stages(run: Run, made: dict, parts: int, reads: DataFrame, read: str, tails: Callable[[DataFrame], DataFrame], load: Callable, chunks: Callable = K.chunks) -> DataFrame:
+    """The classified chunks of all reads, a stage for each part of the reads' ids; how many reads came to nothing goes to the log."""
+    tables = []
+    for k in range(parts):
+        own = reads.where(F.pmod(F.xxhash64(read), F.lit(parts)) == k) if parts > 1 else reads
+        tables.append(run.stage(f"chunks_{k}", {**made, "part": k}, lambda own=own: classified_chunks(tails(own), load, chunks=chunks, read=read)))
+    marked = reduce(lambda a, b: a.unionByName(b), tables)
+    counts = dict(marked.groupBy("state").agg(F.countDistinct(read)).collect())
+    for state in STATES[1:]:
+        if counts.get(state):
+            run.log(f"{counts[state]} reads {state}", "WARNING")
+    return marked
+
+
+def _lost(marked: DataFrame, wanted: DataFrame, read: str) -> DataFrame:
+    """Reads that should have a result and have none: read, stage, problem."""
+    missing = wanted.select(read).join(marked.select(read), read, "left_anti").select(read, F.lit("signal").alias("stage"), F.lit("no signal of this read").alias("problem"))
+    return marked.where("state = 'failed'").select(read, F.lit("chunks").alias("stage"), "problem").unionByName(missing)
+
+
+_TAILED = "poly_tail_length > 10 and poly_tail_start > 0"
+
+
 def checked_tails(run: Run, summary: DataFrame, signals: DataFrame, load: Callable, qc: bool = True, parts: int = 1, key: object = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(read table, residue table, reads without a result) of a direct-RNA run that can be ended and taken up again.
 
@@ -241,20 +265,42 @@ def checked_tails(run: Run, summary: DataFrame, signals: DataFrame, load: Callab
     made = {"summary": made_of(summary), "signals": made_of(signals), "qc": qc, "parts": parts, "key": key}
     original = dorado_summary(summary, qc=False)
     checked = run.stage("summary", {k: made[k] for k in ("summary", "qc")}, lambda: dorado_summary(summary, qc))
-    tables = []
-    for k in range(parts):
-        own = checked.where(F.pmod(F.xxhash64("read_id"), F.lit(parts)) == k) if parts > 1 else checked
-        tables.append(run.stage(f"chunks_{k}", {**made, "part": k}, lambda own=own: classified_chunks(tail_signals(own, signals), load)))
-    marked = reduce(lambda a, b: a.unionByName(b), tables)
-    wanted = checked.where("poly_tail_length > 10 and poly_tail_start > 0").select("read_id")
-    missing = wanted.join(marked.select("read_id"), "read_id", "left_anti").select("read_id", F.lit("signal").alias("stage"), F.lit("no signal of this read").alias("problem"))
-    lost = marked.where("state = 'failed'").select("read_id", F.lit("chunks").alias("stage"), "problem").unionByName(missing)
-    counts = dict(marked.groupBy("state").agg(F.countDistinct("read_id")).collect())
-    for state in STATES[1:]:
-        if counts.get(state):
-            run.log(f"{counts[state]} reads {state}", "WARNING")
+    marked = _chunk_stages(run, made, parts, checked, "read_id", lambda own: tail_signals(own, signals), load)
     classes, residues = dorado_outputs(_good(marked), _good(marked), checked, original, qc)
-    return classes, residues, lost
+    return classes, residues, _lost(marked, checked.where(_TAILED), "read_id")
+
+
+def check_tails_dorado(run: Run, summary: DataFrame, signals: DataFrame, load: Callable, qc: bool = True, parts: int = 1, key: object = None, clean: bool = False) -> dict[str, DataFrame]:
+    """The whole direct-RNA run with its outputs: read_classes, nonadenosine_residues and lost_reads, published together in the run's folder, with its log."""
+    classes, residues, lost = checked_tails(run, summary, signals, load, qc, parts, key)
+    return run.finish({"read_classes": classes, "nonadenosine_residues": residues, "lost_reads": lost}, clean)
+
+
+def check_tails_guppy(run: Run, nanopolish: DataFrame, sequencing: DataFrame, signals: DataFrame, load: Callable, pass_only: bool = True, qc: bool = True, parts: int = 1, key: object = None, clean: bool = False) -> dict[str, DataFrame]:
+    """The whole older run with its outputs, as ``check_tails_dorado``: nanopolish's calls (or converted ones) and a sequencing summary tell the reads."""
+    made = {"nanopolish": made_of(nanopolish), "sequencing": made_of(sequencing), "signals": made_of(signals), "pass_only": pass_only, "qc": qc, "parts": parts, "key": key}
+    reads = polya(nanopolish, sequencing, pass_only)
+    tails = run.stage("tails", {k: v for k, v in made.items() if k not in ("qc", "parts", "key")}, lambda: guppy_tails(reads, signals).select("readname", "tail_signal", "signal_length", "reject_reason"))
+    for r in tails.where("reject_reason is not null").groupBy("reject_reason").count().collect():
+        run.log(f"{r['count']} reads {r.reject_reason}", "WARNING")
+    good = tails.where("reject_reason is null")
+    marked = _chunk_stages(run, made, parts, good, "readname", lambda own: own, load, K.guppy_chunks)
+    classes, residues = guppy_outputs(_good(marked), _good(marked), good, nanopolish, pass_only, qc)
+    lost = _lost(marked, reads.join(tails.where("reject_reason is not null"), "readname", "left_anti"), "readname")
+    return run.finish({"read_classes": classes, "nonadenosine_residues": residues, "lost_reads": lost}, clean)
+
+
+def check_tails_cdna(run: Run, aligned: DataFrame, summary: DataFrame, signals: DataFrame, load: Callable, qc: bool = True, parts: int = 1, key: object = None, clean: bool = False) -> dict[str, DataFrame]:
+    """The whole cDNA run with its outputs: the two tables with tail_type, reads without an orientation, lost reads, and statistics by type.  The orientation of the alignment records' sequences is a stage of its own."""
+    made = {"aligned": made_of(aligned), "summary": made_of(summary), "signals": made_of(signals), "qc": qc, "parts": parts, "key": key}
+    calls = run.stage("calls", {k: made[k] for k in ("aligned", "summary", "key")}, lambda: with_tail_type(tailed_reads(aligned, summary).select("read_id", "sequence")).select("read_id", "tail_type"))
+    typed = dorado_summary(summary, qc=False).join(calls, "read_id", "left").withColumn("tail_type", F.coalesce("tail_type", F.lit("unidentified")))
+    known, rest = typed.where("tail_type in ('polyA', 'polyT')"), typed.where("tail_type = 'unidentified'")
+    marked = _chunk_stages(run, made, parts, known, "read_id", lambda own: tail_signals(own, signals), load)
+    classes, residues = cdna_outputs(_good(marked), _good(marked), known, known, qc)
+    kind = lambda k: classes.where(F.col("tail_type") == k)
+    statistics = merged_statistics(kind("polyA"), kind("polyT"), rest, residues)
+    return run.finish({"read_classes": classes, "nonadenosine_residues": residues, "unidentified_reads": rest.select("read_id", "tail_type"), "lost_reads": _lost(marked, known.where(_TAILED), "read_id"), "statistics": statistics}, clean)
 
 
 def run_cdna(summary: DataFrame, signals: DataFrame, calls: DataFrame, load: Callable, qc: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -27,16 +27,20 @@ def made_of(df: DataFrame) -> dict:
 class Run:
     """One run's folder with its stages and its log."""
 
-    def __init__(self, spark: SparkSession, folder: str, prefix: str = "", now: Callable[[], datetime] = datetime.now) -> None:
-        self.spark, self.folder, self.now = spark, folder.rstrip("/"), now
-        started = now().strftime("%Y-%m-%d_%H-%M-%S")
-        self.stamp = f"{started}{'_' + prefix if prefix else ''}"
+    def __init__(self, spark: SparkSession, folder: str, prefix: str = "", now: Callable[[], datetime] = datetime.now, say: Callable[[str, str], None] | None = None) -> None:
+        """``say`` is called with each line of the log and its level."""
+        self.spark, self.folder, self.now, self.say = spark, folder.rstrip("/"), now, say
+        self.started = now()
+        self.stamp = f"{self.started:%Y-%m-%d_%H-%M-%S}{'_' + prefix if prefix else ''}"
         self.lines: list[str] = []
         self.log(f"run {self.stamp}")
 
     def log(self, message: str, level: str = "INFO") -> None:
         """One line with its time; the log is a file of the run's folder, written whole each time."""
-        self.lines += [f"[{self.now():%Y-%m-%d %H:%M:%S}] {level}: {line}" for line in message.splitlines() if line.strip()]
+        for line in (x for x in message.splitlines() if x.strip()):
+            self.lines.append(f"[{self.now():%Y-%m-%d %H:%M:%S}] {level}: {line}")
+            if self.say is not None:
+                self.say(line, level)
         storage.write_text(self.spark, f"{self.folder}/{self.stamp}.log", "\n".join(self.lines) + "\n")
 
     def stage(self, name: str, key: Mapping, make: Callable[[], DataFrame]) -> DataFrame:
@@ -63,6 +67,19 @@ class Run:
         """Finished stages."""
         return [n.removesuffix(".json") for n in storage.names(self.spark, self.folder) if n.endswith(".json") and not n.endswith("_outputs.json")]
 
+    def finish(self, tables: Mapping[str, DataFrame], clean: bool = False) -> dict[str, DataFrame]:
+        """Publishes the tables together, logs how long the run took and, if asked, removes its stages; returns the published tables."""
+        try:
+            publish(self.spark, tables, self.folder, self.stamp)
+        except Exception as e:
+            self.log(f"outputs: {str(e).splitlines()[0][:300]}", "ERROR")
+            raise
+        out = published(self.spark, self.folder, self.stamp)
+        if clean:
+            self.log(f"{self.clean()} folders of stages removed")
+        self.log(f"total runtime: {(self.now() - self.started).total_seconds() / 60:.2f} minutes", "SUCCESS")
+        return out
+
     def clean(self) -> int:
         """Removes all stages, and tables that killed runs left; outputs and logs stay.  Returns how many folders went."""
         gone = 0

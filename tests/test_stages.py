@@ -179,3 +179,48 @@ def test_tables_are_published_together(spark, tmp_path):
     with pytest.raises(FileExistsError):
         readers.save_outputs({"read_classes": good}, str(tmp_path), "run", now="now")
     assert re.match(r".*/now_run_outputs/read_classes\.tsv$", paths["read_classes"])
+
+
+def test_whole_runs_publish_their_tables(spark, tables, tmp_path):
+    summary, signals = tables
+    said = []
+    run = stages.Run(spark, str(tmp_path / "drs"), "x", say=lambda line, level: said.append((level, line)))
+    out = R.check_tails_dorado(run, summary, signals, _counting(spark)[0], parts=2, clean=True)
+    assert set(out) == {"read_classes", "nonadenosine_residues", "lost_reads"} and out["read_classes"].count() == 26
+    assert {r.read_id for r in out["lost_reads"].collect()} == {"gone"} and not run.stages()
+    assert any("runtime" in line for _, line in said) and ("INFO", "4 folders of stages removed") not in said and any("stages removed" in line for _, line in said)
+    assert stages.published(spark, str(tmp_path / "drs"))["nonadenosine_residues"].count() == out["nonadenosine_residues"].count()
+
+    nano = spark.createDataFrame([("x_1", "c", 101.0, 2601.0, 100.0, "PASS"), ("still", "c", 101.0, 2601.0, 100.0, "PASS"), ("away", "c", 101.0, 2601.0, 100.0, "PASS"), ("bad", "c", 1.0, 2.0, 100.0, "ADAPTER")], "readname string, contig string, polya_start double, transcript_start double, polya_length double, qc_tag string")
+    sequencing = spark.createDataFrame([(n, "f") for n in ("x_1", "still", "away", "bad")], "read_id string, filename string")
+    raw = spark.createDataFrame([("x_1", _raw(0), [1, 0, 1] * 200, 5), ("still", _raw(1), [0] * 600, 5)], "readname string, signal array<int>, moves array<int>, stride int")
+    old = stages.Run(spark, str(tmp_path / "guppy"))
+    out = R.check_tails_guppy(old, nano, sequencing, raw, lambda: lambda x: np.full(len(x), 2))
+    assert {r.readname: r.comments for r in out["read_classes"].collect()} == {"x_1": "YAY", "still": "MAU", "away": "MAU", "bad": "QCF"}
+    assert {r.prediction for r in out["nonadenosine_residues"].collect()} == {"G"} and {r.readname for r in out["lost_reads"].collect()} == {"away"}
+    assert any("zeromoved" in line for line in old.lines)
+
+
+def test_a_whole_cdna_run_goes_on_after_its_orientation(spark, tmp_path):
+    import struct
+
+    from polyquill.functions import matching as M
+    from polyquill.sources import bam
+    from tests.test_bam import bgzf, header, record
+
+    tags = b"pti" + struct.pack("<i", 100) + b"paBi" + struct.pack("<i5i", 5, 1, 100, 2600, -1, -1)
+    kinds = {"a1": M.FRONT + "A" * 120 + M.reverse_complement(M.REAR), "t1": M.REAR + "T" * 120 + M.reverse_complement(M.FRONT), "u1": "ACGT" * 60}
+    (tmp_path / "c.bam").write_bytes(bgzf(header(["one"]) + b"".join(record(n, 0, 0, 5, 60, [(len(s), "M")], s, None, tags) for n, s in kinds.items()), [200]))
+    spark.createDataFrame([("f", n, 100, 100, 2600, "one", "+", 60) for n in kinds], SUMMARY).write.parquet(str(tmp_path / "summary"))
+    spark.createDataFrame([(n, _raw(i)) for i, n in enumerate(("a1", "u1"))], "read_id string, signal array<int>").write.parquet(str(tmp_path / "signals"))
+    summary, signals = spark.read.parquet(str(tmp_path / "summary")), spark.read.parquet(str(tmp_path / "signals"))
+    aligned = bam.read_bam(spark, str(tmp_path / "c.bam"), 300)
+    folder = str(tmp_path / "run")
+    with pytest.raises(Exception, match="can't be loaded"):
+        R.check_tails_cdna(stages.Run(spark, folder), aligned, summary, signals, _counting(spark, broken=True)[0], key="m")
+    run = stages.Run(spark, folder, "again")
+    assert run.stages() == ["calls"]
+    out = R.check_tails_cdna(run, bam.read_bam(spark, str(tmp_path / "c.bam"), 300), summary, signals, _counting(spark)[0], key="m")
+    assert {(r.readname, r.comments, r.tail_type) for r in out["read_classes"].collect()} == {("a1", "YAY", "polyA"), ("t1", "MAU", "polyT")}
+    assert [r.read_id for r in out["unidentified_reads"].collect()] == ["u1"] and [r.read_id for r in out["lost_reads"].collect()] == ["t1"]
+    assert {r.tail_type: r.reads for r in out["statistics"].collect()} == {"polyA": 1, "polyT": 1, "unidentified": 1, "total": 3}
