@@ -69,6 +69,29 @@ def _descend(doc: np.ndarray, col: np.ndarray, n: int, k: int, value: np.ndarray
     return theta
 
 
+def _far(count: np.ndarray, hits: np.ndarray, in_u: np.ndarray, n_pos: int, n_u: int) -> np.ndarray:
+    """How far presence differs between P and U, in standard errors; -1 for features of too few rows."""
+    share = in_u / max(n_u, 1)
+    far = np.abs(hits / max(n_pos, 1) - share) / np.sqrt(share * (1 - share) / max(n_pos, 1) + 1e-9)
+    far[count < LEAST_ROWS] = -1
+    return far
+
+
+def _useful(rows: list[np.ndarray], positive: np.ndarray, unlabelled: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Which features may have a weight in any fold, or in the model of all rows; the rest never need be laid out."""
+    parts = {}
+    for f in np.unique(of):
+        mine = np.flatnonzero(of == f)
+        one = lambda which: np.bincount(np.concatenate([np.zeros(0, np.int32), *(rows[i] for i in mine[which])]), minlength=1 << BITS).astype(np.int32)
+        parts[f] = (one(np.ones(len(mine), bool)), one(positive[mine]), one(unlabelled[mine]), int(positive[mine].sum()), int(unlabelled[mine].sum()))
+    total = [sum(p[i] for p in parts.values()) for i in range(5)]
+    keep = np.zeros(1 << BITS, bool)
+    for left_out in [None, *(f for f in parts if f >= 0)]:
+        far = _far(*(t if left_out is None else t - parts[left_out][i] for i, t in enumerate(total)))
+        keep[np.argsort(-far, kind="stable")[: min(max(FEATURES), int((far >= 0).sum()))]] = True
+    return keep
+
+
 class _Table:
     """Rows of features with their columns numbered densely."""
 
@@ -82,11 +105,9 @@ class _Table:
         width = len(self.slots)
         inside = keep[self.doc]
         doc, col = (np.cumsum(keep) - 1)[self.doc[inside]], self.col[inside]
-        hits, n, n_pos = np.bincount(col, positive[self.doc[inside]], width), int(keep.sum()), max(int(positive[keep].sum()), 1)
-        in_u = np.bincount(col, unlabelled[self.doc[inside]], width)
-        count, share = np.bincount(col, minlength=width), in_u / max(int(unlabelled[keep].sum()), 1)
-        far = np.abs(hits / n_pos - share) / np.sqrt(share * (1 - share) / n_pos + 1e-9)
-        far[count < LEAST_ROWS] = -1
+        hits, in_u, n = np.bincount(col, positive[self.doc[inside]], width), np.bincount(col, unlabelled[self.doc[inside]], width), int(keep.sum())
+        count = np.bincount(col, minlength=width)
+        far = _far(count, hits, in_u, int(positive[keep].sum()), int(unlabelled[keep].sum()))
         order = np.argsort(-far, kind="stable")[: int((far >= 0).sum())]
         out = []
         for features, decay in choices:
@@ -113,7 +134,9 @@ def fit(rows: list[np.ndarray], positive: np.ndarray, prior: float, labelled: np
         return weights, -50.0
     labelled = np.ones(len(rows), bool) if labelled is None else labelled
     unlabelled = np.ones(len(rows), bool) if unlabelled is None else unlabelled
-    table, of = _Table(rows), np.where(labelled, (np.cumsum(labelled) - 1) % folds, -1)
+    of = np.where(labelled, (np.cumsum(labelled) - 1) % folds, -1)
+    useful = _useful(rows, positive, unlabelled, of)
+    table = _Table([r[useful[r]] for r in rows])
     choices = [(k, d) for k in FEATURES for d in DECAYS]
     s = np.zeros((len(choices), len(rows)))
     for f in range(folds):
