@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,3 +124,10 @@ def type_statistics(reads: DataFrame, column: str = "tail_type") -> DataFrame:
     is_kind = {k.lower(): F.col(column) == k for k in kinds} | {"unidentified": ~F.coalesce(F.col(column).isin(*kinds), F.lit(False))}
     counts = reads.agg(F.count("*").alias("total_reads"), *(F.count_if(c).alias(f"{k}_reads") for k, c in is_kind.items()))
     return counts.select("*", *(F.coalesce(F.round(F.try_divide(F.col(f"{k}_reads"), F.col("total_reads")) * 100, 2), F.lit(0.0)).alias(f"{k}_percentage") for k in is_kind))
+
+
+def write_classified(spark: SparkSession, path: str, to: str) -> DataFrame:
+    """Reads a table of sequences, writes it with its tail types beside it (``to``: what ``readers.classified_path`` gives) and returns what was written."""
+    reads = spark.read.option("sep", "\t").option("header", True).csv(path)
+    with_tail_type(reads).write.option("sep", "\t").option("header", True).csv(to)
+    return spark.read.schema(T.StructType([*reads.schema.fields, T.StructField("tail_type", T.StringType())])).option("sep", "\t").option("header", True).csv(to)

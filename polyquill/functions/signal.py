@@ -254,6 +254,9 @@ def _moves(s: pd.Series) -> pd.Series:
 
 moves = F.pandas_udf(_moves, T.ArrayType(T.LongType()))
 gaf_rows = _column(lambda x: gaf(x).ravel() if len(x) else x, T.ArrayType(T.DoubleType()))
+training_moves_rows = _column(training_moves, T.ArrayType(T.LongType()))
+gaf_d_rows = _column(lambda x: gaf(x, "d").ravel() if len(x) else x, T.ArrayType(T.DoubleType()))
+run_rows = F.pandas_udf(lambda s: pd.Series([None if v is None else [{"start": int(a), "length": int(n), "value": int(x)} for a, n, x in zip(*runs(np.asarray(v)))] for v in s]), T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType()), T.StructField("value", T.IntegerType())])))
 has_run = F.pandas_udf(lambda s: pd.Series([v is not None and longest_run(np.asarray(v)) >= 5 for v in s]), T.BooleanType())
 
 

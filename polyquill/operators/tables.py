@@ -132,3 +132,8 @@ def dorado_passed(summary: DataFrame) -> DataFrame:
 def annotated(df: DataFrame, annotation: DataFrame, key: str) -> DataFrame:
     """Left join to a user's annotation table; Spark broadcasts that side only where its size allows."""
     return df.join(annotation.dropDuplicates([key]), key, "left")
+
+
+def per_group(df: DataFrame, groups: str | Sequence[str], f, schema: str) -> DataFrame:
+    """A user's function from a pandas table to one, for each group of the table that fits a task; groups of any size are for ``scale`` and the aggregates here."""
+    return df.groupBy(*_by(groups)).applyInPandas(f, schema)

@@ -234,3 +234,27 @@ def gaf(t):
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
     weighted = F.transform("g", lambda x, i: x * (i % 1009))
     return g.select("vec_id", F.size("g").alias("n"), F.round(total(F.col("g")), 4).alias("total"), F.round(total(weighted), 4).alias("weighted"))
+
+
+@_query(f"""{moves_sql('value')}, n as (select user_id, max(i) as n from later group by 1) select user_id, (i - 1)::int as i, case when i <= 5 or i > n - 6 then 0 else move end::bigint as move from filled join n using (user_id)""")
+def training_moves(t):
+    return _signals(t).select("user_id", F.posexplode(K.training_moves_rows("signal")).alias("i", "move"))
+
+
+@_query(f"""{moves_sql('value')}, k as (select *, i - row_number() over (partition by user_id, move order by i) as k from filled) select user_id, (min(i) - 1)::int as start, count(*)::int as length, move::int as value from k group by user_id, move, k""")
+def move_runs(t):
+    return _signals(t).select("user_id", F.explode(K.run_rows(K.moves("signal"))).alias("r")).select("user_id", "r.*")
+
+
+@_query("""with e as (select vec_id, unnest(embedding)::double v, generate_subscripts(embedding, 1) i from embeddings), m as (select *, min(v) over w lo, max(v) over w hi from e window w as (partition by vec_id)),
+a as (select vec_id, i, asin(greatest(-1, least(1, 2 * (v - lo) / (hi - lo) - 1))) x from m), g as (select p.vec_id, sin(p.x + q.x) v from a p join a q using (vec_id)),
+h as (select *, min(v) over w lo, max(v) over w hi from g window w as (partition by vec_id)) select vec_id, count(*)::int as n, round(sum(round((v - lo) / (hi - lo), 4)), 4) as total from h group by 1""")
+def gaf_difference(t):
+    g = t("embeddings").select("vec_id", K.gaf_d_rows("embedding").alias("g"))
+    return g.select("vec_id", F.size("g").alias("n"), F.round(F.aggregate("g", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+@_query(f"""{_SIGNAL} select user_id, (i - greatest(10 + user_id % 5 - 4, 1))::int as place, value from s where i between greatest(10 + user_id % 5 - 4, 1) and least(40 + user_id % 9 + 4, n)""")
+def tail_crops(t):
+    crop = K.tail_crop(F.col("signal"), 10 + F.col("user_id") % 5, 40 + F.col("user_id") % 9, 4)
+    return _signals(t).select("user_id", F.posexplode(crop).alias("place", "value"))

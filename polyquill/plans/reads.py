@@ -15,7 +15,7 @@ from ..operators import post as P
 from ..operators import runs as R
 from ..operators import scale
 from ..operators import tables as T
-from ..sources import readers
+from ..sources import bam, readers
 from .movesql import moves_sql
 from .registry import query as _query
 
@@ -430,3 +430,57 @@ def signal_trace(t):
     pairs = F.array_sort(F.collect_list(F.struct("ts", "event_id", "value")))
     d = t("events").groupBy("user_id").agg(K.calibrated(F.transform(pairs, lambda x: x["value"]), F.lit(10), F.lit(0.25)).alias("signal"))
     return d.select("user_id", F.posexplode("signal").alias("position", "pa")).withColumn("segment", K.segment(F.col("position"), F.lit(20), F.lit(60)))
+
+
+def _event_tails(t):
+    pairs = F.array_sort(F.collect_list(F.struct("ts", "event_id", "value")))
+    return t("events").groupBy(F.col("user_id").cast("string").alias("read_id")).agg(F.transform(pairs, lambda x: x["value"].cast("int")).alias("tail_signal"))
+
+
+@_query(f"""{moves_sql('trunc(value)')}, run as (select user_id, i, move, i - row_number() over (partition by user_id, move order by i) as k from filled), runs as (select user_id, move, min(i) as a, count(*) as n from run where move <> 0 group by user_id, move, k having count(*) >= 5),
+found as (select user_id, a + n // 2 - 50 as first, row_number() over (partition by user_id order by a) as k from runs), kept as (select * from found f where exists (select 1 from filled m where m.user_id = f.user_id and m.move <> 0 and m.i between f.first and f.first + 99))
+select user_id::varchar as read_id, row_number() over (partition by user_id order by k)::int as chunk_idx, first::int as chunk_start_pos, (first + 99)::int as chunk_end_pos from kept""")
+def guppy_chunk_places(t):
+    return R.chunk_rows(_event_tails(t), chunks=K.guppy_chunks).select("read_id", "chunk_idx", "chunk_start_pos", "chunk_end_pos")
+
+
+@_query("""with s as (select user_id, trunc(value * 10) as v, row_number() over (partition by user_id order by ts, event_id, value) as i, count(*) over (partition by user_id) as n from events),
+w as (select *, 5 + user_id % 7 as a, 35 + user_id % 50 as b from s where user_id % 13 <> 0), cut as (select user_id, v, i - a as i, b - a as len from w where b <= n and i > a and i <= b),
+q as (select user_id, quantile_cont(v, 0.005) as lo, quantile_cont(v, 0.995) as hi from cut group by 1), c as (select user_id, i, len, trunc(least(greatest(v, lo), hi)) as v from cut join q using (user_id)),
+g as (select user_id, len, ceil(0.2 * len)::bigint as m from c group by all), p as (select user_id, len, j, case when m = 1 then 0 else j * ((len - 1)::double / (m - 1)) end as x from g, range(0, 1000) r(j) where j < m), f as (select *, least(floor(x)::bigint, len - 1) as k from p)
+select f.user_id::varchar as read_id, j::int as i, round_even(l.v + (x - k) * (coalesce(r.v, l.v) - l.v), 0)::bigint as value from f join c l on l.user_id = f.user_id and l.i = k + 1 left join c r on r.user_id = f.user_id and r.i = k + 2""")
+def tail_signals(t):
+    pairs = F.array_sort(F.collect_list(F.struct("ts", "event_id", "value")))
+    signals = t("events").groupBy(F.col("user_id").cast("string").alias("read_id")).agg(F.transform(pairs, lambda x: (x["value"] * 10).cast("int")).alias("signal"))
+    k = F.col("user_id")
+    summary = t("events").select("user_id").distinct().select(k.cast("string").alias("read_id"), F.when(k % 13 == 0, 10).otherwise(11).alias("poly_tail_length"), (5 + k % 7).cast("int").alias("poly_tail_start"), (35 + k % 50).cast("int").alias("poly_tail_end"))
+    return R.tail_signals(summary, signals).select("read_id", F.posexplode("tail_signal").alias("i", "value"))
+
+
+@_query("""with a as (select l_orderkey, l_linenumber, l_partkey % 4096 as flag, case when l_suppkey % 10 = 0 then '*' else 'r' || l_suppkey % 10 end as reference, l_partkey as pos, case when l_quantity > 5 then l_quantity::int end as pt, l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey * 100 + l_quantity::bigint as place from lineitem),
+g as (select * from a where pt is not null and flag & 4 = 0 and flag & 2304 = 0 and reference <> '*' and l_orderkey % 3 > 0) select l_orderkey::varchar as read_id, reference, pos, pt, 'f' || l_orderkey % 3 as filename from g qualify row_number() over (partition by l_orderkey order by place) = 1""")
+def tailed_reads(t):
+    k = F.col("l_orderkey")
+    aligned = t("lineitem").select(
+        k.cast("string").alias("read_id"), F.lit("a.bam").alias("file"), (F.col("l_linenumber") * F.lit(10**12) + F.col("l_partkey") * 1_000_000 + F.col("l_suppkey") * 100 + F.col("l_quantity").cast("long")).alias("place"), (F.col("l_partkey") % 4096).cast("int").alias("flag"), F.when(F.col("l_suppkey") % 10 == 0, "*").otherwise(F.concat(F.lit("r"), (F.col("l_suppkey") % 10).cast("string"))).alias("reference"),
+        F.col("l_partkey").alias("pos"), F.when(F.col("l_quantity") > 5, F.col("l_quantity").cast("int")).alias("pt"), F.array(F.lit(1)).alias("pa"), F.lit("ACGT").alias("sequence"),
+    )
+    files = t("orders").select(F.col("o_orderkey").alias("k")).where("k % 3 > 0").select(F.col("k").cast("string").alias("read_id"), F.concat(F.lit("f"), (F.col("k") % 3).cast("string")).alias("filename"))
+    return bam.tailed_reads(aligned, files).select("read_id", "reference", "pos", "pt", "filename")
+
+
+@_query("select l_orderkey::varchar as read_id, l_linenumber from lineitem where l_orderkey in (select o_orderkey from orders where o_orderstatus = 'F')")
+def split_reads(t):
+    part = t("orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").cast("string").alias("read_id"))
+    return bam.split_by_reads(t("lineitem").select(F.col("l_orderkey").cast("string").alias("read_id"), "l_linenumber"), part)
+
+
+@_query(f"with {_READS} select o_orderkey::varchar as read_id, o_totalprice, class, comments from orders left join c on c.readname = o_orderkey::varchar and o_orderkey % 2 = 0")
+def signals_with_class(t):
+    even = _classes(t).where(F.col("readname").cast("long") % 2 == 0)
+    return P.with_class(t("orders").select(F.col("o_orderkey").cast("string").alias("read_id"), "o_totalprice"), even.unionByName(even))
+
+
+@_query("select distinct o_orderpriority from orders where o_orderpriority is not null")
+def pick_list(t):
+    return P.pick_list(t("orders"), "o_orderpriority")

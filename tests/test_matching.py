@@ -121,3 +121,20 @@ def test_a_doubtful_residue_makes_a_cdna_read_blank(spark):
     assert sorted((r.readname, r.est_nonA_pos) for r in residues.collect()) == [("both", 50.25), ("good", 50.25), ("short", 4.52)]
     free = R.cdna_outputs(spots, spots, once, known, qc=False)
     assert {r.readname: r.comments for r in free[0].collect()} == {"both": "YAY", "good": "YAY", "end": "YAY", "none": "MAU", "short": "IRL"}
+
+
+def test_sequences_get_a_classified_sibling(spark, tmp_path):
+    from polyquill.sources.readers import classified_path
+
+    (tmp_path / "seq.tsv").write_text("read_id\tsequence\na\t" + M.FRONT + "A" * 100 + M.reverse_complement(M.REAR) + "\nb\tACGT\n")
+    path = str(tmp_path / "seq.tsv")
+    got = M.write_classified(spark, path, classified_path(path))
+    assert {(r.read_id, r.tail_type) for r in got.collect()} == {("a", "polyA"), ("b", "unidentified")} and (tmp_path / "seq_classified.tsv").is_dir()
+
+
+def test_a_users_function_per_group(spark):
+    from polyquill.operators.tables import per_group
+
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 5)], "g string, n long")
+    got = per_group(df, "g", lambda d: d.assign(n=d.n.sum()).head(1), "g string, n long")
+    assert {tuple(r) for r in got.collect()} == {("a", 3), ("b", 5)}
