@@ -170,7 +170,7 @@ def signatures(rows: DataFrame) -> DataFrame:
     again = F.row_number().over(Window.partitionBy("conv_id", "role", "text").orderBy(F.asc_nulls_first("turn"))) > 1
     fault = F.when(last == "", 1).when(F.col("_again"), 2).when(~last.isin(".", "!", "?"), 3).otherwise(0)
     # the window and the order below both need rows of a conversation together: one shuffle serves them
-    d = rows.repartition("conv_id").withColumn("_again", again).sortWithinPartitions("conv_id", F.asc_nulls_first("turn"), "role", "text")
+    d = rows.repartition("conv_id").withColumn("_again", again).sortWithinPartitions("conv_id", F.asc_nulls_first("turn"), "role", "text", "_again")  # the first of equal rows first
     coded = d.select("conv_id", F.col("turn").cast("long").alias("turn"), F.when(F.col("gone"), None).otherwise(4 * role + fault).cast("long").alias("code"))
     schema = _table_of(rows.schema["conv_id"].dataType)
 

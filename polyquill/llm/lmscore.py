@@ -44,7 +44,7 @@ _PARTS = "slice long, shard int, blob binary"
 def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays as bytes; each integer's bytes lie in planes, so that small numbers compress well."""
     head = np.array([len(arrays)] + [n for a in arrays for n in (ord(a.dtype.kind), a.dtype.itemsize, len(a))], np.uint32)
-    return zstandard.compress(head.tobytes() + b"".join(a.view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes() for a in map(np.ascontiguousarray, arrays)), 1)
+    return zstandard.compress(head.tobytes() + b"".join(a.view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes() for a in map(np.ascontiguousarray, arrays)), 3)
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:

@@ -40,7 +40,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import report
 
-    return report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items")
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +103,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from .collocations import SQL
+    from .oracles import SQL
 
-    return {"op13_collocations": SQL}
+    return dict(SQL)

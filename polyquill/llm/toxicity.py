@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .textkit import _BASE, Hasher, alnum_words, eights, lower_ascii, mix, slices, utf8, word_spans
 
-SAMPLE_ROWS, UNLABELLED_ROWS, BITS, PIECE, FEATURES = 6000, 3000, 20, 6, (150, 500, 3000)
+SAMPLE_ROWS, UNLABELLED_ROWS, BITS, PIECE, FEATURES = 6000, 2000, 20, 6, (150, 500, 3000)
 STEPS, RATE, DECAYS, LEAST_ROWS = 200, 0.05, (3e-4, 1e-3, 3e-3), 4
 
 
@@ -177,11 +177,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, unlabelle
 
     chosen = F.broadcast(picked.unionByName(free))
     found = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, f array<int>")
-    found = found.orderBy(F.xxhash64("doc_id"), "doc_id", "y", "f").limit(rows + unlabelled_rows).toPandas()  # also where ids repeat
-    got = found.sort_values(["doc_id", "y"], kind="stable")
-    y = got["y"].to_numpy()
+    got = found.orderBy(F.xxhash64("doc_id"), "doc_id", "y", "f").limit(rows + unlabelled_rows).toArrow().combine_chunks()  # also where ids repeat
+    order = np.lexsort((got["y"].to_numpy(), got["doc_id"].to_numpy()))
+    y = got["y"].to_numpy()[order]
     known = y[y >= 0]
-    feats = [np.asarray(f, np.int32) for f in got["f"]]
+    lists = got["f"].combine_chunks()
+    flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
+    feats = [flat[at[i] : at[i + 1]] for i in order]
     return fit(feats, y == 1, float(np.clip(known.mean() if len(known) else 0.1, 0.01, 0.9)), y >= 0)
 
 
