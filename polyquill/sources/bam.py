@@ -36,7 +36,7 @@ _SIZES = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
 _CODES = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f", "A": "c"}
 _PAIRS = np.array([[ord(_BASES[b >> 4]), ord(_BASES[b & 15])] for b in range(256)], np.uint8)
 _HEAD = b"\x1f\x8b\x08\x04"
-_MOST_BLOCK = 65536
+_MOST_BLOCK, _AHEAD = 65536, 1 << 20
 
 
 def _block_size(head: bytes) -> int | None:
@@ -61,15 +61,22 @@ class _Stream:
         self.buf, self.base = bytearray(), 0
         self.starts, self.blocks = [], []
         self.plain = None
+        self.read, self.read_from = b"", 0  # what was read ahead
+
+    def _ahead(self, at: int, n: int) -> bytes:
+        """n bytes of the file, or as many as there are; some blocks are read at once."""
+        if not self.read_from <= at <= at + n <= self.read_from + len(self.read):
+            self.read, self.read_from = self.file.read_at(min(self.size - at, max(n, _AHEAD)), at), at
+        return self.read[at - self.read_from : at - self.read_from + n]
 
     def more(self) -> bool:
         if self.next >= self.size:
             return False
-        head = self.file.read_at(min(self.size - self.next, 512), self.next)
+        head = self._ahead(self.next, min(self.size - self.next, 512))
         block = _block_size(head) if self.plain is None else None
         if block is None:
             return self._more_plain()
-        raw = self.file.read_at(block, self.next)
+        raw = self._ahead(self.next, block)
         if len(raw) < block:
             raise ValueError("the file ends within a block")
         body = 12 + struct.unpack_from("<H", raw, 10)[0]
