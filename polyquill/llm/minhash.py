@@ -8,8 +8,9 @@ collisions, estimates the similarity of candidates.  Pairs that the estimate doe
 ``MARGIN`` standard errors are confirmed on the full sets.
 
 Groups of any size: classes that share a band are joined to the band's least class, never to each other;
-the components of these stars are the candidate groups.  A group is cut into blocks of ``BLOCK`` classes
-and each pair of blocks is one task's unit of work, which returns a spanning forest of its links, so no
+the components of these stars are the candidate groups.  A group is cut into blocks of ``BLOCK`` classes.  First
+each class is compared with the group's head (its least class), which is sent to every block: near copies of one text are linked by that, at a cost that grows as
+the group.  Classes that aren't linked to the head are loose; pieces of ``BLOCK`` of them meet each block of the group, and a unit of both returns a spanning forest of its links.  So no
 group meets in one task whole and no list of all pairs is made.  At a similarity of 0.85 a link is missed by all
 bands with a probability under 1e-6, at 0.80 with one of 5e-5.
 
@@ -29,10 +30,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.scale import attached
 from .shared import components, cut, free_names
 from .textkit import Hasher, chained, lower_ascii, mix, odd_constants, slices, space_words, utf8, windows, word_spans
 
-SHINGLE, PERMUTATIONS, ROWS, BITS, BLOCK, MARGIN = 5, 125, 5, 2, 1024, 5.0
+SHINGLE, PERMUTATIONS, ROWS, BITS, BLOCK, MARGIN = 5, 125, 5, 2, 512, 5.0
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray, hasher: Hasher) -> list[np.ndarray]:
@@ -156,7 +158,7 @@ def forest_of_links(left: list[int], right: list[int], sets: list[np.ndarray], s
     c = 2.0**-BITS
     equal = c + (1 - c) * percent / 100  # share of equal low bits at the threshold
     se = MARGIN * np.sqrt(equal * (1 - equal) / PERMUTATIONS) / (1 - c)
-    right_of = np.array(right)
+    right_of = np.array(right, np.int64)
     for at, i in enumerate(left):
         others = right_of[at + 1 :] if left is right else right_of
         others = others[others != i]
@@ -173,21 +175,39 @@ def forest_of_links(left: list[int], right: list[int], sets: list[np.ndarray], s
     return out
 
 
+def _sets_of(table: pa.Table) -> list[np.ndarray]:
+    hasher, sets = Hasher(), []
+    for batch in table.select(["text"]).combine_chunks().to_batches():
+        for piece in slices(batch):
+            raw, at = utf8(piece.column("text"))
+            sets += shingle_sets(lower_ascii(raw), at, hasher)
+    return sets
+
+
+def _signatures(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(table.num_rows, -1)
+
+
+def _near_head(percent: int):
+    """Which members of a block are linked to their group's head, whose row is there too."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        grp, ids, sets = key[0].as_py(), table.column("node").to_pylist(), _sets_of(table)
+        head = ids.index(grp)
+        others = [i for i in range(len(ids)) if ids[i] != grp]
+        near = {j for _, j in forest_of_links([head], others, sets, _signatures(table), percent)}
+        return pa.table({"grp": pa.array([grp] * len(others), pa.int64()), "node": pa.array([ids[i] for i in others], pa.int64()), "near": pa.array([i in near for i in others], pa.bool_())})
+
+    return run
+
+
 def _confirm(percent: int):
+    """A spanning forest of the links between the loose texts of a unit and its members."""
+
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        lo, hi = key[1].as_py(), key[2].as_py()
-        hasher = Hasher()
-        ids = table.column("node").to_pylist()
-        part = table.column("part").to_pylist()
-        sets: list[np.ndarray] = []
-        for batch in table.select(["text"]).combine_chunks().to_batches():
-            for piece in slices(batch):
-                raw, at = utf8(piece.column("text"))
-                sets += shingle_sets(lower_ascii(raw), at, hasher)
-        sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
-        left = [i for i, p in enumerate(part) if p == lo]
-        right = left if lo == hi else [i for i, p in enumerate(part) if p == hi]
-        pairs = forest_of_links(left, right, sets, sigs, percent)
+        ids, loose = table.column("node").to_pylist(), table.column("loose").to_pylist()
+        left, right = [i for i, x in enumerate(loose) if x], [i for i, x in enumerate(loose) if not x]
+        pairs = forest_of_links(left, right, _sets_of(table), _signatures(table), percent)
         return pa.table({"a": pa.array([ids[i] for i, _ in pairs], pa.int64()), "b": pa.array([ids[j] for _, j in pairs], pa.int64())})
 
     return run
@@ -206,14 +226,26 @@ def grouped(docs: DataFrame, percent: int = 85) -> DataFrame:
     stars = bands.join(heads, "band").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     groups = components(stars).select("node", F.col("root").alias("grp"))
     members = groups.join(classes.select("node", F.col("rid").alias("doc_id"), "text_hash", "sig"), "node")
-    # blocks by a hash: as many as the group's size asks for
-    sizes = groups.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = members.join(sizes, "grp").withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # a text of the class itself, once, however often its row is repeated
-    members = members.join(texts, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash", "node"])
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    units = members.select("grp", "node", "sig", "part", "text", other).select("grp", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "node", "sig", "part", "text")
-    links = units.groupBy("grp", "lo", "hi").applyInArrow(_confirm(percent), "a long, b long")
+    members = members.join(texts, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash", "node"]).select("grp", "node", "sig", "text")
+    # blocks by a hash: as many as the group's size asks for
+    sizes = groups.groupBy("grp").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    n_members = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    members = cut(attached(members, sizes, ["grp"], "n", n_members).withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    every = lambda d, of, name: d.withColumn(name, F.explode(F.sequence(F.lit(0), F.col(of) - 1)))
+    # each text with its group's head, which goes to all blocks
+    heads = every(members.where("node = grp").drop("part"), "blocks", "part")
+    units = members.where("node <> grp").unionByName(heads).select("grp", "part", "node", "sig", "text")
+    near = cut(units.groupBy("grp", "part").applyInArrow(_near_head(percent), "grp long, node long, near boolean"))
+    # what isn't linked to its head is loose: it may be linked to any other text of the group
+    loose = near.where("not near").select("node", "grp")
+    counts = loose.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("pieces")).join(sizes.select("grp", "n"), "grp")
+    open_groups = attached(members, counts, ["grp"], "n", n_members).where("pieces is not null and node <> grp")
+    mine = open_groups.join(loose.select("node"), "node").withColumn("piece", F.pmod(F.xxhash64("node", F.lit(7)), F.col("pieces")).cast("int"))
+    sides = [every(mine.drop("part"), "blocks", "part").withColumn("loose", F.lit(True)), every(open_groups, "pieces", "piece").withColumn("loose", F.lit(False))]
+    units = sides[0].select("grp", "part", "piece", "node", "sig", "text", "loose").unionByName(sides[1].select("grp", "part", "piece", "node", "sig", "text", "loose"))
+    more = units.groupBy("grp", "part", "piece").applyInArrow(_confirm(percent), "a long, b long")
+    links = near.where("near").select(F.col("node").alias("a"), F.col("grp").alias("b")).unionByName(more)
     found = components(links)
     ids = found.join(classes.select("node", "rid"), "node").groupBy("root").agg(F.min("rid").alias("component_id"))
     by_class = classes.select("d1", "d2", "rid", "node").join(found.join(ids, "root"), "node", "left")

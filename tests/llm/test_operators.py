@@ -474,3 +474,36 @@ def test_the_whole_pipeline(spark, tmp_path, labels):
     spark.createDataFrame([], "item_id string, text string").write.parquet(str(empty / "benchmark.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(empty / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(empty)).count() == 0
+
+
+def test_groups_with_heads_chains_and_small_blocks(spark, monkeypatch):
+    """Copies near a head, chains of which only neighbours are linked, and texts that share a passage but no link; blocks of a few texts."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    r = np.random.default_rng(6)
+    base = _text(700, 200).split()
+
+    def changed(words, at, n):
+        return [*words[:at], *(f"new{at}x{j}y{r.integers(10**6)}" for j in range(n)), *words[at + n :]]
+
+    texts = [base] + [changed(base, int(r.integers(0, 195)), 1) for _ in range(14)]
+    chain = base
+    for k in range(12):
+        chain = changed(chain, 15 * k, 8)
+        texts.append(chain)
+    other = _text(701, 200).split()
+    texts += [other, changed(other, 3, 4), [*base[:60], *_text(702, 140).split()], _text(703, 150).split()]
+    texts = [" ".join(t) for t in texts] + [" ".join(base)] * 3
+    order = r.permutation(len(texts)).tolist()
+    docs = spark.createDataFrame([(int(i), texts[i]) for i in order], "doc_id long, text string").repartition(3)
+
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (t.lower().split() for t in texts)]
+    up = list(range(len(texts)))
+    root = lambda i: i if up[i] == i else root(up[i])
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    want = {i: root(i) for i in range(len(texts))}
+    assert len(set(want.values())) > 3 and max(np.bincount(list(want.values()))) > 20
+    assert {x.doc_id: x.component_id for x in minhash.near_duplicates(docs).collect()} == want
