@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def quantile(ordered: np.ndarray, p: float) -> float:
+    """Between the two nearest of ascending values, rounded once where their shares are added, as SQL's quantile_cont has it: a last bit decides whether a whole number is cut to the one below."""
+    at = (len(ordered) - 1) * p
+    low, high = math.floor(at), math.ceil(at)
+    a, b, share = float(ordered[low]), float(ordered[high]), at - low
+    return a if low == high else math.fma(a, 1.0 - share, b * share) if math.isfinite(a) and math.isfinite(b) else a * (1.0 - share) + b * share
+
+
 def winsorize(x: np.ndarray, low: float = 0.005, high: float = 0.995) -> np.ndarray:
     """Values clipped to two quantiles, cut to whole numbers."""
     x = np.asarray(x, float)
-    return np.trunc(np.clip(x, *np.quantile(x, [low, high]))).astype(np.int64) if len(x) else x.astype(np.int64)
+    if not len(x):
+        return x.astype(np.int64)
+    ordered = np.sort(x)
+    return np.trunc(np.clip(x, quantile(ordered, low), quantile(ordered, high))).astype(np.int64)
 
 
 def resample(x: np.ndarray, share: float = 0.2) -> np.ndarray:

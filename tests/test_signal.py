@@ -91,3 +91,20 @@ def test_padding_is_drawn_from_frequent_values():
     assert (chunk[inside] == x).all() and set(chunk[~inside]) == {6, 4, 5, 1, 2}
     last = K.overlapping(x, 20, 0)[-1]
     assert last[0] == 98 and len(last) == 20 and set(last[1:]) <= set(ranked(x, 10))
+
+
+def test_whole_quantiles_are_not_cut_to_the_number_below():
+    import duckdb
+    import pandas as pd
+
+    x = [136, 166, 91, 1285, 340, 721, 0, 32, 5, 604, 222, 407, 610, 47, 526, 1859, 516, 553, 5, 547, 1049, 241, 341, 353, 1249, 119, 748, 1460, 362, 325, 18, 685, 658, 11, 214, 982, 173, 428, 774, 1199, 1804]
+    assert K.winsorize(x)[15] == 1848  # the quantile is 1804 + 0.8 * 55
+    r = np.random.default_rng(7)
+    con = duckdb.connect()
+    con.execute("create table v (g int, v double)")
+    signals = [np.round(r.exponential(50, n), 2) * (10 if n % 2 else 1) for n in r.integers(1, 110, 3000)]
+    signals += [np.full(n, 1804.0) for n in range(1, 100)]
+    values, numbers = np.concatenate(signals), np.repeat(np.arange(len(signals)), [len(s) for s in signals])
+    con.register("given", pd.DataFrame({"g": numbers, "v": values}))
+    want = con.execute("select g, trunc(quantile_cont(v, 0.005)), trunc(quantile_cont(v, 0.995)) from given group by 1 order by 1").fetchall()
+    assert [(i, np.trunc(K.quantile(np.sort(s), 0.005)), np.trunc(K.quantile(np.sort(s), 0.995))) for i, s in enumerate(signals)] == want
