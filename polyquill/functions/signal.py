@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -266,9 +267,35 @@ def _moves(s: pd.Series) -> pd.Series:
 
 
 moves = F.pandas_udf(_moves, T.ArrayType(T.LongType()))
-gaf_rows = _column(lambda x: gaf(x).ravel() if len(x) else x, T.ArrayType(T.DoubleType()))
+#: So many entries of fields (2 MB) leave a batch at once; a larger field goes alone.
+FIELD_ENTRIES = 1 << 18
+
+
+def portions(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """(from, to) of consecutive items whose sizes are ``most`` together, or of one that is larger alone."""
+    begin = held = 0
+    for i, n in enumerate(sizes):
+        if i > begin and held + n > most:
+            yield begin, i
+            begin, held = i, 0
+        held += n
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
+def _fields(method: str) -> Callable:
+    """A field is as large as its signal's square, so a batch of signals gives its fields in portions, whatever its number of rows."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            for a, b in portions([0 if v is None else len(v) ** 2 for v in s], FIELD_ENTRIES):
+                yield pd.Series([v if v is None or not len(v) else gaf(v, method).ravel() for v in s.iloc[a:b]], dtype=object)
+
+    return F.pandas_udf(run, T.ArrayType(T.DoubleType()))
+
+
+gaf_rows, gaf_d_rows = _fields("s"), _fields("d")
 training_moves_rows = _column(training_moves, T.ArrayType(T.LongType()))
-gaf_d_rows = _column(lambda x: gaf(x, "d").ravel() if len(x) else x, T.ArrayType(T.DoubleType()))
 run_rows = F.pandas_udf(lambda s: pd.Series([None if v is None else [{"start": int(a), "length": int(n), "value": int(x)} for a, n, x in zip(*runs(np.asarray(v)))] for v in s]), T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType()), T.StructField("value", T.IntegerType())])))
 has_run = F.pandas_udf(lambda s: pd.Series([v is not None and longest_run(np.asarray(v)) >= 5 for v in s]), T.BooleanType())
 

@@ -108,3 +108,20 @@ def test_whole_quantiles_are_not_cut_to_the_number_below():
     con.register("given", pd.DataFrame({"g": numbers, "v": values}))
     want = con.execute("select g, trunc(quantile_cont(v, 0.005)), trunc(quantile_cont(v, 0.995)) from given group by 1 order by 1").fetchall()
     assert [(i, np.trunc(K.quantile(np.sort(s), 0.005)), np.trunc(K.quantile(np.sort(s), 0.995))) for i, s in enumerate(signals)] == want
+
+
+def test_fields_of_a_batch_leave_in_portions(spark):
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(3)
+    signals = [r.normal(size=64).astype(np.float32) for _ in range(300)] + [np.zeros(0, np.float32), None, r.normal(size=700), r.normal(size=64)]
+    for rows, method in ((K.gaf_rows, "s"), (K.gaf_d_rows, "d")):
+        parts = list(rows.func(iter([pd.Series(signals, dtype=object)])))
+        assert sum(map(len, parts)) == len(signals)
+        assert all(len(p) == 1 or sum(0 if v is None else len(v) for v in p) <= K.FIELD_ENTRIES for p in parts)
+        df = spark.createDataFrame([(i, None if x is None else [float(v) for v in x]) for i, x in enumerate(signals)], "id long, x array<double>").coalesce(1)
+        got = {i: g for i, g in df.select("id", rows("x").alias("g")).collect()}
+        for i, x in enumerate(signals):
+            assert got[i] == (None if x is None else K.gaf(x, method).ravel().tolist() if len(x) else [])
+    assert not df.where("id < 0").select(K.gaf_rows(F.col("x"))).collect()
