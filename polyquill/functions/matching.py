@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 # The two primers of the kit, and what an orientation is called by.
 FRONT, REAR = "TTTCTGTTGGTGCTGATATTGCTTT", "ACTTGCCTGTCGCTCTATCTTCAGAGGAGAGTCCGCCGCCCGCAAGTTTT"
 WINDOW, LEAST_SCORE, APART, SHORTEST = 150, 0.6, 10, 50
+#: So many texts' windows are matched at once: their words stay in a core's cache.  So many tasks a core share the reads.
+BLOCK, TASKS_A_CORE = 64, 4
 _SWAP = str.maketrans("ACGTN", "TGCAN")
 
 
@@ -59,16 +61,41 @@ class Query:
     def within(self, texts: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The least edit distance to a text or to any of its windows of the query's length; the query's length for an empty text."""
         best = self.whole(texts, size)
-        starts = texts.shape[1] - self.m + 1
-        if starts > 0:
-            windows = np.lib.stride_tricks.sliding_window_view(texts, self.m, axis=1)
-            there = np.arange(starts) <= (size - self.m)[:, None]
-            row, start = np.nonzero(there)
-            if len(row):
-                found = self._steps(((windows[row, start, j], None) for j in range(self.m)), len(row))
-                np.minimum.at(best, row, found)
+        order = np.argsort(size, kind="stable")  # texts of like size share a block, which is as wide as its largest
+        order = order[size[order] >= self.m]
+        for at in range(0, len(order), BLOCK):
+            rows = order[at : at + BLOCK]
+            best[rows] = np.minimum(best[rows], self._least_window(texts[rows, : int(size[rows[-1]])], size[rows]))
         return np.where(size == 0, self.m, best)
 
+    def _least_window(self, texts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The least distance to a window of the query's length, which no text is shorter than: a step takes up a character of all windows, and the last column's differences add up to the distance."""
+        starts, one = texts.shape[1] - self.m + 1, np.uint64(1)
+        equal = self.equal[texts]
+        up, down = np.full((len(texts), starts), ~np.uint64(0)), np.zeros((len(texts), starts), np.uint64)
+        xv, xh, ph = (np.empty_like(up) for _ in range(3))
+        for j in range(self.m):
+            eq = equal[:, j : j + starts]
+            np.bitwise_or(eq, down, out=xv)
+            np.bitwise_and(eq, up, out=xh)
+            xh += up
+            xh ^= up
+            xh |= eq
+            np.bitwise_or(xh, up, out=ph)
+            np.invert(ph, out=ph)
+            ph |= down
+            xh &= up
+            ph <<= one
+            ph |= one
+            xh <<= one
+            np.bitwise_or(xv, ph, out=up)
+            np.invert(up, out=up)
+            up |= xh
+            np.bitwise_and(ph, xv, out=down)
+        own = np.uint64((1 << self.m) - 1)
+        found = self.m + np.bitwise_count(up & own).astype(np.int64) - np.bitwise_count(down & own)
+        return np.where(np.arange(starts) <= (size - self.m)[:, None], found, self.m).min(axis=1)
+
 
 def as_rows(texts: list[bytes], width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Texts as rows of one width, filled up with zeros, and their sizes."""
@@ -101,7 +128,9 @@ def orientations(sequences: list[str | None], front: str = FRONT, rear: str = RE
 
 
 def with_tail_type(reads: DataFrame, sequence: str = "sequence", out: str = "tail_type", most: int = 1000) -> DataFrame:
-    """Reads with polyA, polyT or unidentified by the orientation of their sequence; so many reads are matched at once."""
+    """Reads with polyA, polyT or unidentified by the orientation of their sequence; so many reads are matched at once.
+
+    Matching costs far more than moving a read, and a small file is one task's, so reads are first dealt out over all cores."""
     if sequence not in reads.columns:
         raise ValueError(f"missing columns: {sequence}")
     names = {"A": "polyA", "T": "polyT", "unknown": "unidentified"}
@@ -115,7 +144,8 @@ def with_tail_type(reads: DataFrame, sequence: str = "sequence", out: str = "tai
                 called = [names[x] for x in call(b.column(sequence).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(called, pa.string())], [*columns, out])
 
-    return reads.select(*columns).mapInArrow(run, T.StructType([*(reads.schema[c] for c in columns), T.StructField(out, T.StringType())]))
+    parts = TASKS_A_CORE * reads.sparkSession.sparkContext.defaultParallelism
+    return reads.select(*columns).repartition(parts).mapInArrow(run, T.StructType([*(reads.schema[c] for c in columns), T.StructField(out, T.StringType())]))
 
 
 def type_statistics(reads: DataFrame, column: str = "tail_type") -> DataFrame:

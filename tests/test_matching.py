@@ -138,3 +138,21 @@ def test_a_users_function_per_group(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 5)], "g string, n long")
     got = per_group(df, "g", lambda d: d.assign(n=d.n.sum()).head(1), "g string, n long")
     assert {tuple(r) for r in got.collect()} == {("a", 3), ("b", 5)}
+
+
+def test_windows_of_texts_of_mixed_sizes():
+    r = np.random.default_rng(11)
+    texts = [bytes(r.choice(list(b"ACGTN"), n).tolist()) for n in [*r.integers(0, 151, 150), 0, 1, 24, 25, 26, 150]]
+    for query in (M.FRONT, "A" * 64, "ACGT", M.REAR):
+        least = [min([edits(query, t.decode()), *(edits(query, t[i : i + len(query)].decode()) for i in range(len(t) - len(query) + 1))]) if t else len(query) for t in texts[-14:]]
+        assert M.Query(query).within(*M.as_rows(texts[-14:], 150)).tolist() == least
+        assert M.Query(query).within(*M.as_rows(texts)).tolist()[-14:] == least
+
+
+def test_reads_of_one_file_are_matched_by_all_cores(spark, tmp_path):
+    spark.createDataFrame([(i, "ACGT" * 30) for i in range(400)], "id int, sequence string").coalesce(1).write.parquet(str(tmp_path / "reads"))
+    one = spark.read.parquet(str(tmp_path / "reads"))
+    assert one.rdd.getNumPartitions() == 1
+    busy = M.with_tail_type(one).groupBy(F.spark_partition_id()).count().count()
+    assert busy >= spark.sparkContext.defaultParallelism
+    assert M.with_tail_type(one).count() == 400
