@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import integer_mode, position_bin
 from .density import modes
-from .scale import placed
+from .scale import HOT_PARTS, free_names, placed
 from .stats import adjusted, fisher
 from .tables import _by, natural_join, passed, require, two_levels, validated
 
@@ -224,7 +224,16 @@ def value_boxes(classes: DataFrame, sample: str, transcript: str) -> DataFrame:
 
 
 def with_count(df: DataFrame, column: str, out: str = "n") -> DataFrame:
-    return df.withColumn(out, F.count("*").over(Window.partitionBy(column)))
+    """The rows with how many of them have the same value; nulls are alike.  The most frequent values' counts are broadcast, so that no value's rows meet in
+    one task; any other value has less than that share of all rows.  df is read three times, so store it where it is dear."""
+    _value, _rows = free_names([*df.columns, out], "_value", "_rows")
+    counts = df.groupBy(F.col(column).alias(_value)).agg(F.count("*").alias(_rows))
+    often = counts.orderBy(F.desc(_rows), _value).limit(HOT_PARTS)
+    same, columns = F.col(column).eqNullSafe(F.col(_value)), [c for c in df.columns if c != out]
+    found = df.join(F.broadcast(often), same, "left")
+    rare = found.where(F.col(_rows).isNull()).drop(_value, _rows).join(counts, same)
+    both = found.where(F.col(_rows).isNotNull()).unionByName(rare)
+    return both.select(*columns, F.col(_rows).alias(out))
 
 
 def central_tendency(df: DataFrame, group: str, length: str = "polya_length") -> DataFrame:

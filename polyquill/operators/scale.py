@@ -7,7 +7,7 @@ keys that have many rows by broadcast, so that those rows stay where they are.
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,6 +29,17 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted column names, each with underscores added until no column has it in any case of letters."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The same rows, kept in the shared folder; lineage ends there."""
     shared_folder(df.sparkSession)

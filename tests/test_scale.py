@@ -68,3 +68,13 @@ def test_hot_and_cold_keys_are_attached(spark, rows, monkeypatch):
     for i, p, _ in rows:
         most[p] = max(i, most.get(p, 0))
     assert got == {i: None if p is None else most[p] for i, p, _ in rows}
+
+
+def test_counts_by_value_leave_rows_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr(post, "HOT_PARTS", 3)  # the other values' counts are joined by shuffle
+    values = ["a"] * 500 + [None] * 200 + ["b"] * 100 + [f"c{i % 40}" for i in range(100)]
+    df = spark.createDataFrame(list(enumerate(values)), "_rows int, flag string")
+    got = post.with_count(df, "flag")
+    assert got.columns == ["_rows", "flag", "n"]
+    assert sorted((r["_rows"], r["flag"], r["n"]) for r in got.collect()) == [(i, v, values.count(v)) for i, v in enumerate(values)]
+    assert "Window" not in _plan(got)
