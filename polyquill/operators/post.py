@@ -51,7 +51,9 @@ def spread_residues(residues: DataFrame, group: str = "group", read: str = "read
     listed = F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), F.col(kind).alias("k"))).over(own))
     text = F.array_join(F.transform(listed, lambda x: F.concat(x["k"], plain_number(x["p"]))), ":")
     counts = [F.count_if(F.col(kind) == v).alias(f"prediction_{v}") for v in values]
-    return residues.withColumn("nonA_residues", text).groupBy(*ids).agg(*counts, F.first("nonA_residues").alias("nonA_residues"))
+    # the text, one for each read, is a key: as a value it would have the rows sorted twice more
+    found = residues.withColumn("nonA_residues", text).groupBy(*ids, "nonA_residues").agg(*counts)
+    return found.select(*ids, *(f"prediction_{v}" for v in values), "nonA_residues")
 
 
 def merge_tables(classes: DataFrame, residues: DataFrame, pass_only: bool = True, group: str = "group", values: Sequence[str] | None = None) -> DataFrame:

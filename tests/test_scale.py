@@ -78,3 +78,14 @@ def test_counts_by_value_leave_rows_where_they_are(spark, monkeypatch):
     assert got.columns == ["_rows", "flag", "n"]
     assert sorted((r["_rows"], r["flag"], r["n"]) for r in got.collect()) == [(i, v, values.count(v)) for i, v in enumerate(values)]
     assert "Window" not in _plan(got)
+
+
+def test_a_reads_rows_are_sorted_once(spark):
+    rows = [("g", "r1", "t", 30.0, "C", 7.0), ("g", "r1", "t", 30.0, "G", 3.0), ("g", "r1", "u", 31.0, "C", 5.5), ("h", "r1", "t", 30.0, "C", 1.0), (None, "r2", None, -0.0, "G", None), (None, "r2", None, 0.0, "C", 2.0)]
+    df = spark.createDataFrame(rows, "group string, readname string, transcript string, polya_length double, prediction string, est_nonA_pos double")
+    found = post.spread_residues(df, values=["C", "G"])
+    assert found.columns == ["group", "readname", "transcript", "polya_length", "prediction_C", "prediction_G", "nonA_residues"]
+    plan = _plan(found)
+    got = sorted((tuple(r) for r in found.collect()), key=str)
+    assert got == sorted([("g", "r1", "t", 30.0, 1, 1, "G3:C5.5:C7"), ("g", "r1", "u", 31.0, 1, 0, "G3:C5.5:C7"), ("h", "r1", "t", 30.0, 1, 0, "C1"), (None, "r2", None, 0.0, 1, 1, "C2")], key=str)
+    assert plan.count("Sort [") == 1 and "SortAggregate" not in plan
