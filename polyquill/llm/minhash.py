@@ -193,8 +193,8 @@ def _confirm(percent: int):
     return run
 
 
-def grouped(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, text_hash, n_shingles, component_id and grp, a number of the component (null: no set)."""
+def _linked_classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The signed rows of docs (doc_id, text), their classes, and (node, root) of the classes that have links."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     signed = cut(texts.mapInArrow(_sign, SIGNED))
     least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("of")
@@ -214,7 +214,12 @@ def grouped(docs: DataFrame, percent: int = 85) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     units = members.select("grp", "node", "sig", "part", "text", other).select("grp", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "node", "sig", "part", "text")
     links = units.groupBy("grp", "lo", "hi").applyInArrow(_confirm(percent), "a long, b long")
-    found = components(links)
+    return signed, classes, components(links)
+
+
+def grouped(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, text_hash, n_shingles, component_id and grp, a number of the component (null: no set)."""
+    signed, classes, found = _linked_classes(docs, percent)
     ids = found.join(classes.select("node", "rid"), "node").groupBy("root").agg(F.min("rid").alias("component_id"))
     by_class = classes.select("d1", "d2", "rid", "node").join(found.join(ids, "root"), "node", "left")
     by_class = by_class.select("d1", "d2", F.coalesce("component_id", "rid").alias("component_id"), F.coalesce("root", "node").alias("grp"))
@@ -233,8 +238,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 def one_of_each(docs: DataFrame, percent: int = 85) -> DataFrame:
     """The rows of docs (doc_id, text, ...) but for all but one of each component; rows without a set or a doc_id stay."""
-    found = grouped(docs.where(F.col("doc_id").isNotNull()), percent).where("grp is not null")
-    keys = found.groupBy("grp", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    signed, classes, found = _linked_classes(docs.where(F.col("doc_id").isNotNull()), percent)
+    by_class = classes.select("d1", "d2", "node").join(found, "node", "left").select("d1", "d2", F.coalesce("root", "node").alias("grp"))
+    with_set = signed.where("n_shingles > 0").select("doc_id", "text_hash", "d1", "d2").join(by_class, ["d1", "d2"])
+    # stored, as it is read twice; the groups' least doc_id isn't needed here
+    keys = cut(with_set.groupBy("grp", "doc_id", "text_hash").agg(F.count("*").alias("n")))
     first = keys.groupBy("grp").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.sum("n").alias("rows")).where("rows > 1")
     _id, _hash, _nth = free_names(docs.columns, "_id", "_hash", "_nth")
     keys = keys.join(first, "grp").select(F.col("doc_id").alias(_id), F.col("text_hash").alias(_hash), "n", (F.struct("doc_id", "text_hash") == F.col("first")).alias("is_first"))

@@ -68,18 +68,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     sums = [F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % F.lit(1 << 40)).alias("s")]
     size = e.agg(*sums).first()
     for _ in range(rounds):
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("k")).select("a", F.least("a", "m").alias("m"), (F.col("k") * HOT_PARTS >= 2 * size.n).alias("hot"))
+        ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")
+        least = e.select(ends).select("x.*").groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("k")).select("a", F.least("a", "m").alias("m"), (F.col("k") * HOT_PARTS >= 2 * size.n).alias("hot"))
         # large star: every larger neighbour of a node points at the node's least neighbour
-        larger = both.where("b > a")
+        larger = e.select(F.col("b").alias("a"), F.col("a").alias("b"))
         hot = F.broadcast(least.where("hot").select("a", "m"))
         cold = larger.join(hot.select("a"), "a", "left_anti").join(least.where("not hot").select("a", "m"), "a")
         large = larger.join(hot, "a").unionByName(cold).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        # small star: every smaller neighbour, and the node, point at the least one
-        large = large.where("a <> b").distinct()
-        small_least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(small_least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        new = cut(small.unionByName(small_least.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        # small star: every smaller neighbour, and in place of the least one the node, points at the least one; dealt out once for both sides of the join
+        large = large.where("a <> b").distinct().repartition("a")
+        small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
+        new = cut(small.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct())
         before, size = size, new.agg(*sums).first()
         e = new
         if before == size:

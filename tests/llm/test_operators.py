@@ -386,6 +386,36 @@ def test_components_of_stars_and_chains(spark):
     assert got == {**{i: 0 for i in [*range(300), 4000, 5000]}, **{1000 + i: 1000 for i in range(41)}}
 
 
+def test_components_of_hot_and_cold_nodes(spark, monkeypatch):
+    from polyquill.llm import shared
+
+    monkeypatch.setattr(shared, "HOT_PARTS", 3)  # other nodes get their minimum by shuffle
+    edges = [(7, 7), *((500, i) for i in range(100, 160)), *((i, 90) for i in range(130, 200)), *((600 + i, 601 + i) for i in range(9)), (609, 700), (700, 609)]
+    got = {r.node: r.root for r in shared.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 90 for i in [90, *range(100, 200), 500]}, **{i: 600 for i in [*range(600, 610), 700]}}
+
+
+def test_components_take_few_tasks(spark):
+    """What the driver keeps of each task is what its memory grows by."""
+    from polyquill.llm.shared import components
+
+    context, held = spark.sparkContext, {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    edges = spark.createDataFrame([(0, i) for i in range(1, 50)], "a long, b long").repartition(4, "b")
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    context.setJobGroup("components", "")
+    try:
+        components(edges)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k in held:
+            spark.conf.unset(k)
+    tracker = context.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("components") for s in tracker.getJobInfo(j).stageIds}
+    done = [info.numCompletedTasks for s in stages if (info := tracker.getStageInfo(s))]
+    assert 40 < sum(done) <= 70  # with 4 partitions a shuffle
+
+
 def test_columns_that_clash_with_the_rules_names(spark, labels):
     words = " ".join(f"w{i}." for i in range(80))
     docs = spark.createDataFrame([(1, words, 5, True, "a"), (1, None, 6, None, "b"), (None, "", 7, False, "c")], "doc_id long, text string, n_words int, kept boolean, _q_kept string")
