@@ -79,22 +79,27 @@ class Counts:
     def take(self, filling: tuple[int, ...], times: int) -> None:
         np.subtract.at(self.left, list(filling), times)
 
+    def filled(self, largest: int, capacity: int) -> tuple[int, ...]:
+        """The best-fit filling around a piece: then always the largest left that still fits."""
+        filling, room = [largest], capacity - largest
+        self.left[largest] -= 1
+        while nxt := self.below(room):
+            n = min(int(self.left[nxt]), room // nxt)
+            filling += [nxt] * n
+            room -= n * nxt
+            self.left[nxt] -= n
+        self.take(tuple(filling), -1)
+        return tuple(filling)
+
 
 def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Best-fit decreasing, bin by bin: the largest piece, then always the largest that still fits."""
     c, out = Counts(left), []
     while largest := c.below(capacity):
-        filling, room = [largest], capacity - largest
-        c.left[largest] -= 1
-        while nxt := c.below(room):
-            n = min(int(c.left[nxt]), room // nxt)
-            filling += [nxt] * n
-            room -= n * nxt
-            c.left[nxt] -= n
-        c.take(tuple(filling), -1)
-        times = c.times(tuple(filling))
-        c.take(tuple(filling), times)
-        out.append((tuple(filling), times))
+        filling = c.filled(largest, capacity)
+        times = c.times(filling)
+        c.take(filling, times)
+        out.append((filling, times))
     return out
 
 
@@ -109,7 +114,9 @@ def dominated(filling: tuple[int, ...], waste: int, c: Counts) -> bool:
 
 
 def fillings(c: Counts, largest: int, capacity: int, most: int = FILLINGS, steps: int = 300) -> list[tuple[int, tuple[int, ...]]]:
-    """(waste, filling) of undominated fillings around the largest piece, the least waste first."""
+    """(waste, filling) of undominated fillings around the largest piece, the least waste first; one at least.
+
+    The search first goes down to the best-fit filling, a step a piece.  Where that filling has more pieces than half the steps, all but so many of its last ones are set, so the search always comes to its end."""
     found: dict[tuple[int, ...], int] = {}
     budget = [steps]
 
@@ -128,9 +135,11 @@ def fillings(c: Counts, largest: int, capacity: int, most: int = FILLINGS, steps
             c.left[size] += 1
             size, tried = c.below(size - 1), tried + 1
 
-    c.left[largest] -= 1
-    extend([largest], capacity - largest, capacity)
-    c.left[largest] += 1
+    whole = c.filled(largest, capacity)
+    head = whole[: max(1, len(whole) - steps // 2)]
+    c.take(head, 1)
+    extend([*head], capacity - sum(head), head[-1])
+    c.take(head, -1)
     ordered = sorted((w, f) for f, w in found.items())
     kept = [x for x in ordered[: 4 * most] if not dominated(x[1], x[0], c)]
     return (kept or ordered)[:most]

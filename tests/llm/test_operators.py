@@ -477,6 +477,21 @@ def test_packing_equals_the_optimum_of_small_cases():
     assert packing.least_bins(np.zeros(9, int), 8) == 0 and packing.least_bins(np.bincount([2049] * 7, minlength=4097), 4096) == 7 and packing.least_bins(np.bincount([1366] * 7, minlength=4097), 4096) == 4
 
 
+def test_packing_sequences_of_very_many_pieces(spark):
+    r = np.random.default_rng(17)
+    for left in (np.bincount([11] * 1117, minlength=4097), np.bincount([7, 11] * 2000 + [11] * 1117, minlength=4097), np.bincount([1] * 9000 + [4095, 4000, 3000], minlength=4097), np.bincount(r.choice([5, 9, 11, 13], 30_000), minlength=4097), np.bincount(np.append(r.integers(2, 13, 20_000), r.integers(13, 4097, 200)), minlength=4097)):
+        s, used = packing.solve(left), np.zeros(4097, int)
+        for f, n in s:
+            assert sum(f) <= 4096
+            np.add.at(used, list(f), n)
+        assert (used == left).all() and packing.least_bins(left, 4096) <= sum(n for _, n in s) <= sum(n for _, n in packing.best_fit(left, 4096))
+    assert packing.fillings(packing.Counts(np.bincount([7, 11] * 2000, minlength=4097)), 11, 4096)[0][0] == 0  # 366 of 11 and 10 of 7: the last pieces are searched all the same
+    docs = spark.createDataFrame([(i, "a " * 10) for i in range(1117)], "doc_id long, text string")
+    rows = packing.report(docs).collect()
+    assert sorted(x.doc_id for x in rows) == list(range(1117)) and {x.length for x in rows} == {11}
+    assert sorted((x.sequence_id, x.offset) for x in rows) == sorted((q, 11 * k) for q, n in enumerate([372, 372, 372, 1]) for k in range(n))
+
+
 def test_the_whole_pipeline(spark, tmp_path, labels):
     """Five stages over a table with nulls, empties, repeats and clashing names, against what each stage is for."""
     import corpus_pipeline
